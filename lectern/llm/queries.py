@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chunks, packing, simhash, tokencount, toxicity
+from lectern.llm import ann, chunks, mixing, packing, pii, quality, simhash, tokencount, toxicity, urls
 from lectern.llm.common import table
 
 
+#: Wanted shares of the sources: the large first one at a tenth, the others alike.
+WEIGHTS = {"src0": 0.1} | {f"src{k}": 0.9 / 19 for k in range(1, 20)}
+
+RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -20,6 +30,21 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.expr("id % 100 = 0"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("bigint")
+    return found.select("doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)), F.sha2(pii.told(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.told(F.col("pii")).alias("spans"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS).select("doc_id", "source", "lang", "text", "copy", "shuffle_key")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -29,9 +54,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeats(table(spark, sf_dir, "documents")).drop("th")
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES).drop("blocked")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_toxicity, op7_simhash, op9_token_counts, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_toxicity, op4_ann, op5_pii, op6_mixing, op7_simhash, op8_urls, op9_token_counts, op10_substring_dedup)}
+ORACLE_SQL: dict[str, str] = {"op1_quality": quality.judge_sql(), "op6_mixing": mixing.mix_sql(WEIGHTS)}
