@@ -144,7 +144,7 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
     """The documents of which no other of the same component has a smaller doc_id; of rows with one doc_id, one.
 
     Rows with a null doc_id stay: nothing tells which of their group to keep.
