@@ -250,7 +250,7 @@ def argument_reads(rounds: DataFrame, cites: DataFrame) -> DataFrame:
 
 def arguments(reads: DataFrame) -> DataFrame:
     """Arguments of a team by side and name: reads, the first non-empty text and the name as first written."""
-    place = F.struct("created_at", "round_id", "n")
+    place = F.struct("created_at", "round_id", "n", "full_text")
     return reads.groupBy("team_id", "arg_side", F.lower("name").alias("name_key")).agg(
         F.count("*").alias("read_count"), F.min_by("name", place).alias("name"), F.coalesce(F.min_by("full_text", F.when(F.col("full_text") != "", place)), F.lit("")).alias("full_text"),
         F.min_by("opensource", place).alias("opensource"), F.min_by("tournament", place).alias("tournament"),

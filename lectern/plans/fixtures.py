@@ -199,9 +199,14 @@ FROM (SELECT *, concat(short_cite, '::', fingerprint) AS group_key FROM (SELECT
 FROM fx_cards) a) b
 """
 
+def _ints(sql: str, *columns: str) -> str:
+    """The view with columns of the integer width that Spark gives them."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS INT) AS {c}' for c in columns)}) FROM ({sql.strip()}) v"
+
+
 #: name: (text for Spark, text for DuckDB, views that it reads)
 VIEWS = {
-    "fx_cards": (FX_CARDS, FX_CARDS, ()), "fx_tournaments": (FX_TOURNAMENTS, FX_TOURNAMENTS, ()), "fx_events": (FX_EVENTS, FX_EVENTS, ()), "fx_entries": (FX_ENTRIES, FX_ENTRIES, ()), "fx_ballots": (FX_BALLOTS, FX_BALLOTS, ()),
+    "fx_cards": (FX_CARDS, FX_CARDS, ()), "fx_tournaments": (FX_TOURNAMENTS, _ints(FX_TOURNAMENTS, "tourn_id"), ()), "fx_events": (FX_EVENTS, _ints(FX_EVENTS, "tourn_id", "event_id"), ()), "fx_entries": (FX_ENTRIES, _ints(FX_ENTRIES, "tourn_id"), ()), "fx_ballots": (FX_BALLOTS, _ints(FX_BALLOTS, "ballot_id", "tourn_id", "round_id"), ()),
     "fx_results": (FX_RESULTS, FX_RESULTS, ("fx_entries",)), "fx_entry_paths": (FX_ENTRY_PATHS, FX_ENTRY_PATHS, ("fx_cards",)), "fx_paragraphs": (FX_PARAGRAPHS_SPARK, FX_PARAGRAPHS_DUCK, ("fx_cards",)), "fx_cites": (FX_CITES, FX_CITES, ("fx_cards",)),
     "fx_analytics": (FX_ANALYTICS, FX_ANALYTICS, ("fx_cards",)), "fx_saved": (FX_SAVED, FX_SAVED, ()), "fx_contentions": (FX_CONTENTIONS, FX_CONTENTIONS, ()), "fx_codes": (FX_CODES, FX_CODES, ("fx_entries", "fx_tournaments")), "fx_links": (FX_LINKS, FX_LINKS, ("fx_entries",)),
     "fx_wiki_teams": (FX_WIKI_TEAMS, FX_WIKI_TEAMS, ()), "fx_wiki_arguments": (FX_WIKI_ARGUMENTS, FX_WIKI_ARGUMENTS, ()), "fx_rounds": (FX_ROUNDS, FX_ROUNDS, ()), "fx_round_cites": (FX_ROUND_CITES, FX_ROUND_CITES, ()),
