@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import lookup, squeeze, text, title_case, title_case_topic
+from lectern.functions.text import js, lookup, squeeze, text, title_case, title_case_topic
 
 #: Fixed values.
 TYPE_LABELS = {"policy": "Policy", "k": "K", "phil": "Phil", "theory": "Theory", "tricks": "Tricks", "none": ""}
@@ -78,7 +78,7 @@ def topic_bucket(c: Column) -> Column:
 
 def matching(rules, c: Column) -> Column:
     """Labels of the rules (label, pattern) that the text fits, in the rules' order."""
-    return F.filter(F.array(*(F.when(c.rlike(p), F.lit(label)) for label, p in rules)), lambda x: x.isNotNull())
+    return F.filter(F.array(*(F.when(c.rlike(js(p)), F.lit(label)) for label, p in rules)), lambda x: x.isNotNull())
 
 
 def argument_types(c: Column, rules=TYPE_RULES) -> Column:
@@ -104,7 +104,7 @@ def tag_score(tag: Column) -> Column:
     n = F.size(F.split(t, "(?U)\\s+"))
     out = F.lit(100.0) - F.length(t) * 0.6
     for hit, points in (
-        (t.rlike("(?i)\\b(that|because|when|since|although|however|therefore|thus|moreover|the fact that)\\b"), -20), (F.size(F.split(t, "[.,;:]", -1)) > 2, -12), (t.rlike("\\.{3}|…"), -10), (n > 12, -10), (n < 2, -5),
+        (t.rlike(js("(?i)\\b(that|because|when|since|although|however|therefore|thus|moreover|the fact that)\\b")), -20), (F.size(F.split(t, "[.,;:]", -1)) > 2, -12), (t.rlike("\\.{3}|…"), -10), (n > 12, -10), (n < 2, -5),
         (t.rlike("(?i)^(the|a|an)\\s"), -3), (t.rlike("[!?.]$"), 2),
     ):
         out = out + F.when(hit, float(points)).otherwise(0.0)
@@ -127,7 +127,7 @@ def normal_tag(tag: Column) -> Column:
     """A card's tag without remarks, numbering, bullets and stray spaces, with a capital; the tag itself if nothing is left."""
     out = text(tag)
     for pattern in META:
-        out = F.regexp_replace(out, pattern, "")
+        out = F.regexp_replace(out, js(pattern), "")
     for pattern, to in TIDY:
         out = F.regexp_replace(out, pattern, to)
     out = F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, F.lit(2), F.length(out)))

@@ -14,6 +14,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def js(pattern: str) -> str:
+    """A pattern whose word boundaries are those of ASCII letters, digits and underscore."""
+    w = "[A-Za-z0-9_]"
+    return pattern.replace("\\b", f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))")
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -49,7 +55,7 @@ def short_cite(c: Column) -> Column:
     name = "^([A-Z][A-Za-z.\\-]+)"
     forms = (name + "\\s*'(\\d{2})\\b", name + "\\s+(\\d{2}|\\d{4})\\b", name + "\\s+\\d{1,2}\\s*[-/]\\s*\\d{1,2}\\s*[-/]\\s*(\\d{2}|\\d{4})\\b")
     out = F.lit("")
-    for form in reversed(forms):
+    for form in map(js, reversed(forms)):
         year = F.regexp_extract(value, form, 2)
         out = F.when(value.rlike(form), F.concat(F.regexp_extract(value, form, 1), F.lit(" '"), F.right(year, F.lit(2)))).otherwise(out)
     return out
@@ -250,7 +256,7 @@ def last_name(author: Column) -> Column:
 
 
 def year_of(date: Column) -> Column:
-    return F.substring(F.regexp_extract(text(date), "\\b(20\\d\\d|19\\d\\d)\\b", 1), 3, 2)
+    return F.substring(F.regexp_extract(text(date), js("\\b(20\\d\\d|19\\d\\d)\\b"), 1), 3, 2)
 
 
 def title_key(c: Column) -> Column:

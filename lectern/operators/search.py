@@ -59,6 +59,10 @@ def prefix_match(posts: DataFrame, query: str, key: str = "doc_id") -> DataFrame
     return rows.groupBy(key).agg(F.countDistinct("n").alias("n")).filter(F.col("n") == len(wanted)).select(key)
 
 
+def _back(n: int):
+    return lambda p: p - n
+
+
 def exact_match(posts: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
     """Documents with every white-space token of the query: a token of several terms as a phrase, in one field."""
     out = None
@@ -68,7 +72,7 @@ def exact_match(posts: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
             continue
         hit = posts.filter(F.col("term") == phrase[0]).select(key, "field", F.explode("positions").alias("at"))
         for n, t in enumerate(phrase[1:], 1):
-            hit = hit.join(posts.filter(F.col("term") == t).select(key, "field", (F.explode("positions") - n).alias("at")), [key, "field", "at"], "left_semi")
+            hit = hit.join(posts.filter(F.col("term") == t).select(key, "field", F.explode(F.transform("positions", _back(n))).alias("at")), [key, "field", "at"], "left_semi")
         hit = hit.select(key).distinct()
         out = hit if out is None else out.join(hit, key, "left_semi")
     return posts.select(key).limit(0) if out is None else out

@@ -221,7 +221,7 @@ NON_VARSITY_ABBR_FORM = r"^JV|^MS[A-Z]|^NOV|^N(LD|PF|CX|POL)|RR$|-CA$|-RS$|^J(LD
 
 def non_varsity(name: Column, abbr: Column) -> Column:
     n, a = text.text(name), F.upper(text.text(abbr))
-    return n.rlike(NON_VARSITY_NAME) | n.rlike(SIDE_EVENT_NAME) | a.isin(*NON_VARSITY_ABBR) | a.rlike(NON_VARSITY_ABBR_FORM)
+    return n.rlike(text.js(NON_VARSITY_NAME)) | n.rlike(SIDE_EVENT_NAME) | a.isin(*NON_VARSITY_ABBR) | a.rlike(NON_VARSITY_ABBR_FORM)
 
 
 def canonical_abbr(*texts: Column) -> Column:
@@ -229,7 +229,7 @@ def canonical_abbr(*texts: Column) -> Column:
 
     def one(c: Column) -> Column:
         s = F.upper(text.text(c))
-        return F.when(s.rlike(NON_VARSITY_NAME), None).when(s.rlike(r"\bV?LD\b|LINCOLN[-\s]?DOUGLAS"), "LD").when(s.rlike(r"\bV?PF\b|PUBLIC\s*FORUM"), "PF").when(s.rlike(r"\bV?CX\b|POLICY(?!\s*DEBATE.*SPEAKER)"), "CX")
+        return F.when(s.rlike(text.js(NON_VARSITY_NAME)), None).when(s.rlike(text.js(r"\bV?LD\b|LINCOLN[-\s]?DOUGLAS")), "LD").when(s.rlike(text.js(r"\bV?PF\b|PUBLIC\s*FORUM")), "PF").when(s.rlike(text.js(r"\bV?CX\b|POLICY(?!\s*DEBATE.*SPEAKER)")), "CX")
 
     return F.coalesce(*(one(c) for c in texts))
 
