@@ -158,10 +158,9 @@ def lbl_02_topic_bucket(v):
     return v.documents.select("doc_id", labels.topic_bucket(F.col("text")).alias("bucket"))
 
 
-@query(r"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\bplan\b') THEN 'policy' ELSE 'none' END AS first_type FROM documents WHERE NOT regexp_matches(lower(text), 'ontology|link turn|\bcp\b|\bvalue\b|\bburden\b|\beducation\b|\bmill\b|\bkant\b')")
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{t}'" for t, p in labels.TYPE_RULES) + " ELSE 'none' END AS first_type FROM documents")
 def lbl_03_argument_types(v):
-    rows = v.documents.filter(~F.lower("text").rlike(r"ontology|link turn|\bcp\b|\bvalue\b|\bburden\b|\beducation\b|\bmill\b|\bkant\b"))
-    return rows.select("doc_id", F.get(labels.argument_types(F.col("text")), 0).alias("first_type"))
+    return v.documents.select("doc_id", F.get(labels.argument_types(F.col("text")), 0).alias("first_type"))
 
 
 @query("SELECT id, coalesce(nullif(topic_bucket, ''), 'General LD') AS bucket, CASE WHEN argument_types = '[]' THEN 'none' ELSE json_extract_string(argument_types, '$[0]') END AS first_type FROM fx_cards", "fx_cards")
