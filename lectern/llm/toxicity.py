@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -90,6 +90,15 @@ def segments(scores: np.ndarray, gap: float) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), r - x) for a, b, x, r in stack]
 
 
+def once_in_a_row(words: list[str], scores: Iterable[float]) -> np.ndarray:
+    """The scores, but 0 for a word that repeats the one before it: a stutter is no more evidence than the word."""
+    out = np.fromiter(scores, float, len(words))
+    for i in np.flatnonzero(out).tolist()[::-1]:
+        if i and words[i] == words[i - 1]:
+            out[i] = 0.0
+    return out
+
+
 class Scorer:
     """Looks words up once for each worker."""
 
@@ -105,7 +114,7 @@ class Scorer:
         known = self.known
         for w in set(words).difference(known):
             known[w] = self.model.word(w)
-        scores = np.fromiter(map(known.__getitem__, words), float, len(words))
+        scores = once_in_a_row(words, map(known.__getitem__, words))
         if not scores.any():
             return len(words), 0.0, []
         best, kept = 0.0, []
@@ -160,10 +169,11 @@ def _lambda(rate: float, mean_exp, gap: float) -> float:
     return lo
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, min_z: float = 2.3, min_docs: int = 3, prior: float = 0.05, gap: float = 0.5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, min_z: float = 2.5, min_docs: int = 3, min_share: float = 0.01, prior: float = 0.05, gap: float = 0.5) -> Model:
     """A model of bounded size: at most about `most_labelled` documents take part.
 
-    prior: weight of the prior, as a share of the documents learnt from.
+    prior: weight of the prior, as a share of the documents learnt from. min_docs, min_share: a unit
+    scores if it is in so many toxic documents at least, and in so large a share of them.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
     known = F.broadcast(hashed_sample(known.filter(fold("_id") != 0), F.col("_id"), most_labelled, "toxicity"))  # most_labelled rows, give or take
@@ -181,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, min_z
     a = F.lit(weight_of_prior / (n_yes + n_no)) * (F.col("yes") + F.col("no"))
     odds = lambda y, m: F.log((F.col(y) + a) / F.greatest(F.lit(m + weight_of_prior) - F.col(y) - a, F.lit(0.5)))
     delta, error = odds("yes", n_yes) - odds("no", n_no), F.sqrt(1 / (F.col("yes") + a) + 1 / (F.col("no") + a))
-    found = _counts(learn).filter(F.col("yes") >= min_docs).select("unit", delta.alias("w"), (delta / error).alias("z"))
+    found = _counts(learn).filter(F.col("yes") >= max(min_docs, min_share * n_yes)).select("unit", delta.alias("w"), (delta / error).alias("z"))
     # bounded: each unit has min_docs of the labelled documents
     weight = {r["unit"]: r["w"] for r in found.filter((F.col("z") >= min_z) & (F.col("w") >= 1)).collect()}
     model = Model(weight, gap=gap)
@@ -191,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, min_z
     rates: Counter = Counter()
     n_words = 0
     for r in tune.toLocalIterator():
-        scores = np.array([model.word(w) for w in WORD.findall(r["text"].lower())], float)
+        words = WORD.findall(r["text"].lower())
+        scores = once_in_a_row(words, [model.word(w) for w in words])
         held.append((int(r["toxic"]), r["text"], len(scores), max((s for _, _, s in segments(scores, gap)), default=0.0)))
         if r["toxic"] == 0:
             n_words += len(scores)
