@@ -556,3 +556,47 @@ def stm_06_sessions(v):
     return A.sessions(e, "6 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
+
+
+def _tags_sql() -> str:
+    from lectern.functions.argument_tags import ECONOMY, ECONOMY_BODY, NAMES_DISAD, RULES
+
+    capital = dict((label, p) for label, _, p in RULES)["cap k"]
+    parts = [f"CASE WHEN regexp_matches(t, '{ECONOMY}') OR (regexp_matches(b, '{ECONOMY_BODY}') AND regexp_matches(t, '{NAMES_DISAD}')) THEN 'econ da' END"]
+    for label, where, p in RULES:
+        fits = f"regexp_matches({'t' if where == 'tag' else 'f'}, '{p}')" + (f" AND NOT regexp_matches(f, '{capital}')" if label == "neolib k" else "")
+        parts.append(f"CASE WHEN {fits} THEN '{label}' END")
+    rows = "SELECT doc_id, lower(substr(text, 1, 60)) AS t, lower(text) AS b, lower(concat(substr(text, 1, 60), ' ', text)) AS f FROM documents"
+    return f"SELECT doc_id, array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), ',') AS tags FROM ({rows}) d"
+
+
+@query(_tags_sql())
+def lbl_04_argument_tags(v):
+    from lectern.functions.argument_tags import argument_tags
+
+    return v.documents.select("doc_id", F.array_join(argument_tags(F.substring("text", 1, 60), F.col("text")), ",").alias("tags"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'general' ELSE lang END AS topic, text AS body, 1 AS n FROM documents")
+def src_10_legacy_fields(v):
+    from lectern.sources.legacy import backfill
+
+    raw = v.documents.select("doc_id", F.expr("if(doc_id % 3 = 0, cast(null as string), lang)").alias("topic"), F.expr("if(doc_id % 2 = 0, text, cast(null as string))").alias("body"), F.expr("if(doc_id % 2 = 1, text, cast(null as string))").alias("text"), F.array().cast("array<string>").alias("tags"))
+    return backfill(raw).select("doc_id", "topic", "body", F.size("tags").alias("n"))
+
+
+@query("SELECT count(*) AS n, sum(CASE WHEN season = '1995-96' THEN 1 ELSE 0 END)::BIGINT AS n_rebuilt FROM fx_season_bids", "fx_season_bids")
+def src_13_rebuild_slice(v):
+    from lectern.sources.merge import replace_slice
+
+    base = v.fx_season_bids
+    out = replace_slice(base.withColumn("full_bids", F.col("full_bids") * 0), base.filter("season = '1995-96'"), "season")
+    return out.agg(F.count("*").alias("n"), F.count_if(F.col("season") == "1995-96").alias("n_rebuilt"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS word_count FROM documents WHERE doc_id % 5 = 0")
+def src_25_user_files(v):
+    from lectern.sources.legacy import text_files
+
+    files = v.documents.filter("doc_id % 5 = 0").select(F.concat(F.lit("u/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return text_files(files).select(F.regexp_extract("name", "^([0-9]+)", 1).cast("bigint").alias("doc_id"), "word_count")

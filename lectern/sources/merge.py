@@ -53,3 +53,8 @@ def not_in(df: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
 
 def cascade_delete(children: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     return not_in(children, deleted, [key])
+
+
+def replace_slice(base: DataFrame, rebuilt: DataFrame, by: str) -> DataFrame:
+    """base with all rows of the slices that rebuilt has replaced by rebuilt's."""
+    return not_in(base, rebuilt, [by]).unionByName(rebuilt.select(*base.columns))
