@@ -53,19 +53,23 @@ def rates(docs: DataFrame, weights: dict[str, float], rows: float | None = None)
     return {s: aim * weights[s] / total / n for s, n in counts.items() if total}
 
 
-def mix(docs: DataFrame, weights: dict[str, float], rows: float | None = None, seed: str = "mix-1") -> DataFrame:
-    """The rows of docs, each as often as drawn, with copy (from 0) and shuffle_key, spread by that key."""
+def mix(docs: DataFrame, weights: dict[str, float], rows: float | None = None, seed: str = "mix-1", named: tuple[str, str] = ("copy", "shuffle_key")) -> DataFrame:
+    """The rows of docs, each as often as drawn, with copy (from 0) and shuffle_key, spread by that key.
+
+    named: what to call these two; columns of docs with the same names are replaced.
+    """
+    copy, shuffle_key = named
     rate = rates(docs, weights, rows)
     cdf = F.create_map(*(x for s, r in sorted(rate.items()) for x in (F.lit(s), F.array(*map(F.lit, thresholds(r)))))) if rate else None
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
     u = uniform(seed, name)
     steps = F.try_element_at(cdf, F.coalesce(F.col("source"), F.lit(""))) if cdf is not None else F.lit(None)
     # copies: how many of the thresholds the uniform number has reached
-    n = F.lit(1) if cdf is None else F.when(steps.isNull(), 1).otherwise(F.size(F.filter(steps, lambda t: t <= F.col("_u"))))
-    drawn = docs.drop("copy", "shuffle_key").withColumn("_u", u).withColumn("_n", n).filter("_n > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_u", "_n")
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), name, F.col("copy").cast("string")).cast("binary")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    n = F.lit(1) if cdf is None else F.when(steps.isNull(), 1).otherwise(F.size(F.filter(steps, lambda t: t <= F.col("_lectern_u"))))
+    drawn = docs.drop(*named).withColumn("_lectern_u", u).withColumn("_lectern_n", n).filter("_lectern_n > 0")
+    copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("_lectern_n") - 1))).drop("_lectern_u", "_lectern_n")
+    keyed = copies.withColumn(shuffle_key, F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), name, F.col(copy).cast("string")).cast("binary")))
+    return keyed.repartition(shuffle_key).sortWithinPartitions(shuffle_key)
 
 
 def rates_sql(weights: dict[str, float]) -> str:

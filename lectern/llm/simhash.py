@@ -149,6 +149,6 @@ def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
 
     Rows with a null doc_id stay: nothing tells which of their group to keep.
     """
-    found = near_duplicates(docs, width).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(found, F.col("doc_id") == F.col("_kept")).drop("_kept").dropDuplicates(["doc_id"])
+    found = near_duplicates(docs, width).filter("doc_id = component_id").select(F.col("doc_id").alias("_lectern_kept")).distinct()
+    named = docs.join(found, F.col("doc_id") == F.col("_lectern_kept")).drop("_lectern_kept").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null"))

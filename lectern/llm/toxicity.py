@@ -224,8 +224,11 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, min_z
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with toxicity (0 to 1) and toxic_passages: start, stop (characters) and surprise of each significant one."""
+def score(docs: DataFrame, model: Model, named: tuple[str, str] = ("toxicity", "toxic_passages")) -> DataFrame:
+    """The rows of docs with toxicity (0 to 1) and toxic_passages: start, stop (characters) and surprise of each significant one.
+
+    named: what to call these two; columns of docs with the same names are replaced.
+    """
     scorer = docs.sparkSession.sparkContext.broadcast(Scorer(model))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("surprise", pa.float64())]))
 
@@ -233,15 +236,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         s = scorer.value
         for b in batches:
             p, spans = [], []
-            for text in b["_text"].to_pylist():
+            for text in b["_lectern_text"].to_pylist():
                 _, best, kept = s.evidence(text)
                 p.append(s.probability(best, len(kept)))
                 spans.append([{"start": x, "stop": y, "surprise": z} for x, y, z in kept])
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(p, pa.float64()), pa.array(spans, kind)], [*names, "toxicity", "toxic_passages"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(p, pa.float64()), pa.array(spans, kind)], [*names, *named])
 
-    names = [c for c in docs.columns if c not in ("toxicity", "toxic_passages")]
+    names = [c for c in docs.columns if c not in named]
     kept = docs.select(*names)
     passage = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("surprise", T.DoubleType())])
-    out = T.StructType([*kept.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("toxic_passages", T.ArrayType(passage))])
+    out = T.StructType([*kept.schema.fields, T.StructField(named[0], T.DoubleType()), T.StructField(named[1], T.ArrayType(passage))])
     text = F.col("text").cast("string") if "text" in docs.columns else F.lit(None).cast("string")
-    return kept.withColumn("_text", text).mapInArrow(run, out)
+    return kept.withColumn("_lectern_text", text).mapInArrow(run, out)
