@@ -20,7 +20,8 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("toxicity < 0.5").select(*docs.columns)
+    scored = toxicity.score(docs, model, named=("_lectern_toxicity", "_lectern_passages"))
+    return scored.filter("_lectern_toxicity < 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, WEIGHTS).select(*docs.columns)
+    return mixing.mix(docs, WEIGHTS, named=("_lectern_copy", "_lectern_key")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
