@@ -65,17 +65,18 @@ def _knapsack(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     size = len(price) - 1
     best, take = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+    longest_first, value = np.ascontiguousarray(price[:0:-1]), np.empty(size)
     for c in range(1, size + 1):
-        value = price[c:0:-1] + best[:c]
-        i = int(value.argmax())
-        if value[i] >= best[c - 1]:
-            best[c], take[c] = value[i], c - i
+        now = np.add(longest_first[size - c :], best[:c], out=value[:c])
+        i = int(now.argmax())
+        if now[i] >= best[c - 1]:
+            best[c], take[c] = now[i], c - i
         else:
             best[c] = best[c - 1]
     return best, take
 
 
-def fractional(counts: np.ndarray, rounds: int = 8, step: float = 0.05, pricings: int = 12) -> dict[tuple[tuple[int, int], ...], float]:
+def fractional(counts: np.ndarray, rounds: int = 5, step: float = 0.05, pricings: int = 10) -> dict[tuple[tuple[int, int], ...], float]:
     """How often to use each configuration ((length, times), ...): every length is covered, nearly as few in all as the program allows.
 
     counts: pieces by length. Weights begin at the volume of each length, the prices of a perfect

@@ -12,7 +12,7 @@ from __future__ import annotations
 import functools
 import os
 import re
-import struct
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -28,9 +28,12 @@ def _byte_letters() -> list[str]:
 
 
 class WordIds:
-    """Ids as little-endian unsigned 32-bit integers. `most`: entries of the cache, then it starts anew."""
+    """Ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, most: int = 700_000, longest: int = 48):
+    most: entries of each cache (parts as written, and stems without case), which then starts anew.
+    """
+
+    def __init__(self, path: str, most: int = 450_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
@@ -38,41 +41,48 @@ class WordIds:
         self.stems: dict[str, bytes] = {}
 
     def _plain(self, part: str) -> bytes:
-        return struct.pack(f"<{len(ids := self.tokenizer.encode(part, add_special_tokens=False).ids)}I", *ids)
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def _stem(self, stem: str) -> bytes:
         if (found := self.stems.get(stem)) is None:
-            letters = _byte_letters()
-            ids = [t.id for t in self.tokenizer.model.tokenize("".join([letters[b] for b in stem.encode()]))]
-            found = self.stems[stem] = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.stems) >= self.most:
+                self.stems.clear()
+            letters = stem if stem.isascii() else "".join([_byte_letters()[b] for b in stem.encode()])
+            found = self.stems[stem] = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        return found
+
+    def _end(self, end: str) -> bytes:
+        if (found := self.stems.get(end)) is None:
+            found = self.stems[end] = self._plain(end)
         return found
 
     def _ids(self, part: str) -> bytes:
         if m := _PLAIN.fullmatch(part):
             end = m[2]
-            return self._stem(m[1].lower()) + (self._end(end) if end else b"")
+            return self._stem(m[1].lower()) + self._end(end) if end else self._stem(m[1].lower())
         return self._plain(part)
 
-    def _end(self, end: str) -> bytes:
-        if (found := self.stems.get(end)) is None:
-            found = self.stems[end] = self._plain(end)
-        return found
+    def encode(self, text: str | None) -> bytes:
+        parts = (text or "").replace("\n", " ").split(" ")
+        found = list(map(self.known.get, parts))
+        try:
+            return b"".join(found)
+        except TypeError:  # some part isn't known yet
+            pass
+        if len(self.known) >= self.most:
+            self.known.clear()
+        known, longest = self.known, self.longest
+        for n in [n for n, ids in enumerate(found) if ids is None]:
+            part = parts[n]
+            if (ids := known.get(part)) is None:
+                ids = self._ids(part)
+                if len(part) <= longest:
+                    known[part] = ids
+            found[n] = ids
+        return b"".join(found)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) + len(self.stems) > self.most:
-            self.known, self.stems = {}, {}
-        known, long = self.known, []
-        for part in set().union(*split).difference(known):
-            if len(part) > self.longest:
-                long.append(part)
-                known[part] = self._plain(part)
-            else:
-                known[part] = self._ids(part)
-        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
-        for part in long:
-            del known[part]
-        return out
+        return list(map(self.encode, texts))
 
 
 @functools.cache
