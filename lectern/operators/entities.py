@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text
 from lectern.operators.search import SCHOLARLY_ADAPTERS
-
-
-def _shared(df: DataFrame, label: str) -> DataFrame:
-    """Written to the shared checkpoint folder and read again: later rounds don't repeat earlier ones."""
-    import tempfile
-
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="lectern-")
-    path = f"{root}/entities-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lectern.sources.scratch import written
 
 
 def keys(items: DataFrame, id_col: str) -> DataFrame:
@@ -35,12 +19,12 @@ def keys(items: DataFrame, id_col: str) -> DataFrame:
 
 def clusters(pairs: DataFrame, rounds: int = 30) -> DataFrame:
     """(id, cluster): items connected by keys, named by their smallest id. Labels pass from items to keys and back until none changes."""
-    pairs = _shared(pairs.distinct(), "pairs")
+    pairs = written(pairs.distinct(), "pairs")
     labels = pairs.groupBy("id").agg(F.min("id").alias("cluster"))
     for n in range(rounds):
         by_key = pairs.join(labels, "id").groupBy("key").agg(F.min("cluster").alias("least"))
         near = pairs.join(by_key, "key").groupBy("id").agg(F.min("least").alias("next"))
-        moved = _shared(labels.join(near, "id").select("id", F.least("cluster", "next").alias("cluster"), (F.col("next") < F.col("cluster")).alias("moved")), f"round{n}")
+        moved = written(labels.join(near, "id").select("id", F.least("cluster", "next").alias("cluster"), (F.col("next") < F.col("cluster")).alias("moved")), f"round{n}")
         labels = moved.select("id", "cluster")
         if moved.filter("moved").isEmpty():
             return labels

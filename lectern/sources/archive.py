@@ -109,3 +109,20 @@ def analytics_from_paragraphs(paras: DataFrame, least: int = 30) -> DataFrame:
     first = s.groupBy("entry").agg(F.coalesce(F.min_by(F.when(F.col("style") == "Heading4", F.col("text")), F.when(F.col("style") == "Heading4", F.col("pos"))), F.min_by("text", "pos")).alias("title"))
     out = kept.groupBy("entry").agg(content.alias("content")).withColumn("word_count", text.n_words(F.col("content"))).filter(F.col("word_count") >= least)
     return out.join(first, "entry").select("entry", "title", "content", "word_count")
+
+
+def as_archives(paras: DataFrame) -> DataFrame:
+    """path, content: one archive for each entry, with the entry's paragraphs (entry, pos, style, text) as a document; the reverse of `paragraphs`."""
+    from xml.sax.saxutils import escape
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{escape(s)}"/></w:pPr><w:r><w:t>{escape(t)}</w:t></w:r></w:p>' for s, t in zip(pdf.sort_values("pos")["style"], pdf.sort_values("pos")["text"]))
+        inner, outer = io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{W[1:-1]}"><w:body>{body}</w:body></w:document>')
+        name = pdf["entry"].iloc[0]
+        with zipfile.ZipFile(outer, "w") as z:
+            z.writestr(name, inner.getvalue())
+        return pd.DataFrame({"path": [name.replace("/", "_") + ".zip"], "content": [outer.getvalue()]})
+
+    return paras.groupBy("entry").applyInPandas(one, "path string, content binary")
