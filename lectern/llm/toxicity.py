@@ -102,7 +102,7 @@ def once_in_a_row(words: list[str], scores: Iterable[float]) -> np.ndarray:
 class Scorer:
     """Looks words up once for each worker."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 100_000):
         self.model, self.most, self.known = model, most, {}
 
     def evidence(self, text: str | None) -> tuple[int, float, list[tuple[int, int, float]]]:
@@ -135,7 +135,7 @@ def _counts(train: DataFrame) -> DataFrame:
     """unit, toxic, n: documents with the unit, from (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             met: Counter = Counter()
             for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
                 met.update((u, toxic) for u in {u for w in set(WORD.findall((text or "").lower())) for u in units(w)})
@@ -224,27 +224,31 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, min_z
     return model
 
 
-def score(docs: DataFrame, model: Model, named: tuple[str, str] = ("toxicity", "toxic_passages")) -> DataFrame:
+def score(docs: DataFrame, model: Model, named: tuple[str, str] = ("toxicity", "toxic_passages"), keep: list[str] | None = None) -> DataFrame:
     """The rows of docs with toxicity (0 to 1) and toxic_passages: start, stop (characters) and surprise of each significant one.
 
-    named: what to call these two; columns of docs with the same names are replaced.
+    named: what to call these two; columns of docs with the same names are replaced. keep: which columns
+    of docs to return (default: all), since what is returned passes through the workers.
     """
     scorer = docs.sparkSession.sparkContext.broadcast(Scorer(model))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("surprise", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer.value
-        for b in batches:
-            p, spans = [], []
-            for text in b["_lectern_text"].to_pylist():
-                _, best, kept = s.evidence(text)
-                p.append(s.probability(best, len(kept)))
-                spans.append([{"start": x, "stop": y, "surprise": z} for x, y, z in kept])
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(p, pa.float64()), pa.array(spans, kind)], [*names, *named])
-
-    names = [c for c in docs.columns if c not in named]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # so few texts at a time are Python objects
+                b = whole.slice(at, 256)
+                p, spans = [], []
+                for text in b["_lectern_text"].to_pylist():
+                    _, best, kept = s.evidence(text)
+                    p.append(s.probability(best, len(kept)))
+                    spans.append([{"start": x, "stop": y, "surprise": z} for x, y, z in kept])
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(p, pa.float64()), pa.array(spans, kind)], [*names, *named])
+
+    names = [c for c in (docs.columns if keep is None else keep) if c not in named]
+    text = F.col("text").cast("string") if "text" in docs.columns else F.lit(None).cast("string")
     kept = docs.select(*names)
+    sent = docs.select(*names, text.alias("_lectern_text"))
     passage = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("surprise", T.DoubleType())])
     out = T.StructType([*kept.schema.fields, T.StructField(named[0], T.DoubleType()), T.StructField(named[1], T.ArrayType(passage))])
-    text = F.col("text").cast("string") if "text" in docs.columns else F.lit(None).cast("string")
-    return kept.withColumn("_lectern_text", text).mapInArrow(run, out)
+    return sent.mapInArrow(run, out)
