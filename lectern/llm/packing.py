@@ -5,7 +5,9 @@ the histogram of piece lengths (at most `size` numbers, whatever the corpus). Th
 row for each length and a column for each configuration (a multiset of lengths that fits); it is solved
 by multiplicative weights: each round prices lengths by their weights, a knapsack dynamic program finds
 configurations of the largest price, they are raised by a small step, and the weights of the lengths that
-they cover shrink. Rounding takes whole multiples of the configurations as far as pieces last, and what
+they cover shrink. Every pricing gives a lower bound on the optimum; where the sequences are not within a
+stated gap of the best bound, the columns' own dual prices re-weight the lengths, with the same knapsack, until
+the fractional value is. Rounding takes whole multiples of the configurations as far as pieces last, and what
 the fractions leave (a number bounded by the number of configurations) goes by best fit, largest first.
 
 The plan is a table of slots: for each length, which ranks go into which configuration. Pieces get their
@@ -76,18 +78,30 @@ def _knapsack(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, take
 
 
-def fractional(counts: np.ndarray, rounds: int = 5, step: float = 0.05, pricings: int = 10) -> dict[tuple[tuple[int, int], ...], float]:
+def _with(first: int, best: np.ndarray, take: np.ndarray) -> Counter:
+    """The best configuration with a piece of length `first`."""
+    has, c = Counter({first: 1}), len(best) - 1 - first
+    while c > 0 and best[c] > 0:
+        if k := int(take[c]):
+            has[k] += 1
+        c -= k or 1
+    return has
+
+
+def fractional(counts: np.ndarray, rounds: int = 5, step: float = 0.05, pricings: int = 10) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
     """How often to use each configuration ((length, times), ...): every length is covered, nearly as few in all as the program allows.
 
     counts: pieces by length. Weights begin at the volume of each length, the prices of a perfect
     packing. A round covers 1/rounds of each length; covering a length's share lowers its weight by
     exp(-step). After `pricings` knapsacks, what a round still lacks is covered all the same.
+    Also the best lower bound that the prices gave on the number of sequences.
     """
     size = len(counts) - 1
     there = np.flatnonzero(counts)
     share = counts / rounds
     weight = np.arange(size + 1) / size
     used: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
+    bound = 0.0
     for _ in range(rounds):
         need = share.copy()
         for pricing in range(pricings):
@@ -95,14 +109,11 @@ def fractional(counts: np.ndarray, rounds: int = 5, step: float = 0.05, pricings
             if not open_[there].any():
                 break
             best, take = _knapsack(np.where(open_, weight, -1.0))
+            bound = max(bound, float((counts * weight)[open_].sum() / best[-1]))
             for first in there[::-1].tolist():  # the best configuration with each length, longest first
                 if need[first] <= share[first] * 1e-3:
                     continue
-                has, c = Counter({first: 1}), size - first
-                while c > 0 and best[c] > 0:
-                    if k := int(take[c]):
-                        has[k] += 1
-                    c -= k or 1
+                has = _with(first, best, take)
                 last = pricing == pricings - 1
                 times = need[first] / has[first] if last else min(need[k] / n for k, n in has.items())
                 if times > 0:
@@ -111,7 +122,55 @@ def fractional(counts: np.ndarray, rounds: int = 5, step: float = 0.05, pricings
                         need[k] -= min(need[k], times * n)
                         weight[k] *= np.exp(-step * times * n / share[k])
         weight[there] *= there.sum() / size / weight[there].sum()
-    return used
+    return used, bound
+
+
+def reweighted(counts: np.ndarray, gap: float, at_once: int = 50) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """How often to use each configuration, within `gap` of the lower bound that comes with it.
+
+    The lengths are weighted by the dual prices of a basis of configurations. After a knapsack, up to `at_once`
+    of the best configurations that are worth more than one sequence enter the basis. It begins with each length alone.
+    """
+    size, there = len(counts) - 1, np.flatnonzero(counts)
+    place, need = {int(k): i for i, k in enumerate(there)}, counts[there]
+    held = [Counter({int(k): size // int(k)}) for k in there]
+    basis = np.diag(size // there).astype(float)
+    price, bound, entered = np.full(size + 1, -1.0), 0.0, 0
+    inverse = np.linalg.inv(basis)
+    x = inverse @ need
+    while True:
+        dual = inverse.sum(axis=0)
+        price[there] = dual
+        best, take = _knapsack(price)
+        bound = max(bound, float(x.sum() / best[-1]))
+        if x.sum() <= bound * (1 + gap):
+            return {tuple(sorted(has.items(), reverse=True)): float(n) for has, n in zip(held, x) if n > 0}, bound
+        worth = price[there] + best[size - there]
+        moved = False
+        for i in np.argsort(-worth, kind="stable")[:at_once].tolist():
+            has = _with(int(there[i]), best, take)
+            column = np.zeros(len(there))
+            for k, n in has.items():
+                column[place[k]] = n
+            if dual @ column <= 1 + 1e-9:
+                continue
+            d = inverse @ column
+            ratio = np.full(len(x), np.inf)
+            np.divide(x, d, out=ratio, where=d > 1e-9)
+            r = int(ratio.argmin())
+            times, row = max(ratio[r], 0.0), inverse[r] / d[r]
+            x -= times * d
+            x[r] = times
+            inverse -= np.outer(d, row)
+            inverse[r] = row
+            dual = dual + (1 - dual @ column) * row
+            held[r], basis[:, r] = has, column
+            entered, moved = entered + 1, True
+            if entered % 500 == 0:  # against rounding errors
+                inverse = np.linalg.inv(basis)
+                x, dual = np.maximum(inverse @ need, 0.0), inverse.sum(axis=0)
+        if not moved:
+            raise RuntimeError("no configuration improves the basis, and the gap is open")
 
 
 def _best_fit(left: dict[int, int], size: int) -> Counter:
@@ -154,23 +213,36 @@ def _best_fit(left: dict[int, int], size: int) -> Counter:
     return done
 
 
-def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings (lengths) and how many sequences take each; together they hold exactly the histogram's pieces."""
-    if not histogram:
-        return []
-    counts = np.zeros(size + 1)
-    for length, n in histogram.items():
-        counts[length] = n
+def _rounded(used: dict[tuple[tuple[int, int], ...], float], histogram: dict[int, int], size: int) -> Counter:
+    """Whole multiples of the configurations, and best fit for what they leave."""
     left = dict(histogram)
     out: Counter = Counter()
-    for has, times in sorted(fractional(counts).items(), key=lambda x: (-sum(k * n for k, n in x[0]), x[0])):  # fullest first
+    for has, times in sorted(used.items(), key=lambda x: (-sum(k * n for k, n in x[0]), x[0])):  # fullest first
         whole = min(int(times + 0.5), *(left[k] // n for k, n in has))
         if whole > 0:
             out[tuple(k for k, n in has for _ in range(n))] += whole
             for k, n in has:
                 left[k] -= whole * n
     out.update(_best_fit({n: c for n, c in left.items() if c}, size))
-    return sorted(out.items(), reverse=True)
+    return out
+
+
+def plan(histogram: dict[int, int], size: int = SIZE, gap: float = 0.001) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings (lengths) and how many sequences take each; together they hold exactly the histogram's pieces.
+
+    Where multiplicative weights or plain best fit are not within `gap` of the lower bound, the program is solved to
+    that gap and then rounded, which adds less than one sequence for each length.
+    """
+    if not histogram:
+        return []
+    counts = np.zeros(size + 1)
+    for length, n in histogram.items():
+        counts[length] = n
+    used, bound = fractional(counts)
+    plans = [_rounded(used, histogram, size), _rounded({}, histogram, size)]
+    if min(p.total() for p in plans) > -(-bound // 1) * (1 + gap):
+        plans.append(_rounded(reweighted(counts, gap)[0], histogram, size))
+    return sorted(min(plans, key=Counter.total).items(), reverse=True)
 
 
 def _slots(fillings: list[tuple[tuple[int, ...], int]], shift: int = 40) -> tuple[np.ndarray, ...]:

@@ -58,3 +58,23 @@ def test_pack_against_the_tokenizer(odd, none):
             at += length
         assert at <= size
     assert packing.pack(none).count() == 0
+
+
+def test_plan_reaches_the_bound_on_skewed_lengths():
+    """Few lengths, none of which fill a sequence alone: the volume is no guide to the optimum."""
+    rng = random.Random(5)
+    for size, lengths in ((4096, [1400, 1500, 2100, *range(1365, 1386)]), (1000, [501, 270, 251, 252, 240]), (100, [51, 27, 26, 23, 49, 48])):
+        histogram = {k: rng.randint(2000, 9000) for k in lengths}
+        counts = packing.np.zeros(size + 1)
+        for k, n in histogram.items():
+            counts[k] = n
+        used, bound = packing.reweighted(counts, 0.001)
+        covered = Counter()
+        for has, times in used.items():
+            assert sum(k * n for k, n in has) <= size
+            for k, n in has:
+                covered[k] += n * times
+        assert all(covered[k] >= n - 1e-6 * n for k, n in histogram.items())
+        assert bound <= sum(used.values()) <= bound * 1.001
+        done = packing.plan(histogram, size)
+        assert sum(t for _, t in done) <= bound * 1.001 + len(histogram)
