@@ -45,14 +45,20 @@ def rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 
 def _entropy(text: Column) -> Column:
-    """Bits a character, from the counts of distinct characters."""
+    """Bits a character, from the lengths of the runs of equal characters in order."""
 
     def of(chars: Column) -> Column:
-        n = F.greatest(F.size(chars), F.lit(1)).cast("double")
-        share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-        return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
+        n = F.size(chars).cast("double")
+        part = lambda run: run * F.log2(F.greatest(run, F.lit(1.0)))
 
-    return let(F.split(F.substring(text, 1, 512), ""), of)  # a feature, not a verdict: the first 512 characters tell it
+        def step(acc: Column, c: Column) -> Column:
+            same = c == acc["last"]
+            return F.struct(c.alias("last"), F.when(same, acc["run"] + 1).otherwise(1.0).alias("run"), F.when(same, acc["sum"]).otherwise(acc["sum"] + part(acc["run"])).alias("sum"))
+
+        start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+        return F.aggregate(chars, start, step, lambda acc: F.log2(n) - (acc["sum"] + part(acc["run"])) / n)
+
+    return let(F.array_sort(F.split(text, "")), of)
 
 
 def _count(text: Column, chars: str) -> Column:

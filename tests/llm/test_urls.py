@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from lectern.llm import urls
 from lectern.llm.queries import RULES
 
@@ -43,3 +45,15 @@ def test_empty_and_unlabelled(spark):
     assert urls.judge(none, RULES).count() == 0
     one = spark.createDataFrame([(1, "https://a.test/x", "")], "page_id long, url string, html string")
     assert urls.judge(one, RULES).collect()[0]["verdict"] == "allow"
+
+
+def test_entropy_is_of_the_whole_url(spark):
+    from collections import Counter
+    from math import log2
+
+    start = "https://a.example.net/?q=" + "a" * 600
+    texts = ["", "a", "aab", start, start + "".join(chr(33 + n * 7 % 90) for n in range(400)), "é日本" * 300]
+    got = [r["e"] for r in spark.createDataFrame(list(enumerate(texts)), "n int, u string").select("n", urls._entropy(F.col("u")).alias("e")).orderBy("n").collect()]
+    for t, e in zip(texts, got):
+        assert abs(e + sum(c / len(t) * log2(c / len(t)) for c in Counter(t).values())) < 1e-9
+    assert got[4] > got[3] + 1
