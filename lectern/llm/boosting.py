@@ -7,6 +7,8 @@ stand inside a higher-order function.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -40,11 +42,26 @@ class Trees:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * self.margin(features)))
 
 
-def _read(node):
-    if node.getClass().getSimpleName() == "LeafNode":
-        return float(node.prediction())
-    split = node.split()
-    return (int(split.featureIndex()), float(split.threshold()), _read(node.leftChild()), _read(node.rightChild()))
+_SPLIT = re.compile(r"If \(feature (\d+) <= (\S+)\)")
+
+
+def _trees(description: str) -> list:
+    """The trees of a model's full description, whose lines are If, Else and Predict in order of the nodes."""
+    trees: list[list[str]] = []
+    for line in map(str.strip, description.splitlines()):
+        if line.startswith("Tree "):
+            trees.append([])
+        elif trees and line and not line.startswith("Else"):
+            trees[-1].append(line)
+
+    def read(lines: Iterator[str]):
+        line = next(lines)
+        if line.startswith("Predict: "):
+            return float(line.removeprefix("Predict: "))
+        at, threshold = _SPLIT.fullmatch(line).groups()
+        return (int(at), float(threshold), read(lines), read(lines))
+
+    return [read(iter(lines)) for lines in trees]
 
 
 def fit(sample: DataFrame, trees: int = 15, depth: int = 4, partitions: int = 4) -> Trees | None:
@@ -54,4 +71,4 @@ def fit(sample: DataFrame, trees: int = 15, depth: int = 4, partitions: int = 4)
         return None
     learner = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.2, seed=11, minInstancesPerNode=3)
     model = learner.fit(rows.select(array_to_vector("f").alias("x"), "label"))
-    return Trees([_read(t._call_java("rootNode")) for t in model.trees], [float(w) for w in model.treeWeights])
+    return Trees(_trees(model.toDebugString), [float(w) for w in model.treeWeights])

@@ -2,46 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.scratch import shared_dir, written  # noqa: F401
+
 #: Everything that separates words: space, tab, newline, vertical tab, form feed, carriage return.
 WS = " \t\n\x0b\f\r"
 WS_RE = "[\\x20\\x09-\\x0D]+"
-
-
-@functools.cache
-def _own_dir() -> str:
-    path = tempfile.mkdtemp(prefix="lectern-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset and the session is local, one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own_dir()
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df once as a table in the shared folder and read it again.
-
-    Unlike a cached or locally checkpointed frame, the table outlives lost executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,3 +34,15 @@ def hashed_sample(df: DataFrame, key: Column, most: int, seed: str) -> DataFrame
     if n <= most:
         return df
     return df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, key: list[str], n: str = "n", share: int = 1000) -> DataFrame:
+    """rows joined with keyed (one row for each key; n: how many of rows hold it), without a hot task.
+
+    At most `share` keys can hold more than one in `share` of the rows, so those are broadcast; all other keys
+    meet in a sort-merge join. Both should be written tables, since each is read twice.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    hot, others = keyed.filter(F.col(n) > total / share), keyed.filter(F.col(n) <= total / share)
+    rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(others.hint("merge"), key))

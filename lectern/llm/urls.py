@@ -21,9 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import boosting
-from lectern.llm.common import hashed_sample, let, written
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from lectern.llm.common import LOWER, UPPER, hashed_sample, let, written
 
 
 def host(url: Column) -> Column:
