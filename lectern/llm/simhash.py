@@ -1,21 +1,29 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
 A fingerprint has one bit for each bit of the shingle hashes: set if it is set in over half of
-them. Two texts are linked if their fingerprints differ in at most two bits. A fingerprint is cut
-into two segments of 32 bits; of two linked fingerprints, at least one segment differs by at most
-one bit. So each fingerprint is indexed under every variant of either segment with one bit made a
-wildcard, variants are joined by equality, and candidates are verified on all 64 bits.
+them. Fingerprints are cut into segments; each is indexed under every variant of every segment with one bit
+made a wildcard, variants are joined by equality, and candidates are verified.
 
-Copies share a fingerprint and are one vertex from the start. A bucket of more than `crowded`
-fingerprints isn't compared pair by pair: its fingerprints are indexed once more with every choice
-of two wildcard bits, where all members of a group are linked by construction, so a minimum is
-enough. Both ways are exact. Components are smallest labels, spread along links and shortened by
-pointer jumping, with each round written to the shared folder.
+`near_duplicates` links two texts if their 64-bit fingerprints differ in at most two bits: of two segments
+of 32 bits, at least one then differs by at most one bit, so no link is missed. Copies share a fingerprint
+and are one vertex from the start. A bucket of more than `crowded` fingerprints isn't compared pair by pair:
+its fingerprints are indexed once more with every choice of two wildcard bits, where all members of a group
+are linked by construction, so a minimum is enough. Both ways are exact.
+
+`keep_first` keeps one of each group of near copies: texts whose sets of five-word shingles are similar by
+Jaccard to at least 0.8. That is some ten bits of a 64-bit fingerprint, too many for segments that one can
+still look up, so its candidates come from fingerprints of `segments` x 32 bits over word pairs, and the
+similarity itself is then computed for every candidate that isn't in one component already. A bucket with more than
+`crowded` texts gives each a link to the bucket's least text and to a neighbour, not all pairs. What fraction
+of similar pairs the search finds is measured in the tests and stated in the README.
+
+Components are smallest labels, spread along links and shortened by pointer jumping until none moves, with
+each round written to the shared folder.
 
 Defined results: null and blank texts have the fingerprint zero and are linked like any other;
 rows with a null doc_id get a fingerprint and the component of their fingerprint, but don't name a
 component (null, if there is no other id); repeated rows come out as often as they go in; columns of
-other names are left alone; an empty table gives no rows.
+other names are left alone; an empty table gives no rows. For `keep_first`, see there.
 """
 
 from __future__ import annotations
@@ -25,35 +33,51 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import written
+from lectern.llm.common import LOWER, UPPER, join_spread, words, written
 
 SEED = 42
 BITS = 64
 HALF = 32
 
 
-def _bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of the hashes have bit k, for k from 0."""
-    total = np.zeros(BITS, np.int64)
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits, as bytes, that are set in over half of the hashes (rows of bytes)."""
+    total = np.zeros(8 * hashes.shape[1], np.int64)
     for at in range(0, len(hashes), 255 * 256):
-        bits = np.unpackbits(hashes[at : at + 255 * 256].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes[at : at + 255 * 256], axis=1, bitorder="little")
         full = len(bits) // 255 * 255
-        total += bits[:full].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        total += bits[:full].reshape(-1, 255, len(total)).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         total += bits[full:].sum(axis=0, dtype=np.int64)
-    return total
+    return np.packbits(total * 2 > len(hashes), bitorder="little")
+
+
+def _shingles(text: str | None, width: int) -> list[bytes]:
+    """Words are what lies between ASCII white space, in ASCII lower case."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(found) < width:
+        return [b" ".join(found)] if found else []
+    return [b" ".join(s) for s in zip(*(found[k:] for k in range(width)))]
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
-    """Of a whole text; words are what lies between ASCII white space, in ASCII lower case."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    """Of a whole text, from the XXH64 hashes of its shingles, repeats included."""
+    shingles = _shingles(text, width)
+    if not shingles:
         return 0
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
-    return int(np.packbits(_bit_counts(hashes) * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles))
+    return int(_majority(hashes.view(np.uint8).reshape(-1, 8)).view(np.uint64)[0])
+
+
+def segments_of(text: str | None, segments: int = 10, width: int = 2) -> list[int]:
+    """A fingerprint of segments x 32 bits over the distinct shingles of a whole text, by segment."""
+    shingles = set(_shingles(text, width))
+    if not shingles:
+        return [0] * segments
+    raw = b"".join(xxhash.xxh3_128_digest(s, k) for s in shingles for k in range(-(-segments // 4)))
+    return _majority(np.frombuffer(raw, np.uint8).reshape(len(shingles), -1)).view(np.uint32)[:segments].tolist()
 
 
 def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -108,47 +132,127 @@ def links(fps: DataFrame, crowded: int = 512) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def smallest_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def smallest_labels(edges: DataFrame) -> DataFrame:
     """(v, label) for the vertices of `edges` (a, b): the smallest vertex that each one reaches.
 
     Each round takes the smallest label among a vertex and its neighbours and then that label's own
-    label, so labels travel twice as far each time.
+    label, so labels travel twice as far each time. Rounds end when no label moves: labels only fall, so they do.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges")
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for n in range(rounds):
+    while True:
         of = labels.select(F.col("v").alias("b"), F.col("label").alias("theirs"))
         near = both.join(of, "b").groupBy(F.col("a").alias("v")).agg(F.min("theirs").alias("near"))
         stepped = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("v").alias("next"), F.col("label").alias("far"))
-        moved = written(stepped.join(jump, "next").select("v", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), f"round{n}")
+        moved = written(stepped.join(jump, "next").select("v", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), "round")
         labels = moved.select("v", "label")
         if moved.filter("moved").isEmpty():
             return labels
-    raise RuntimeError(f"components haven't settled in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, crowded: int = 512) -> DataFrame:
     """doc_id, fp long, component_id (the smallest doc_id of all documents reachable over links)."""
     rows = written(with_fingerprints(docs, width), "fingerprints")
-    vertices = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "vertices")
+    vertices = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "vertices")
     labels = smallest_labels(links(vertices.select("fp"), crowded))
-    grouped = vertices.join(labels.withColumnRenamed("v", "fp"), "fp")
-    first = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    linked = grouped.join(first, "label").select("fp", "component_id")
-    by_fp = vertices.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    grouped = written(vertices.join(labels.withColumnRenamed("v", "fp"), "fp").select("fp", "label", "first_id"), "labelled")
+    first = written(grouped.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")), "firsts")
+    linked = join_spread(grouped.select("fp", "label"), first, ["label"]).select("fp", "component_id")
+    by_fp = written(vertices.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "n"), "components")
+    return join_spread(rows, by_fp, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
-    """The documents of which no other of the same component has a smaller doc_id; of rows with one doc_id, one.
+def _text_id(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
-    Rows with a null doc_id stay: nothing tells which of their group to keep.
+
+def texts(docs: DataFrame, segments: int = 10) -> DataFrame:
+    """A row for each distinct text: v (a number for it), t (its digest), first_id and fp, its segments; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [segments_of(x, segments) for x in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["t"], pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "t", "fp"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_id(F.col("text")).alias("t")).mapInArrow(run, "doc_id long, t binary, fp array<long>")
+    one = written(rows, "segments").groupBy("t").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"))
+    return written(one.withColumn("v", F.monotonically_increasing_id()), "texts")
+
+
+def candidates(found: DataFrame, crowded: int = 32) -> DataFrame:
+    """(a, b), a < b: texts (v, fp) of which some segment differs by at most one bit; all pairs, but in crowded buckets."""
+    at = found.select("v", F.posexplode("fp").alias("seg", "bits")).select("v", "seg", "bits", F.explode(F.sequence(F.lit(0), F.lit(HALF - 1))).alias("bit"))
+    key = _without(F.col("bits"), F.col("bit")) + (F.col("seg") * HALF + F.col("bit")).cast("long") * F.lit(1 << HALF)
+    index = at.select(key.alias("key"), "v").repartition("key")  # dealt once, for the counts and the join
+    met = index.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("least")).filter("n > 1")
+    shared = written(index.join(met.hint("merge"), "key"), "buckets")
+    few, many = shared.filter(F.col("n") <= crowded), shared.filter(F.col("n") > crowded)
+    x, y = few.select("key", F.col("v").alias("a")), few.select("key", F.col("v").alias("b"))
+    star = many.select(F.col("least").alias("a"), F.col("v").alias("b"))
+    part = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / 10_000))  # so that no bucket is one task's work
+    chain = many.select(F.lag("v").over(Window.partitionBy("key", part).orderBy("v")).alias("a"), F.col("v").alias("b"))
+    return x.join(y, "key").select("a", "b").union(star).union(chain).filter("a < b").distinct()
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = 5) -> DataFrame:
+    """(v, s): the hashes of the distinct shingles of the wanted texts (v, t, first_id); written."""
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_id(F.col("text")).alias("t"))
+    # the row that has a text's smallest id stands for all of its copies
+    held = own.join(wanted, (own["t"] == wanted["t"]) & own["doc_id"].eqNullSafe(wanted["first_id"])).select("v", "text")
+    w = words(F.translate(F.col("text"), UPPER, LOWER))
+    each = F.transform(F.sequence(F.lit(0), F.size("w") - width), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(width))))
+    some = F.when(F.size("w") >= width, each).when(F.size("w") > 0, F.array(F.xxhash64(F.concat_ws(" ", "w")))).otherwise(F.array().cast("array<bigint>"))
+    return written(held.select("v", w.alias("w")).select("v", F.array_distinct(some).alias("s")).groupBy("v").agg(F.first("s").alias("s")), "shingles")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are that similar by Jaccard; sets without a shingle are alike."""
+    both = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    counted = both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y") - shared).alias("all"))
+    return counted.filter((F.col("n") == F.col("all")) | (F.col("n") / F.col("all") >= similarity)).select("a", "b")
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, segments: int = 10, crowded: int = 32) -> DataFrame:
+    """t, first_id and label for each distinct text: texts with one label are connected by similar pairs.
+
+    Candidates are compared in rounds: first one for each text, then four, then all that are left; pairs
+    that are in one component by then needn't be.
+    """
+    found = texts(docs, segments)
+    left = written(candidates(found, crowded), "candidates")
+    ends = left.select(F.col("a").alias("v")).union(left.select("b")).distinct()
+    sets = shingle_sets(docs, found.join(ends, "v").select("v", "t", "first_id"), width)
+    linked, labels = None, None
+    for most in (1, 4, None):
+        nth = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+        now = left if most is None else written(left.withColumn("k", nth).filter(F.col("k") <= most).drop("k"), "compared")
+        similar = _similar(now, sets, similarity)
+        linked = written(similar if linked is None else linked.union(similar), "links")
+        labels = smallest_labels(linked)
+        if most is not None:
+            la, lb = labels.select(F.col("v").alias("a"), F.col("label").alias("la")), labels.select(F.col("v").alias("b"), F.col("label").alias("lb"))
+            rest = left.join(now, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
+            left = written(rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "open")
+    return found.join(labels, "v", "left").select("t", "first_id", F.coalesce("label", "v").alias("label"))
+
+
+def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, segments: int = 10, crowded: int = 32) -> DataFrame:
+    """One document of each component of near copies: the one with the smallest doc_id (of its texts, the smallest digest).
+
+    Defined results: null and blank texts are copies of one another; rows with a null doc_id stay, since nothing
+    names them; of rows with one doc_id, each text is judged for itself; of rows with one doc_id and text, one stays
+    (the smallest by a hash of all columns); columns of other names are left alone; an empty table gives no rows.
     """
-    found = near_duplicates(docs, width).filter("doc_id = component_id").select(F.col("doc_id").alias("_lectern_kept")).distinct()
-    named = docs.join(found, F.col("doc_id") == F.col("_lectern_kept")).drop("_lectern_kept").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    named = near_copies(docs, width, similarity, segments, crowded).filter("first_id is not null")
+    kept = named.groupBy("label").agg(F.min(F.struct("first_id", "t")).alias("one")).select(F.col("one.first_id").alias("_lectern_id"), F.col("one.t").alias("_lectern_t"))
+    own = docs.withColumn("_lectern_text", _text_id(F.col("text")))
+    held = own.filter("doc_id is not null").join(kept, (F.col("doc_id").cast("long") == F.col("_lectern_id")) & (F.col("_lectern_text") == F.col("_lectern_t")), "left_semi")
+    again = Window.partitionBy("doc_id", "_lectern_text").orderBy(F.xxhash64(*docs.columns))
+    once = held.withColumn("_lectern_nth", F.row_number().over(again)).filter("_lectern_nth = 1").drop("_lectern_nth", "_lectern_text")
+    return once.unionByName(docs.filter("doc_id is null"))

@@ -1,5 +1,7 @@
+import random
 from itertools import combinations
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -68,3 +70,41 @@ def test_odd_input(odd, none):
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted({r["component_id"] for r in rows if r["component_id"] is not None})
     assert kept.filter(F.col("doc_id").isNull()).count() == 2
+
+
+def jaccard(x, y, width=5):
+    a, b = (set(zip(*(t.lower().split()[k:] for k in range(width)))) for t in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def changed(text, rate, rng):
+    return " ".join(prose(1, rng.randrange(1 << 30)) if rng.random() < rate else w for w in text.split())
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 5])
+def test_a_text_is_kept_though_its_id_has_another_one_too(spark, partitions):
+    a, b = prose(50, 31), prose(50, 32)
+    rows = [(1, a, "en", "x", 1), (7, a, "en", "x", 1), (7, b, "en", "x", 1), (7, b, "en", "x", 1)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, COLUMNS).repartition(partitions)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, a), (7, b)]
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = random.Random(5)
+    texts = [prose(n, 1000 + k) for k, n in enumerate([120, 300, 60, 200, 400])]
+    texts = [*texts, *(changed(t, rng.uniform(0.002, 0.03), rng) for t in texts for _ in range(24)), *(prose(150, 5000 + k) for k in range(60)), "one two", "One  two", "three"]
+    rows = [(n, t, None, None, None) for n, t in enumerate(texts)]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    similar = [(i, j) for i, j in combinations(range(len(texts) - 3), 2) if jaccard(texts[i], texts[j]) >= 0.8] + [(len(texts) - 3, len(texts) - 2)]
+    for i, j in similar:
+        parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = {find(i) for i in range(len(texts))}
+    for crowded in (4, 32):
+        got = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, COLUMNS), crowded=crowded).select("doc_id").collect()}
+        assert want <= got and len(got - want) <= 0.05 * (len(texts) - len(want)), (crowded, len(want), len(got))
