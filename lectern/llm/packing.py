@@ -11,8 +11,10 @@ the fractional value is. Rounding takes whole multiples of the configurations as
 the fractions leave (a number bounded by the number of configurations) goes by best fit, largest first.
 
 The plan is a table of slots: for each length, which ranks go into which configuration. Pieces get their
-rank among those of their length from counts by task, so no task sees all pieces of a length, and find
-their slots by binary search in the plan, which is bounded by the program's parameters.
+rank among those of their length from counts by length and salt (at most `size` x SALTS numbers, whatever the
+corpus), so no task sees all pieces of a length. They find their slots by binary search in the plan, which goes to
+the tasks whole: it has at most rounds x pricings x `size` configurations of fewer than 91 different lengths each,
+and what best fit adds for the rest.
 
 Defined results: a null text is an empty one, so its one piece is the closing id alone; repeated rows
 are packed as often as they come; columns of other names are left alone; an empty table gives no rows.
@@ -36,28 +38,29 @@ from lectern.llm.tokens import public_tokenizer, word_ids
 
 SIZE = 4096
 END_ID = 1
+#: Into how many parts the pieces of one length are dealt.
+SALTS = 256
 
 
 def cut(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32; task and nth, its place among those of its length there."""
+    """A row for each piece: doc_id, piece, start, length, ids_crc32 and row, a number for the row of docs."""
     path = tokenizer or public_tokenizer()
     closing = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, met = TaskContext.get().partitionId(), Counter()
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
             out = []
             for doc, ids in zip(b["doc_id"].to_pylist(), word_ids(path).encode_batch(b["text"].to_pylist()), strict=True):
                 ids = memoryview(ids + closing)
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
-                    length = len(part) // 4
-                    out.append((doc, piece, at // 4, length, zlib.crc32(part), task, met[length]))
-                    met[length] += 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+                    out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), row))
+                row += 1
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
 
 
 def _knapsack(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,12 +264,14 @@ def _slots(fillings: list[tuple[tuple[int, ...], int]], shift: int = 40) -> tupl
 
 def place(pieces: DataFrame, size: int = SIZE, shift: int = 40) -> DataFrame:
     """The pieces (from `cut`, written) with sequence_id and offset."""
-    by_task = written(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "lengths")
-    histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
+    dealt = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(SALTS)).cast("int"))
+    counts = written(dealt.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     slots = _slots(plan(histogram, size), shift) or (np.zeros(0, np.int64),) * 5
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     sent = pieces.sparkSession.sparkContext.broadcast(slots)
+    kept = ("doc_id", "piece", "start", "length", "ids_crc32", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, starts, each, firsts, offsets = sent.value
@@ -274,13 +279,13 @@ def place(pieces: DataFrame, size: int = SIZE, shift: int = 40) -> DataFrame:
             length, rank = b["length"].to_numpy(), b["rank"].to_numpy()
             at = np.searchsorted(keys, (length << shift) | rank, side="right") - 1
             copy, k = np.divmod(rank - starts[at], each[at])
-            cols = [b[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(firsts[at] + copy), pa.array(offsets[at] + k * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(firsts[at] + copy), pa.array(offsets[at] + k * length)], [*kept, "sequence_id", "offset"])
 
-    ranked = pieces.join(bases, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row", "piece")) - 1
+    ranked = dealt.withColumn("nth", nth).join(bases.hint("merge"), ["length", "salt"]).select(*kept, (F.col("base") + F.col("nth")).alias("rank"))
+    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32, row (a number for the row of docs), sequence_id, offset for every piece of every document."""
     return place(written(cut(docs, size, end_id, tokenizer), "pieces"), size)
