@@ -3,13 +3,14 @@
 Each source has a mean repetition rate: its share of the wanted rows over the rows that it has. A
 document's number of copies is the inverse of the Poisson distribution with that mean at a uniform
 number that a hash of the seed and doc_id gives, so it doesn't depend on partitioning, and documents are
-independent. Copies are exploded and the whole is shuffled by a hash of document and copy, which spreads
+independent. A rate above PART is a sum of equal rates up to PART, each inverted at a number of its own (a sum of
+independent Poisson numbers is one again), so the table of the distribution stays short at any rate. Copies are exploded and the whole is shuffled by a hash of document and copy, which spreads
 a hot source over all partitions. Only built-in functions are used.
 
 Defined results: a source without a target weight keeps its rows once each, as do rows with a null source; a
 target for a source that has no rows is left out and the rest scaled up; rows with a null doc_id are drawn by their
-text's hash; repeated rows get the same number of copies each; a rate above `most_rate` is refused, since the
-inversion is a finite table; an empty table gives no rows; columns of other names are left alone.
+text's hash; repeated rows get the same number of copies each; an empty table gives no rows; columns of other
+names are left alone.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_RATE = 50.0
+from lectern.llm.common import let
+
+#: The largest mean that is inverted at once.
+PART = 50.0
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -28,13 +32,18 @@ def uniform(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _uniform_part(seed: str, name: Column, part: Column) -> Column:
+    """The number of a rate's part: the first one has the plain name."""
+    return uniform(seed, F.when(part == 0, name).otherwise(F.concat_ws("/", name, part.cast("string"))))
+
+
 def thresholds(rate: float) -> list[float]:
     """The Poisson distribution function at 0, 1, 2, ... up to where it is 1 within rounding."""
-    if not 0 <= rate <= MOST_RATE:
-        raise ValueError(f"a rate of {rate:g} is outside 0 to {MOST_RATE:g}")
+    if not 0 <= rate <= PART:
+        raise ValueError(f"a rate of {rate:g} is outside 0 to {PART:g}")
     term = total = math.exp(-rate)
     out, n = [total], 0
-    while total < 1 - 1e-15 and term > 1e-18:
+    while total < 1 - 1e-15 and (n < rate or term > 1e-18):
         n += 1
         term *= rate / n
         total += term
@@ -60,14 +69,21 @@ def mix(docs: DataFrame, weights: dict[str, float], rows: float | None = None, s
     """
     copy, shuffle_key = named
     rate = rates(docs, weights, rows)
-    cdf = F.create_map(*(x for s, r in sorted(rate.items()) for x in (F.lit(s), F.array(*map(F.lit, thresholds(r)))))) if rate else None
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    u = uniform(seed, name)
-    steps = F.try_element_at(cdf, F.coalesce(F.col("source"), F.lit(""))) if cdf is not None else F.lit(None)
-    # copies: how many of the thresholds the uniform number has reached
-    n = F.lit(1) if cdf is None else F.when(steps.isNull(), 1).otherwise(F.size(F.filter(steps, lambda t: t <= F.col("_lectern_u"))))
-    drawn = docs.drop(*named).withColumn("_lectern_u", u).withColumn("_lectern_n", n).filter("_lectern_n > 0")
-    copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("_lectern_n") - 1))).drop("_lectern_u", "_lectern_n")
+    n = F.lit(1)
+    if rate:
+        parts = {s: max(1, math.ceil(r / PART)) for s, r in rate.items()}
+        of = F.create_map(*(x for s, r in sorted(rate.items()) for x in (F.lit(s), F.struct(F.lit(parts[s]).alias("parts"), F.array(*map(F.lit, thresholds(r / parts[s]))).alias("steps")))))
+        source = F.try_element_at(of, F.coalesce(F.col("source"), F.lit("")))
+
+        def drawn_at(s: Column) -> Column:
+            """How many of the thresholds the uniform number of each part has reached."""
+            one = lambda part: F.size(F.filter(s["steps"], lambda t: t <= _uniform_part(seed, name, part)))
+            return F.aggregate(F.sequence(F.lit(0), s["parts"] - 1), F.lit(0), lambda total, part: total + one(part))
+
+        n = F.when(source.isNull(), 1).otherwise(let(source, drawn_at))
+    drawn = docs.drop(*named).withColumn("_lectern_n", n).filter("_lectern_n > 0")
+    copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("_lectern_n") - 1))).drop("_lectern_n")
     keyed = copies.withColumn(shuffle_key, F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), name, F.col(copy).cast("string")).cast("binary")))
     return keyed.repartition(shuffle_key).sortWithinPartitions(shuffle_key)
 
@@ -83,11 +99,13 @@ def mix_sql(weights: dict[str, float], seed: str = "mix-1", most: int = 400) ->
     """DuckDB SQL for doc_id, source, lang, text, copy and shuffle_key of `mix` over documents with doc_ids."""
     return f"""
     WITH rate AS ({rates_sql(weights)}),
-    term AS (SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM rate, range({most}) r(k)),
+    parts AS (SELECT source, rate, greatest(1, ceil(rate / {PART!r}))::INT AS parts FROM rate),
+    term AS (SELECT source, k, exp(-rate / parts + k * ln(rate / parts) - lgamma(k + 1)) AS p FROM parts, range({most}) r(k)),
     cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS f FROM term),
-    drawn AS (SELECT d.*, ('0x' || substr(md5('{seed}:' || doc_id), 1, 13))::BIGINT / {float(1 << 52)!r} AS u FROM documents d),
-    counted AS (SELECT d.*, CASE WHEN r.source IS NULL THEN 1 ELSE (SELECT count(*) FROM cdf WHERE cdf.source = d.source AND cdf.f <= d.u) END AS n
-                FROM drawn d LEFT JOIN rate r ON d.source = r.source)
+    part AS (SELECT d.doc_id, d.source, unnest(range(parts)) AS part FROM documents d JOIN parts USING (source)),
+    drawn AS (SELECT doc_id, source, part, ('0x' || substr(md5('{seed}:' || doc_id || CASE WHEN part = 0 THEN '' ELSE '/' || part END), 1, 13))::BIGINT / {float(1 << 52)!r} AS u FROM part),
+    reached AS (SELECT doc_id, sum((SELECT count(*) FROM cdf WHERE cdf.source = drawn.source AND cdf.f <= drawn.u)) AS n FROM drawn GROUP BY doc_id),
+    counted AS (SELECT d.*, CASE WHEN r.source IS NULL THEN 1 ELSE n END AS n FROM documents d LEFT JOIN rate r ON d.source = r.source LEFT JOIN reached USING (doc_id))
     SELECT doc_id, source, lang, text, copy::INTEGER AS copy, md5('{seed}/order:' || doc_id || ':' || copy) AS shuffle_key
-    FROM counted, LATERAL (SELECT unnest(range(n)) AS copy) x
+    FROM counted, LATERAL (SELECT unnest(range(n::BIGINT)) AS copy) x
     """

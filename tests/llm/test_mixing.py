@@ -9,7 +9,12 @@ from tests.llm.conftest import COLUMNS, odd_rows
 
 
 def brute_copies(doc_id, rate, seed="mix-1"):
-    u = int(hashlib.md5(f"{seed}:{doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+    parts = max(1, math.ceil(rate / mixing.PART))
+    return sum(brute_part(f"{doc_id}/{k}" if k else doc_id, rate / parts, seed) for k in range(parts))
+
+
+def brute_part(name, rate, seed):
+    u = int(hashlib.md5(f"{seed}:{name}".encode()).hexdigest()[:13], 16) / 2**52
     n, term = 0, math.exp(-rate)
     total = term
     while total <= u:
@@ -32,6 +37,14 @@ def test_copies_follow_the_inverse_distribution(spark):
     assert abs(share - 0.75) < 0.03 and len({r["shuffle_key"] for r in got}) == len(got)
 
 
+def test_a_small_source_with_a_large_weight(spark):
+    rows = [(n, f"t{n}", "en", "few" if n % 100 == 0 else "many", 1) for n in range(2000)]
+    got = mixing.mix(spark.createDataFrame(rows, COLUMNS).repartition(3), {"few": 0.9, "many": 0.1}, rows=4000).collect()
+    want = {n: brute_copies(n, 4000 * 0.9 / 20) for n in range(0, 2000, 100)}  # 180 copies each
+    assert Counter(r["doc_id"] for r in got if r["source"] == "few") == want
+    assert abs(sum(want.values()) - 3600) < 4 * 60 and len({r["shuffle_key"] for r in got}) == len(got)
+
+
 def test_odd_input(odd, none):
     out = mixing.mix(odd, {"a": 1.0, "missing": 3.0})
     assert out.columns[:5] == odd.columns[:5]
