@@ -14,7 +14,8 @@ are linked by construction, so a minimum is enough. Both ways are exact.
 Jaccard to at least 0.8. That is some ten bits of a 64-bit fingerprint, too many for segments that one can
 still look up, so its candidates come from fingerprints of `segments` x 32 bits over word pairs, and the
 similarity itself is then computed for every candidate that isn't in one component already. A bucket with more than
-`crowded` texts gives each a link to the bucket's least text and to a neighbour, not all pairs. What fraction
+`crowded` texts compares each with the bucket's least and greatest text, not all pairs; what differs from those
+meets others in its other buckets. What fraction
 of similar pairs the search finds is measured in the tests and stated in the README.
 
 Components are smallest labels, spread along links and shortened by pointer jumping until none moves, with
@@ -189,14 +190,12 @@ def candidates(found: DataFrame, crowded: int = 32) -> DataFrame:
     at = found.select("v", F.posexplode("fp").alias("seg", "bits")).select("v", "seg", "bits", F.explode(F.sequence(F.lit(0), F.lit(HALF - 1))).alias("bit"))
     key = _without(F.col("bits"), F.col("bit")) + (F.col("seg") * HALF + F.col("bit")).cast("long") * F.lit(1 << HALF)
     index = at.select(key.alias("key"), "v").repartition("key")  # dealt once, for the counts and the join
-    met = index.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("least")).filter("n > 1")
+    met = index.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest")).filter("n > 1")
     shared = written(index.join(met.hint("merge"), "key"), "buckets")
     few, many = shared.filter(F.col("n") <= crowded), shared.filter(F.col("n") > crowded)
     x, y = few.select("key", F.col("v").alias("a")), few.select("key", F.col("v").alias("b"))
-    star = many.select(F.col("least").alias("a"), F.col("v").alias("b"))
-    part = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / 10_000))  # so that no bucket is one task's work
-    chain = many.select(F.lag("v").over(Window.partitionBy("key", part).orderBy("v")).alias("a"), F.col("v").alias("b"))
-    return x.join(y, "key").select("a", "b").union(star).union(chain).filter("a < b").distinct()
+    star = many.select(F.col("least").alias("a"), F.col("v").alias("b")).union(many.select(F.col("v").alias("a"), F.col("greatest").alias("b")))
+    return x.join(y, "key").select("a", "b").union(star).filter("a < b").distinct()
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = 5) -> DataFrame:
