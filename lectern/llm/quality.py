@@ -2,13 +2,14 @@
 
 Lines are normalised (lower case, digits as 0, single spaces) and hashed. For each host (the column
 `source`), the distinct documents that hold a line are counted; exact copies of a text count as one
-document. A line is removed from a document if at least `min_docs` documents of its host and at least
-`min_share` of them hold it; a document that keeps less than `min_left` of its words, or fewer than
-`min_words`, is depleted and rejected. Only built-in functions are used.
+document, since to drop copies is another operator's work. A line is removed from a document if at least `min_docs`
+documents of its host hold it, and at least `min_share` of them or `most_docs`, whichever is less; a document that
+keeps less than `min_left` of its words, or fewer than `min_words`, is depleted and rejected. `clean` gives the texts
+without those lines, `judge` the counts and verdicts. Only built-in functions are used.
 
-Counts are made with partial sums before each shuffle, first by host, line and text, so a host or line
-that a third of all documents share is dealt by text; only lines at or above the limit are joined
-back, by a join that adaptive execution can split.
+Lines are written once and used for counting and removing. Counts are made with partial sums before each shuffle,
+first by host, line and text, so a host or line that a third of all documents share is dealt by text; only lines at
+or above the limit are joined back, by a join that adaptive execution can split.
 
 Defined results: a null text has no words, so it fails the base rules; a null host is a host of its own;
 rows with one doc_id are judged each by its own text; repeated rows come out as often as they go in;
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WS, WS_RE, let, words
+from lectern.llm.common import WS, WS_RE, let, words, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -59,12 +60,15 @@ def repeated_lines(text: Column) -> Column:
 def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
     """The columns to keep, th (hash of the text) and the base counts with base_failed."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    m = docs.select(*keep, text.alias("_t")).withColumn("_w", words(F.col("_t")))
+    rows = docs.select(*keep, text.alias("_t"))
     bare = F.length(F.translate(F.col("_t"), WS, ""))
-    counts = m.select(
-        *keep, F.xxhash64("_t").alias("th"), F.size("_w").cast("bigint").alias("n_words"), bare.cast("bigint").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate(F.col("_t"), SYMBOLS, ""))).cast("bigint").alias("n_symbols"), repeated_lines(F.col("_t")).alias("n_dup_lines"), repeated_words(F.col("_w")).alias("n_repeat_words"),
+    # both counts of words in one expression: a filter on them that is pushed down still splits the text once
+    of_words = let(words(F.col("_t")), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    m = rows.select(
+        *keep, F.xxhash64("_t").alias("th"), of_words.alias("_w"), bare.cast("bigint").alias("word_chars"),
+        (F.length("_t") - F.length(F.translate(F.col("_t"), SYMBOLS, ""))).cast("bigint").alias("n_symbols"), repeated_lines(F.col("_t")).alias("n_dup_lines"),
     )
+    counts = m.select(*keep, "th", "_w.n_words", "word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words")
     return counts.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
@@ -77,29 +81,46 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "host", "th", "pos", F.xxhash64(plain).alias("line"), F.size(F.split("raw", WS_RE)).cast("bigint").alias("words"))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 10, min_share: float = 0.002) -> DataFrame:
-    """(host, line) of the lines to remove."""
-    held = _lines(docs).select("host", "line", "th").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+def frequent_lines(docs: DataFrame, lines: DataFrame, min_docs: int = 10, min_share: float = 0.002, most_docs: int = 100) -> DataFrame:
+    """(host, line) of the lines to remove; lines: of `docs`."""
+    held = lines.select("host", "line", "th").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hosts = docs.select(F.col("source").alias("host"), F.xxhash64(text).alias("th")).distinct().groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("host_docs"))
-    return held.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("n_docs") >= min_share * F.col("host_docs")).select("host", "line")
+    limit = F.least(F.lit(min_share) * F.col("host_docs"), F.lit(float(most_docs)))
+    return held.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("n_docs") >= limit).select("host", "line")
 
 
-def judge(docs: DataFrame, min_docs: int = 10, min_share: float = 0.002, min_left: float = 0.5, min_words: int = 10) -> DataFrame:
-    """doc_id, the base counts, base_failed, n_removed_words and kept for each row of docs."""
-    often = frequent_lines(docs, min_docs, min_share).select(F.col("host").alias("_host"), F.col("line").alias("_line"))
-    hit = _lines(docs).join(often, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")))
+def _decided(docs: DataFrame, whole: bool, min_left: float = 0.5, min_words: int = 10, **limits) -> DataFrame:
+    """The measures of each row with n_removed_words, places (of the lines to remove, from 0) and kept; whole: also row, a struct of all columns."""
+    lines = written(_lines(docs), "lines")
+    often = frequent_lines(docs, lines, **limits).select(F.col("host").alias("_host"), F.col("line").alias("_line"))
+    hit = lines.join(often, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")))
     # rows with the same doc_id, host and text have the same lines, which count once
-    removed = hit.select("doc_id", "host", "th", "pos", "words").distinct().groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("th").alias("_th")).agg(F.sum("words").alias("n_removed"))
-    m = measures(docs)
+    removed = hit.select("doc_id", "host", "th", "pos", "words").distinct().groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("th").alias("_th"))
+    removed = removed.agg(F.sum("words").alias("n_removed"), F.collect_list("pos").alias("places"))  # no more places than the text has lines
+    rows = docs.select("doc_id", "source", "text", *([F.struct(*docs.columns).alias("row")] if whole else []))
+    m = measures(rows, ("doc_id", "source", *(["row"] if whole else [])))
     same = m["doc_id"].eqNullSafe(removed["_id"]) & m["source"].eqNullSafe(removed["_host"]) & (m["th"] == removed["_th"])
     j = m.join(removed, same, "left").withColumn("n_removed_words", F.coalesce("n_removed", F.lit(0)))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & ((left < min_left * F.col("n_words")) | (left < min_words))
-    return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "n_removed_words")
+    return j.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def judge(docs: DataFrame, **limits) -> DataFrame:
+    """doc_id, the base counts, base_failed, n_removed_words and kept for each row of docs."""
+    return _decided(docs, False, **limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+
+
+def clean(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of docs that are kept, their texts without the lines that are frequent in their host."""
+    lines = F.filter(F.split(F.col("row.text").cast("string"), "\n"), lambda x, i: ~F.array_contains(F.col("places"), i))
+    text = F.when(F.col("places").isNull(), F.col("row.text")).otherwise(F.array_join(lines, "\n"))
+    kept = _decided(docs, True, **limits).filter("kept")
+    return kept.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
-def judge_sql(min_docs: int = 10, min_share: float = 0.002, min_left: float = 0.5, min_words: int = 10) -> str:
+def judge_sql(min_docs: int = 10, min_share: float = 0.002, most_docs: int = 100, min_left: float = 0.5, min_words: int = 10) -> str:
     """DuckDB SQL for the result of `judge` over the table documents, whose doc_ids are distinct."""
     ws = "[\\x20\\x09-\\x0D]+"
     return f"""
@@ -111,7 +132,7 @@ def judge_sql(min_docs: int = 10, min_share: float = 0.002, min_left: float = 0.
     word_line AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(raw, '^{ws}', ''), '{ws}$', '')), '{ws}', ' ', 'g'), '[0-9]', '0', 'g') AS plain FROM line WHERE n > 0),
     dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM word_line GROUP BY doc_id),
     often AS (SELECT l.source, l.plain FROM (SELECT source, plain, count(DISTINCT th) AS n FROM word_line GROUP BY source, plain) l
-              JOIN (SELECT source, count(DISTINCT md5(t)) AS n FROM d GROUP BY source) h ON l.source IS NOT DISTINCT FROM h.source WHERE l.n >= {min_docs} AND l.n >= {min_share} * h.n),
+              JOIN (SELECT source, count(DISTINCT md5(t)) AS n FROM d GROUP BY source) h ON l.source IS NOT DISTINCT FROM h.source WHERE l.n >= {min_docs} AND l.n >= least({min_share} * h.n, {most_docs})),
     gone AS (SELECT doc_id, sum(n) AS n FROM word_line l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.plain = o.plain GROUP BY doc_id),
     m AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '{ws}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
             coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words

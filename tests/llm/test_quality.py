@@ -38,13 +38,24 @@ def test_frequent_lines_and_depletion(spark):
     assert all(got[50 + k] == (n, False) for k in range(3))  # little is left
     assert all(got[100 + k] == (0, True) for k in range(4))  # too few documents of host b
     assert got[200] == (0, True)  # copies are one document
+    cleaned = {r["doc_id"]: r["text"] for r in quality.clean(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert set(cleaned) == {k for k, (_, kept) in got.items() if kept}
+    assert all(cleaned[n] == prose(30, n) for n in range(12)) and all(cleaned[r[0]] == r[1] for r in rows if 100 <= r[0] < 104)
+
+
+def test_a_line_of_many_documents_goes_from_a_host_of_any_size(spark):
+    rows = [(n, f"{prose(20, n)}\n{'the same words at the end' if n < 30 else prose(5, 9000 + n)}", "en", "a", 1) for n in range(400)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    removed = lambda **limits: {r["doc_id"] for r in quality.judge(docs, **limits).filter("n_removed_words > 0").collect()}
+    assert removed(min_share=0.5) == set() and removed(min_share=0.5, most_docs=30) == set(range(30)) and removed() == set(range(30))
 
 
 def test_odd_input(odd, none):
     rows = quality.judge(odd).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == sorted((r[0] is None, r[0] or 0) for r in odd_rows())
     assert all(not r["kept"] for r in rows if r["n_words"] < 10)
-    assert quality.judge(none).count() == 0
+    assert quality.judge(none).count() == 0 and quality.clean(none).count() == 0
+    assert quality.clean(odd).columns == odd.columns and quality.clean(odd).count() == sum(r["kept"] for r in rows)
     by = defaultdict(set)
     for r in rows:
         by[r["doc_id"]].add(tuple(r))
