@@ -128,7 +128,33 @@ class Scorer:
 
     def probability(self, best: float, n: int) -> float:
         a, b, c = self.model.curve
-        return float(1 / (1 + np.exp(-np.clip(a + b * min(best, 30.0) + c * np.log1p(n), -30, 30))))
+        z = max(a + b * strength(best) + c * float(np.log1p(n)), -30.0)
+        # far up, where a double would be 1, the order of the evidence stays
+        return float(1 / (1 + np.exp(-(z if z <= 20 else 20 + np.log1p(z - 20)))))
+
+
+def strength(best: float) -> float:
+    """The surprise of a best segment as the curve sees it: past 30 it still grows, but slowly."""
+    return best if best <= 30 else 30 + float(np.log(best / 30))
+
+
+def _in_tasks(tune: DataFrame, model: Model) -> DataFrame:
+    """Of each text (text, toxic): toxic, words, the sum of its best segment, its surprise, how many significant ones, and its scores above 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for b in batches:
+            out = []
+            for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
+                words = WORD.findall(text.lower())
+                scores = once_in_a_row(words, [model.word(w) for w in words])
+                top = max((s for _, _, s in segments(scores, model.gap)), default=0.0)
+                _, best, kept = scorer.evidence(text)
+                out.append((int(toxic), len(words), top, best, len(kept), scores[scores > 0].tolist()))
+            kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], ["toxic", "words", "top", "best", "kept", "scores"])
+
+    return tune.mapInArrow(run, "toxic int, words long, top double, best double, kept long, scores array<double>")
 
 
 def _counts(train: DataFrame) -> DataFrame:
@@ -196,29 +222,21 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, min_z
     weight = {r["unit"]: r["w"] for r in found.filter((F.col("z") >= min_z) & (F.col("w") >= 1)).collect()}
     model = Model(weight, gap=gap)
 
-    # the law of segment sums in documents of the other kind
-    held = []  # toxic, words, best sum: of the bounded sample's last fold
-    rates: Counter = Counter()
-    n_words = 0
-    for r in tune.toLocalIterator():
-        words = WORD.findall(r["text"].lower())
-        scores = once_in_a_row(words, [model.word(w) for w in words])
-        held.append((int(r["toxic"]), r["text"], len(scores), max((s for _, _, s in segments(scores, gap)), default=0.0)))
-        if r["toxic"] == 0:
-            n_words += len(scores)
-            rates.update(scores[scores > 0].tolist())
+    # the law of segment sums in documents of the other kind; a row for each text of the last fold comes here, but no text
+    held = written(_in_tasks(tune, model), "tuned")
+    others = [(r["words"], r["top"]) for r in held.filter("toxic = 0").select("words", "top").collect()]
+    # no more rows than there are weights
+    rates = Counter({r["s"]: float(r["n"]) for r in held.filter("toxic = 0").select(F.explode("scores").alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()})
     for w in weight.values():  # half a word is taken to have been met besides
         rates[w] += 0.5 / len(weight)
     draws, mass = np.array(list(rates) or [1.0]), np.array(list(rates.values()) or [0.5])
-    model.lam = _lambda(min(float(mass.sum()) / (n_words + 1), 0.2), lambda x: float((mass * np.exp(x * draws)).sum() / mass.sum()), gap)
-    others = [(m, s) for toxic, _, m, s in held if not toxic]
+    model.lam = _lambda(min(float(mass.sum()) / (sum(m for m, _ in others) + 1), 0.2), lambda x: float((mass * np.exp(x * draws)).sum() / mass.sum()), gap)
     model.k = float(np.clip((sum(s > 0 for _, s in others) + 0.5) / (sum(m * np.exp(-model.lam * s) for m, s in others) + 1), 1e-6, 1.0))
 
-    truth = np.array([toxic for toxic, *_ in held], float)
+    found = _in_tasks(tune, model).select("toxic", "best", "kept").collect()
+    truth = np.array([r["toxic"] for r in found], float)
     if 0 < truth.sum() < len(truth):
-        scorer = Scorer(model)
-        x = [(min(best, 30.0), np.log1p(len(kept))) for _, best, kept in (scorer.evidence(text) for _, text, _, _ in held)]
-        model.curve = tuple(float(c) for c in _logistic(np.array(x), truth))
+        model.curve = tuple(float(c) for c in _logistic(np.array([(strength(r["best"]), np.log1p(r["kept"])) for r in found]), truth))
     else:
         model.curve = (float(np.log((n_yes + 0.1) / (n_no + 0.9))), 0.5, 0.5)
     return model

@@ -61,6 +61,27 @@ def test_held_out_accuracy_and_passages(spark):
     assert toxicity.train(d, swapped).weight == model.weight  # held-out labels are never looked at
 
 
+def test_the_law_is_calibrated_and_scores_dont_tie(spark):
+    docs, labels = corpus()
+    d, lab = spark.createDataFrame(docs, COLUMNS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(d, lab)
+    # lambda solves its equation over the scores of words of the last fold's other documents
+    tune = [t for (i, t, *_), (_, _, y) in zip(docs, labels) if zlib.crc32(str(i).encode()) % 5 == 4 and not y]
+    scores, n = [], 0
+    for t in tune:
+        w = toxicity.WORD.findall(t.lower())
+        s = toxicity.once_in_a_row(w, [model.word(x) for x in w])
+        scores, n = scores + s[s > 0].tolist(), n + len(w)
+    draws = scores + list(model.weight.values())
+    mass = [1.0] * len(scores) + [0.5 / len(model.weight)] * len(model.weight)
+    rate = min(sum(mass) / (n + 1), 0.2)
+    assert abs((1 - rate) * np.exp(-model.lam * model.gap) + rate * sum(m * np.exp(model.lam * x) for m, x in zip(mass, draws)) / sum(mass) - 1) < 1e-6
+    assert 1e-6 <= model.k <= 1
+    scorer = toxicity.Scorer(model)
+    p = [scorer.probability(best, 3) for best in (1, 5, 20, 29, 31, 40, 60, 200)]
+    assert p == sorted(p) and len(set(p)) == len(p)
+
+
 def test_odd_input(spark, odd, none):
     docs, labels = corpus(200)
     lab = spark.createDataFrame([*labels, (None, None, None), (1, 1, None), (99999, 0, 1)], "doc_id long, quality int, toxic int")
