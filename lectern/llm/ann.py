@@ -1,19 +1,21 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals and exact reranking.
 
-Coarse centroids and the codebooks of the residuals are fitted on a bounded sample chosen by a hash; how
-many lists a query probes is tuned on the same sample for a recall of at least `target`. Every vector is
-then assigned to the list of its nearest centroid and coded. Lists are cut into blocks by a hash of the
-id, so a list that holds a third of all vectors is many tasks' work; queries go to all blocks of the
-lists that they probe. Within a block, tables of distances from each query's residual to the codewords
-give approximate distances by look-ups; the best of each query in the block are reranked by their exact
-distance, and a query's best over all blocks are its neighbours.
+Coarse centroids (about the square root of the number of vectors, as far as the sample goes) and the codebooks of
+the residuals are fitted on a bounded sample chosen by a hash; how many lists a query probes is tuned on the
+same sample for a recall of at least `target`. Every vector is then assigned to the list of its nearest centroid and
+coded. Lists are packed into blocks of about `block` codes; one that is larger, as when it holds a third of all
+vectors, is dealt over several by a hash of the id. Queries are packed likewise, by their own nearest list, so those
+that probe the same lists share a block. Each pair of blocks that meets is one task's work: tables of distances from
+each query's residual to the codewords give approximate distances by look-ups, and the best `rerank` of a query are
+kept. Over all blocks again the best `rerank` of each query are kept, and only those are compared exactly, once.
+
+A query probes further lists until they hold more than k vectors, so none gets fewer neighbours than there are.
 
 Distance is Euclidean, in double precision on the original vectors; ties go to the smaller id, in the
 approximate order as in the exact one. Defined results: vectors that are null or zero or hold null or
 non-finite components take no part; if lengths differ, those of the commonest length do (the smaller of
 equally common ones); rows with a null id take no part; of rows with one id, the one with the smaller
-hash does; a query with fewer than k candidates gets all of them (an exact scan of the few lists that
-exist); columns of other names are left alone; an empty table gives no rows.
+hash does; a query with fewer than k candidates gets all of them; columns of other names are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -70,7 +72,7 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
     return centres
 
 
-def fit(sample: np.ndarray, lists: int = 64, parts: int = 16, codes: int = 256, k: int = 10, target: float = 0.97, tuned_on: int = 200, rerank: int = 100) -> Index:
+def fit(sample: np.ndarray, lists: int = 64, parts: int = 16, codes: int = 256, k: int = 10, target: float = 0.98, tuned_on: int = 200) -> Index:
     rng = np.random.default_rng(7)
     dim = sample.shape[1]
     while dim % parts:
@@ -102,67 +104,122 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return v.groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sampled: int = 10_000, rerank: int = 100, block: int = 4_096, **fitted) -> DataFrame:
+def _packed(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each list: its first block, and over how many blocks it is dealt. Small ones share a block with their neighbours."""
+    first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    at, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            at, held = at + 1, 0
+        first[i], parts[i] = at, max(1, -(-n // most))
+        if n > most:
+            at, held = at + parts[i], 0
+        else:
+            held += n
+    return first, parts
+
+
+def _sizes(df: DataFrame, lists: int) -> np.ndarray:
+    """Rows by list: at most `lists` numbers."""
+    out = np.zeros(lists, np.int64)
+    for r in df.groupBy("list").agg(F.count("*").alias("n")).collect():
+        out[r["list"]] = r["n"]
+    return out
+
+
+def _dealt(first: np.ndarray, parts: np.ndarray, key: str) -> Column:
+    """The block of a row, by its list and a hash of its key."""
+    of = F.get(F.lit(first.tolist()), F.col("list")) if len(first) else F.lit(0)
+    return (of + F.pmod(F.xxhash64(key), F.get(F.lit(parts.tolist()), F.col("list")))).cast("long")
+
+
+def _top(d: np.ndarray, most: int) -> np.ndarray:
+    """The places of the `most` smallest, smallest first; of equal ones, in order of place."""
+    if most >= len(d):
+        return np.argsort(d, kind="stable")
+    at = np.flatnonzero(d <= np.partition(d, most - 1)[most - 1])
+    return at[np.argsort(d[at], kind="stable")][:most]
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sampled: int = 10_000, rerank: int = 400, block: int = 65_536, together: int = 4_096, lists: int | None = None, **fitted) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other vectors found for each vector with `queries` (a condition on `id`).
 
-    sampled: about how many vectors the index is fitted on. rerank: of each query in each block, how many
-    are compared exactly. block: about how many vectors share a block.
+    sampled: about how many vectors the index is fitted on. rerank: how many of each query are compared exactly.
+    block, together: about how many vectors and queries meet in one task at a time. lists: of the index (default: the
+    square root of the number of vectors; an eighth of the sample at most).
     """
     rows = written(usable(vectors, id_col, vec_col), "vectors")
-    out = "query_id long, vec_id long, score double"
     sample = hashed_sample(rows.select("id", "v"), F.col("id"), sampled, "ann")
     sample = np.array([r["v"] for r in sample.orderBy("id").collect()], float)
     if not len(sample):
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    index = fit(sample, k=k, rerank=rerank, **fitted)
+    index = fit(sample, lists or int(np.ceil(np.sqrt(rows.count()))), k=k, **fitted)
+    n_lists, dim = len(index.coarse), sample.shape[1]
     sent = rows.sparkSession.sparkContext.broadcast(index)
+    stacked = lambda b, c: np.stack(b[c].to_numpy()).astype(float) if len(b) else np.zeros((0, dim))
 
     def assign(batches):
         for b in batches:
-            x = np.stack(b["v"].to_numpy()).astype(float) if len(b) else np.zeros((0, sample.shape[1]))
-            lists = sent.value.nearest_lists(x, 1)[:, 0] if len(x) else np.zeros(0, int)
-            yield pd.DataFrame({"list": lists, "id": b["id"], "v": b["v"], "codes": [c.tobytes() for c in sent.value.encode(x, lists)] if len(x) else []})
+            x = stacked(b, "v")
+            at = sent.value.nearest_lists(x, 1)[:, 0] if len(x) else np.zeros(0, int)
+            yield pd.DataFrame({"list": at, "id": b["id"], "codes": [c.tobytes() for c in sent.value.encode(x, at)] if len(x) else []})
+
+    coded = written(rows.mapInPandas(assign, "list int, id long, codes binary"), "coded")
+    sizes = _sizes(coded, n_lists)
+    first, parts = _packed(sizes, block)
+    asked = written(rows.filter(queries).join(coded.select("id", "list"), "id").select("id", "v", "list"), "asked")
+    q_first, q_parts = _packed(_sizes(asked, n_lists), together)
+    where = rows.sparkSession.sparkContext.broadcast((sizes, first, parts))
 
     def probe(batches):
+        """Each query once for each block that holds a list which it probes; a list in several blocks is in all of them."""
+        sizes, first, parts = where.value
         for b in batches:
-            x = np.stack(b["v"].to_numpy()).astype(float) if len(b) else np.zeros((0, sample.shape[1]))
-            lists = sent.value.nearest_lists(x, sent.value.probes) if len(x) else np.zeros((0, 1), int)
-            n = lists.shape[1]
-            yield pd.DataFrame({"list": lists.ravel(), "query_id": np.repeat(b["id"].to_numpy(), n), "q": np.repeat(b["v"].to_numpy(), n)})
-
-    coded = written(rows.mapInPandas(assign, "list int, id long, v array<double>, codes binary"), "coded")
-    # at most `lists` rows
-    sizes = coded.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    held = coded.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-    asked = rows.filter(queries).mapInPandas(probe, "list int, query_id long, q array<double>").join(F.broadcast(sizes), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+            x = stacked(b, "v")
+            order = sent.value.nearest_lists(x, n_lists) if len(x) else np.zeros((0, n_lists), int)
+            out = []
+            for q, mine, of, v in zip(b["id"], b["part"], order, x):
+                enough = int(np.searchsorted(np.cumsum(sizes[of]), k, side="right")) + 1
+                of = of[: max(sent.value.probes, enough)]
+                at: dict[int, list[int]] = {}
+                for one in of[sizes[of] > 0].tolist():
+                    for n in range(first[one], first[one] + parts[one]):
+                        at.setdefault(n, []).append(one)
+                out += [(n, mine, q, v.astype(np.float32), some) for n, some in at.items()]
+            yield pd.DataFrame(out, columns=["block", "part", "query_id", "q", "lists"])
+
+    probes = written(asked.withColumn("part", _dealt(q_first, q_parts, "id")).mapInPandas(probe, "block long, part long, query_id long, q array<float>, lists array<int>"), "probes")
+    met = probes.select(F.col("block").alias("of_block"), F.col("part").alias("of_part")).distinct()
+    held = coded.withColumn("of_block", _dealt(first, parts, "id")).join(met, "of_block")
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        """The best of one block for the queries that probe its list."""
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        b = b.sort_values("id", kind="stable")
-        ids, x = b["id"].to_numpy(), np.stack(b["v"].to_numpy())
-        codes = np.frombuffer(b"".join(b["codes"]), np.uint8).reshape(len(b), -1)
+        """The best of one block for the queries of one part, by approximate distance."""
         found = []
-        for at in range(0, len(a), 256):
-            some = a.iloc[at : at + 256]
-            q = np.stack(some["q"].to_numpy())
-            d = sent.value.approximate(q, int(b["list"].iloc[0]), codes)
-            d[some["query_id"].to_numpy()[:, None] == ids] = np.inf
-            most = min(rerank, len(ids))
-            if most < len(ids):
-                # all up to the cut, ties by smaller id: codes in id order and a stable sort
-                order = np.argsort(d, axis=1, kind="stable")[:, :most]
-            else:
-                order = np.broadcast_to(np.arange(len(ids)), d.shape)
-            for one, own, top in zip(q, some["query_id"], order):
-                top = top[ids[top] != own]
-                exact = np.sqrt(((x[top] - one) ** 2).sum(1))
-                best = np.lexsort((ids[top], exact))[:k]
-                found.append(pd.DataFrame({"query_id": own, "vec_id": ids[top][best], "score": exact[best]}))
-        return pd.concat(found)
-
-    hits = asked.groupBy("list", "block").cogroup(held.groupBy("list", "block")).applyInPandas(search, out)
-    # a query has at most k hits from each block that it probes
-    best = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
+        if len(a) and len(b):
+            b = b.sort_values("id", kind="stable")
+            ids, at = b["id"].to_numpy(), b["list"].to_numpy()
+            codes = np.frombuffer(b"".join(b["codes"]), np.uint8).reshape(len(b), -1)
+            place = {n: np.flatnonzero(at == n) for n in np.unique(at).tolist()}
+            for k0 in range(0, len(a), 128):  # so the distances at a time are bounded
+                some = a.iloc[k0 : k0 + 128]
+                v, asks = np.stack(some["q"].to_numpy()).astype(float), [set(x.tolist()) for x in some["lists"]]
+                d = np.full((len(some), len(ids)), np.inf)  # in order of id
+                for n, where_ in place.items():
+                    mine = np.array([i for i, lists_ in enumerate(asks) if n in lists_], np.int64)
+                    if len(mine):
+                        d[np.ix_(mine, where_)] = sent.value.approximate(v[mine], n, codes[where_])
+                d[some["query_id"].to_numpy()[:, None] == ids] = np.inf
+                for q, row in zip(some["query_id"], d):
+                    top = _top(row, rerank)
+                    top = top[np.isfinite(row[top])]
+                    found.append(pd.DataFrame({"query_id": q, "vec_id": ids[top], "d": row[top]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "d": []})
+
+    hits = probes.groupBy("block", "part").cogroup(held.groupBy("of_block", "of_part")).applyInPandas(search, "query_id long, vec_id long, d double")
+    nth = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    # a query has at most `rerank` hits from each block
+    close = hits.withColumn("nth", nth("d", "vec_id")).filter(F.col("nth") <= rerank).select("query_id", "vec_id")
+    exact = close.join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    square = F.aggregate(F.zip_with("v", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x)
+    best = exact.select("query_id", "vec_id", F.sqrt(square).alias("score")).withColumn("rank", nth("score", "vec_id")).filter(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
