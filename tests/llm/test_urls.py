@@ -40,6 +40,24 @@ def test_trees_learn_from_labelled_urls(spark):
     assert sum(r["verdict"] == truth[r["page_id"]] for r in rows) >= 95
 
 
+def test_held_out_urls_of_the_given_pages(spark):
+    import os
+
+    import pytest
+
+    if not os.path.exists("/root/testdata/sf0.1/pages.parquet"):
+        pytest.skip("no tables here")
+    right, n = urls.held_out(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), RULES)
+    assert n >= 50 and right >= 0.95 * n
+
+
+def test_clashing_columns_and_long_urls(spark):
+    rows = [(1, "https://a.test/" + "x/" * 50_000 + "?" + "k=1&" * 20_000, "own", "own", "own"), (2, "https://m.net/" + "y" * 100_000, "own", "own", "own"), (2, "https://m.net/" + "y" * 100_000, "own", "own", "own")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string, label string")
+    got = sorted((r["page_id"], r["host"], r["rule"], r["verdict"], len(r["path"])) for r in urls.judge(pages, RULES).collect())
+    assert got == [(1, "a.test", None, "allow", 100_001), (2, "m.net", "net/", "block", 100_001), (2, "m.net", "net/", "block", 100_001)]
+
+
 def test_empty_and_unlabelled(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert urls.judge(none, RULES).count() == 0
