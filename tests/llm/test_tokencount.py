@@ -1,11 +1,13 @@
+import os
 from collections import Counter
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from lectern.llm import tokencount
 from lectern.llm.tokens import public_tokenizer
-from tests.llm.conftest import odd_rows
+from tests.llm.conftest import COLUMNS, odd_rows
 
 
 def test_counts_are_the_tokenizers(odd, none):
@@ -17,21 +19,45 @@ def test_counts_are_the_tokenizers(odd, none):
     assert tokencount.token_counts(none).count() == 0
 
 
-def test_scan_of_binary_files(spark, tmp_path):
+@pytest.mark.parametrize("width", [2, 4])
+def test_scan_of_binary_files(spark, tmp_path, width):
+    """Files of several ranges, with ids cut by ranges and blocks; with and without a last byte 10; with a byte-order mark; with a half id at the end."""
     rng = np.random.default_rng(5)
     want = {}
-    for f in range(3):
-        ids = rng.integers(0, 40, 1000 + f).astype("<u2")
-        ids[ids == 39] = 9
-        (tmp_path / f"{f}.bin").write_bytes(ids.tobytes())
+    for f in range(6):
+        ids = rng.integers(0, 3000, 40_000 + f).astype(f"<u{width}")
+        ids[rng.random(len(ids)) < 0.01] = 9
+        if f == 1:
+            ids[-1] = 10 << 8 * (width - 1)
+        if f == 2:
+            ids[:2] = [0xBBEF, 0x00BF] if width == 2 else [0x00BFBBEF, 7]
+        if f == 3:
+            ids[:2], ids[-1] = ([0xBBEF, 0x00BF] if width == 2 else [0x00BFBBEF, 7]), 10 << 8 * (width - 1)
+        if f == 4:
+            ids[:20_000] = 0x0A0A if width == 2 else 0x0A0A0A0A
+        (tmp_path / f"{f}.bin").write_bytes(ids.tobytes() + (b"\x07" if f == 5 else b""))
         at = [-1, *np.flatnonzero(ids == 9)]
         want[f] = [int(b - a - 1) for a, b in zip(at, at[1:])]
         rest = len(ids) - at[-1] - 1
         want[f] += [rest] if rest else []
     (tmp_path / "9.bin").write_bytes(b"")
-    for block in (1, 10, 5000):
-        rows = tokencount.scan(tokencount.split_blocks(spark, str(tmp_path), block), end_id=9).collect()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for block, piece in ((100, "9973"), (5000, "30001"), (1 << 18, old)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", piece)
+        try:
+            rows = tokencount.scan(tokencount.read_blocks(spark, str(tmp_path), width, block), end_id=9, width=width).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         got = {}
         for r in sorted(rows, key=lambda r: (r["file"], r["doc"])):
             got.setdefault(int(r["file"].rsplit("/", 1)[1][0]), []).append(r["n_tokens"])
-        assert got == want
+        assert got == want, (block, piece)
+
+
+def test_ids_that_dont_fit_are_an_error(spark):
+    path = public_tokenizer()
+    docs = spark.createDataFrame([(1, "some words here", None, None, None)], COLUMNS)
+    want = len(Tokenizer.from_file(path).encode("some words here", add_special_tokens=False).ids)
+    assert tokencount.scan(tokencount.write_flat(docs, 40_000, tokenizer=path, width=4), 40_000, 4).collect()[0]["n_tokens"] == want
+    with pytest.raises(OverflowError):
+        tokencount.write_flat(docs, 1 << 20, tokenizer=path, width=2)
