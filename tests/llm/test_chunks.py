@@ -1,3 +1,6 @@
+import random
+from collections import defaultdict
+
 from lectern.llm import chunks
 from tests.llm.conftest import COLUMNS, prose
 
@@ -38,7 +41,41 @@ def test_shared_passages_are_found_and_clean_documents_left_alone(spark):
     assert got[0]["n_removed"] == 0 and all(got[n]["n_removed"] > 0 and got[n]["first_docs"] == [0] for n in range(1, 5))
     for doc, text, *_ in rows[:5]:
         for p in got[doc]["passages"]:
-            assert text.encode()[p["start"] : p["stop"]].decode() in rows[0][1]
+            assert text.encode()[p["start"] : p["stop"]].decode() == passage
+
+
+def test_passages_against_all_sequences_of_words(spark):
+    """The documents that share 51 words in a row with another place, and no document that shares 50."""
+    rng, rows = random.Random(3), []
+    for k in range(160):
+        n = rng.choice([20, 35, 45, 50, 51, 52, 55, 60, 80, 200])
+        passage = prose(n, 9000 + k)
+        rows += [(len(rows) + j, f"{prose(rng.randrange(3, 40), 100_000 + 10 * k + j)} {passage} {prose(rng.randrange(3, 40), 200_000 + 10 * k + j)}", None, None, None) for j in range(rng.choice([2, 2, 3]))]
+    rows += [(5000, f"{(p := prose(70, 1))} {prose(30, 2)} {p}", None, None, None), (5001, prose(300, 3), None, None, None)]
+    places = defaultdict(set)
+    for doc, text, *_ in rows:
+        w = text.split()
+        for i in range(len(w) - 50):
+            places[tuple(w[i : i + 51])].add((doc, i))
+    want = {doc for at in places.values() if len(at) > 1 for doc, _ in at}
+    text = {r[0]: r[1].encode() for r in rows}
+    got = {r["doc_id"]: r for r in chunks.repeats(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert set(got) <= want and len(want - set(got)) <= 0.01 * len(want), (len(want), sorted(want - set(got)))
+    for doc, r in got.items():
+        assert r["n_passages"] == len(r["passages"]) and all(len(text[doc][p["start"] : p["stop"]].split()) >= 51 for p in r["passages"])
+        others = [t for d, t in text.items() if d != doc]
+        if doc != 5000:
+            assert all(any(text[doc][p["start"] : p["stop"]] in t for t in others) for p in r["passages"])
+        assert (r["n_removed"] == 0) == (r["first_docs"] == [doc]) or doc == 5000
+        assert r["removed_bytes"] <= sum(p["stop"] - p["start"] for p in r["passages"])
+
+
+def test_words_in_common():
+    assert chunks.in_common(b"a bcd ef", b"xx bcd ef", 0) == (2, 6) and chunks.in_common(b"bcd ef", b"bcd eff", 1) == (1, 3)
+    assert chunks.in_common(b"", b"a", 0) == (0, 0) and chunks.in_common(b"abc", b"zabc", 0) == (0, 0) and chunks.in_common(b"ab c", b"ab c", 1) == (2, 4)
+    data = prose(500, 4).encode()
+    assert len(chunks.around(data, len(data), 0, 51).split()) == 51 and len(chunks.around(data, 0, 1, 51).split()) == 51 and chunks.around(data, 0, 0, 5) == b""
+    assert chunks.around(b"x" * 5000 + b" y", 5002, 0, 1) == b"y" and chunks.around(b"x" * 5000 + b" y", 5002, 0, 2) == b"x" * 5000 + b" y"
 
 
 def test_odd_input(odd, none):
