@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import labels, text
+from lectern.sources.scratch import written
 
 #: What lists show; bodies stay unread.
 LIST_COLUMNS = (
@@ -28,27 +29,30 @@ def derived(cards: DataFrame) -> DataFrame:
         "resolution_label": labels.resolution_label(F.col("division"), F.col("zip_path")), "has_highlight": text.has_highlight(F.col("body_markdown")), "highlight_words": text.highlight_words(F.col("body_markdown")),
         "short_cite": text.short_cite(F.col("cite")), "fingerprint": text.fingerprint(F.col("body_plain")), "warrant_density": text.warrant_density(F.col("body_markdown")),
     })
-    return out.withColumn("group_key", F.when((F.col("short_cite") != "") & (F.col("fingerprint") != ""), F.concat("short_cite", F.lit("::"), "fingerprint")).otherwise(""))
+    cite = F.coalesce(F.nullif(F.col("short_cite"), F.lit("")), F.lit("unknown"))
+    return out.withColumn("group_key", F.when(F.col("fingerprint") != "", F.concat(cite, F.lit("::"), "fingerprint")).otherwise(""))
 
 
 def elect_canonical(cards: DataFrame) -> DataFrame:
     """variant_count and is_canonical: of each group the densest card, then by source entry and id.
 
-    The election reads narrow rows: keys are aggregated with partial maxima and joined back, so a group of
-    any size is never gathered.
+    A card without a key is a group of its own. The election reads narrow rows: keys are aggregated with partial
+    maxima and joined back, so a group of any size is never gathered.
     """
+    cards = cards.drop("variant_count", "is_canonical").withColumn("_group", F.when(F.coalesce("group_key", F.lit("")) != "", F.col("group_key")).otherwise(F.concat(F.lit("alone::"), "id")))
     best = F.min(F.struct((-F.coalesce("warrant_density", F.lit(-1.0))).alias("d"), "source_entry", "id"))
-    won = cards.groupBy("group_key").agg(F.count("*").alias("variant_count"), best.alias("_best")).select("group_key", "variant_count", F.col("_best.id").alias("_winner"))
-    return cards.drop("variant_count", "is_canonical").join(won, "group_key").withColumn("is_canonical", F.col("id") == F.col("_winner")).drop("_winner")
+    won = cards.groupBy("_group").agg(F.count("*").alias("variant_count"), best.alias("_best")).select("_group", "variant_count", F.col("_best.id").alias("_winner"))
+    return cards.join(won, "_group").withColumn("is_canonical", F.col("id") == F.col("_winner")).drop("_winner", "_group")
 
 
 def stored(cards: DataFrame) -> DataFrame:
-    return elect_canonical(derived(cards))
+    """The derived columns are written once: the election and the cards both read them."""
+    return elect_canonical(written(derived(cards), "derived"))
 
 
 def recanonicalise(cards: DataFrame, keys: DataFrame) -> DataFrame:
     """Only the groups of keys (group_key) are elected anew; all other cards stay as they are."""
-    touched = keys.select("group_key").distinct()
+    touched = keys.filter("group_key <> ''").select("group_key").distinct()
     redone = elect_canonical(cards.join(touched, "group_key", "left_semi"))
     return cards.join(touched, "group_key", "left_anti").unionByName(redone.select(*cards.columns))
 

@@ -17,18 +17,23 @@ def keys(items: DataFrame, id_col: str) -> DataFrame:
     return items.filter("url <> ''").select(F.col(id_col).alias("id"), F.explode(F.filter(some, lambda x: x.isNotNull())).alias("key"))
 
 
-def clusters(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, cluster): items connected by keys, named by their smallest id. Labels pass from items to keys and back until none changes."""
+def clusters(pairs: DataFrame) -> DataFrame:
+    """(id, cluster): items connected by keys, named by their smallest id.
+
+    Labels pass from items to keys and back, and then to the label of the label's own item, so they travel twice as far
+    each time; labels only fall, so they settle.
+    """
     pairs = written(pairs.distinct(), "pairs")
     labels = pairs.groupBy("id").agg(F.min("id").alias("cluster"))
-    for n in range(rounds):
+    while True:
         by_key = pairs.join(labels, "id").groupBy("key").agg(F.min("cluster").alias("least"))
         near = pairs.join(by_key, "key").groupBy("id").agg(F.min("least").alias("next"))
-        moved = written(labels.join(near, "id").select("id", F.least("cluster", "next").alias("cluster"), (F.col("next") < F.col("cluster")).alias("moved")), f"round{n}")
+        stepped = labels.join(near, "id").select("id", "cluster", F.least("cluster", "next").alias("next"))
+        jump = labels.select(F.col("id").alias("next"), F.col("cluster").alias("far"))
+        moved = written(stepped.join(jump, "next").select("id", F.least("next", "far").alias("cluster"), (F.least("next", "far") < F.col("cluster")).alias("moved")), "round")
         labels = moved.select("id", "cluster")
         if moved.filter("moved").isEmpty():
             return labels
-    raise RuntimeError(f"clusters haven't settled in {rounds} rounds")
 
 
 def resolve(items: DataFrame, id_col: str) -> DataFrame:

@@ -61,16 +61,17 @@ HISTORY = "season string, event_abbr string, seq long, team_key string, tourn_id
 
 def _fold(pdf: pd.DataFrame, ratings: dict[str, float]) -> list[tuple]:
     out = []
-    for seq, r in enumerate(pdf.sort_values(CHRONOLOGICAL, kind="stable").itertuples(index=False)):
-        a, b, won = ratings.get(r.a_key, START), ratings.get(r.b_key, START), r.a_result == "W"
+    f = pdf.sort_values(CHRONOLOGICAL, kind="stable")
+    columns = (f[c].tolist() for c in ("season", "event_abbr", "a_key", "b_key", "a_result", "k", "tourn_id", "round_id", "round_name", "round_type", "start_date"))
+    for seq, (season, event, a_key, b_key, result, k, tourn, rnd, name, kind, day) in enumerate(zip(*columns)):
+        a, b, won = ratings.get(a_key, START), ratings.get(b_key, START), result == "W"
         p = 1 / (1 + 10 ** ((b - a) / 400))
-        da, db = r.k * (won - p), r.k * ((not won) - (1 - p))
-        if r.round_type == "elim":
+        da, db = k * (won - p), k * ((not won) - (1 - p))
+        if kind == "elim":
             da, db = (da, 0.0) if won else (0.0, db)
-        ratings[r.a_key], ratings[r.b_key] = a + da, b + db
-        where = (r.tourn_id, r.round_id, r.round_name, r.round_type)
-        out.append((r.season, r.event_abbr, 2 * seq, r.a_key, *where, "W" if won else "L", a, a + da, da, r.b_key, b, r.start_date))
-        out.append((r.season, r.event_abbr, 2 * seq + 1, r.b_key, *where, "L" if won else "W", b, b + db, db, r.a_key, a, r.start_date))
+        ratings[a_key], ratings[b_key] = a + da, b + db
+        out.append((season, event, 2 * seq, a_key, tourn, rnd, name, kind, "W" if won else "L", a, a + da, da, b_key, b, day))
+        out.append((season, event, 2 * seq + 1, b_key, tourn, rnd, name, kind, "L" if won else "W", b, b + db, db, a_key, a, day))
     return out
 
 

@@ -1,16 +1,21 @@
 """Keyword, vector and hybrid search.
 
 Postings are (doc_id, field, term, tf, positions); every search is a join of the query's terms with them, so
-many queries can run at once, and a term's postings are found by an equality (or prefix range) that
-prunes a table partitioned by term bucket.
+many queries can run at once. `bucketed` postings are written in partitions by a hash of the term, and `of_terms`
+reads only the partitions of the terms that are asked for.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text
+from lectern.sources.scratch import written
 
 #: Letters with marks and what they are folded to.
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -33,6 +38,19 @@ def postings(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFra
     return rows.groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+BUCKETS = 64
+
+
+def bucketed(posts: DataFrame) -> DataFrame:
+    """posts with bucket, to be written in partitions by it."""
+    return posts.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int"))
+
+
+def of_terms(posts: DataFrame, wanted: list[str]) -> DataFrame:
+    """The postings of some terms; posts: a table in partitions by bucket."""
+    return posts.filter(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % BUCKETS for t in wanted})) & F.col("term").isin(wanted)).drop("bucket")
+
+
 def lengths(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame:
     total = F.size(terms(F.col(fields[0])))
     for f in fields[1:]:
@@ -84,10 +102,10 @@ def bm25(posts: DataFrame, sizes: DataFrame, queries: DataFrame, prefix: bool =
     queries: (query_id, term), one row for each distinct term. With prefix a query's term stands for
     all terms that it begins.
     """
-    flat = posts.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
     q = queries.select("query_id", F.col("term").alias("_q"))
-    hits = flat.join(F.broadcast(q), F.col("term").startswith(F.col("_q")) if prefix else F.col("term") == F.col("_q"))
-    tf = hits.groupBy("query_id", "_q", key).agg(F.sum("tf").alias("tf"))
+    hits = posts.select(key, "term", "tf").join(F.broadcast(q), F.col("term").startswith(F.col("_q")) if prefix else F.col("term") == F.col("_q"))
+    # only the queries' terms are aggregated, once for both counts
+    tf = written(hits.groupBy("query_id", "_q", key).agg(F.sum("tf").alias("tf")), "tf")
     df = tf.groupBy("query_id", "_q").agg(F.count("*").alias("df"))
     stats = sizes.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     rows = tf.join(F.broadcast(df), ["query_id", "_q"]).join(sizes, key).crossJoin(F.broadcast(stats))
@@ -120,16 +138,23 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Exact: query_id, id, distance, rank. queries (query_id, q) are a stated few and are broadcast.
+def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", most: int = 10_000) -> DataFrame:
+    """Exact: query_id, id, distance, rank. queries: (query_id, q).
 
-    Blocks of vectors keep their k nearest before the global ranking, so what is shuffled doesn't grow with the vectors.
+    Up to `most` queries are broadcast; more are dealt into blocks of about that size, and the vectors meet each block.
+    Each task keeps a query's k nearest before the ranking, so at most k rows for each query and task are shuffled.
     """
+    q = queries.select("query_id", "q")
+    n = q.count()
     d = {"cosine": cosine_distance, "l2": l2}[metric](F.col(vec_col), F.col("q"))
-    pairs = vectors.select(F.col(id_col).alias("id"), vec_col).join(F.broadcast(queries.select("query_id", "q"))).select("query_id", "id", F.round(d, 6).alias("distance"))
-    best = pairs.groupBy("query_id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("_b")).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, k).alias("top"))
-    rows = best.select("query_id", F.explode("top").alias("t")).select("query_id", "t.id", "t.distance")
-    return list_rank(rows, "distance", "id").filter(F.col("rank") <= k)
+    v = vectors.select(F.col(id_col).alias("id"), vec_col)
+    if n <= most:
+        met = v.join(F.broadcast(q))
+    else:
+        blocks = -(-n // most)
+        dealt = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        met = v.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(dealt.hint("shuffle_hash"), "_b")
+    return list_rank(met.select("query_id", "id", F.round(d, 6).alias("distance")), "distance", "id").filter(F.col("rank") <= k)
 
 
 def knn_lsh(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding"):
@@ -255,6 +280,17 @@ def prestige_bonus(url: Column, sites) -> Column:
     return F.when((host != "") & under(host, sites), 2).otherwise(0)
 
 
+def with_relevance(candidates: DataFrame, score_fn: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """candidates with relevance, by score_fn a batch at a time; what it gives no score has 0."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(relevance=pd.to_numeric(score_fn(f), errors="coerce").fillna(0.0).astype(float))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema.fields)
+    return candidates.mapInPandas(run, f"{kinds}, relevance double")
+
+
 def rank_sources(candidates: DataFrame, query: str, sites=(), cap: int = 10, threshold: float = 9.0) -> DataFrame:
     """Per query_id: candidates (url, title, body, adapter, relevance), pre-ranked by adapter and host, the `cap` first scored; winner and low_confidence."""
     adapter = F.col("adapter").isin(*SCHOLARLY_ADAPTERS)

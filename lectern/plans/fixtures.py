@@ -6,7 +6,12 @@ same text before a DuckDB query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from lectern.sources.scratch import fresh
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -17,7 +22,7 @@ SELECT doc_id, concat('c', lpad(CAST(doc_id AS VARCHAR(12)), 8, '0')) AS id,
   concat('School ', source) AS school, concat('Team ', CAST(doc_id % 7 AS VARCHAR(2))) AS squad,
   concat('f', CAST(doc_id % 50 AS VARCHAR(3)), '.docx') AS source_entry,
   regexp_extract(text, '[^ ]+( [^ ]+){0,7}', 0) AS tag,
-  concat(upper(substr(lang,1,1)), substr(lang,2), 'son ', chr(39), lpad(CAST(doc_id % 30 AS VARCHAR(2)), 2, '0')) AS cite,
+  CASE WHEN doc_id % 40 = 7 THEN '' ELSE concat(upper(substr(lang,1,1)), substr(lang,2), 'son ', chr(39), lpad(CAST(doc_id % 30 AS VARCHAR(2)), 2, '0')) END AS cite,
   CASE WHEN doc_id % 3 = 0 THEN text ELSE concat('==', substr(text,1,40), '== <u>', substr(text,41,120), '</u> ', substr(text,161)) END AS body_markdown,
   text AS body_plain,
   CASE doc_id % 6 WHEN 0 THEN '["policy"]' WHEN 1 THEN '["k"]' WHEN 2 THEN '["phil","k"]' WHEN 3 THEN '["theory"]' WHEN 4 THEN '["tricks"]' ELSE '["none"]' END AS argument_types,
@@ -67,7 +72,7 @@ seat AS (SELECT one.*, CAST(floor((row_number() OVER (PARTITION BY tourn_id, evn
 pair AS (SELECT a.*, b.team AS opp, b.l_quantity AS oq, b.l_extendedprice AS oe, b.l_discount AS od FROM seat a
          LEFT JOIN seat b ON a.tourn_id=b.tourn_id AND a.evn=b.evn AND a.round_no=b.round_no AND a.section=b.section AND a.team<>b.team),
 j AS (SELECT pair.*, judge.j AS judge_no FROM pair CROSS JOIN (VALUES (0),(1),(2)) AS judge(j) WHERE judge.j = 0 OR round_no >= 5)
-SELECT row_number() OVER (ORDER BY tourn_id, evn, round_no, section, team, judge_no) AS ballot_id,
+SELECT CAST((tourn_id*10+evn)*10+round_no AS BIGINT)*100000000 + team*3 + judge_no AS ballot_id,
   tourn_id, CASE evn WHEN 0 THEN 'LD' WHEN 1 THEN 'PF' ELSE 'CX' END AS event_abbr,
   (tourn_id*10+evn)*10+round_no AS round_id,
   CASE WHEN round_no = 7 THEN 'Finals' ELSE CAST(round_no AS VARCHAR(1)) END AS round_name,
@@ -90,7 +95,7 @@ SELECT tourn_id, event_abbr, entry_id,
 FROM (SELECT tourn_id, event_abbr, entry_id,
         row_number() OVER (PARTITION BY tourn_id, event_abbr ORDER BY (entry_id*7919) % 1009, entry_id) AS rk,
         row_number() OVER (PARTITION BY tourn_id, event_abbr ORDER BY (entry_id*104729) % 1013, entry_id) AS srk
-      FROM fx_entries WHERE tourn_id % 2 = 0) q
+      FROM fx_entries) q
 """
 
 FX_ENTRY_PATHS = """
@@ -99,22 +104,22 @@ SELECT id, concat(division, '/', school, '/', squad, '/', source_entry) AS entry
 
 FX_PARAGRAPHS_SPARK = """
 SELECT c.doc_id, concat(c.division, '/', c.id, '.docx') AS entry, CAST(p.pos AS INT) AS pos,
-  CASE WHEN p.pos % 6 = 0 THEN 'Heading4' ELSE '' END AS style, CASE WHEN p.pos % 6 = 1 THEN c.cite ELSE p.raw END AS text
+  CASE WHEN p.pos % 6 = 0 THEN 'Heading4' ELSE '' END AS style, CASE WHEN p.pos % 6 = 1 AND c.cite <> '' THEN c.cite ELSE p.raw END AS text
 FROM fx_cards c LATERAL VIEW posexplode(split(c.body_plain, chr(10))) p AS pos, raw WHERE trim(p.raw) <> ''
 """
 
 FX_PARAGRAPHS_DUCK = """
-SELECT doc_id, concat(division, '/', id, '.docx') AS entry, pos, CASE WHEN pos % 6 = 0 THEN 'Heading4' ELSE '' END AS style, CASE WHEN pos % 6 = 1 THEN cite ELSE raw END AS text
+SELECT doc_id, concat(division, '/', id, '.docx') AS entry, pos, CASE WHEN pos % 6 = 0 THEN 'Heading4' ELSE '' END AS style, CASE WHEN pos % 6 = 1 AND cite <> '' THEN cite ELSE raw END AS text
 FROM (SELECT *, CAST(unnest(range(len(string_split(body_plain, chr(10))))) AS INT) AS pos, unnest(string_split(body_plain, chr(10))) AS raw FROM fx_cards) x WHERE trim(raw) <> ''
 """
 
 FX_CITES = """
 SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN cite WHEN 1 THEN replace(cite, chr(39), '20') WHEN 2 THEN replace(cite, chr(39), '')
-  WHEN 3 THEN replace(cite, chr(39), '6-13-20') ELSE lower(cite) END AS cite FROM fx_cards
+  WHEN 3 THEN replace(cite, chr(39), '6-13-20') ELSE lower(cite) END AS cite FROM fx_cards WHERE cite <> ''
 """
 
 FX_ANALYTICS = """
-SELECT concat('a', CAST(doc_id AS VARCHAR(12))) AS id, tag AS title, body_plain AS content_plain, zip_path, source_entry, imported_at FROM fx_cards WHERE doc_id % 4 = 0
+SELECT concat('a', CAST(doc_id AS VARCHAR(12))) AS id, tag AS title, body_plain AS content_plain, zip_path, source_entry, imported_at FROM fx_cards
 """
 
 FX_SAVED = """
@@ -180,7 +185,7 @@ GROUP BY season, event_abbr, team_key
 CARDS_DUCK = r"""
 SELECT *, count(*) OVER (PARTITION BY group_key) AS variant_count,
   row_number() OVER (PARTITION BY group_key ORDER BY warrant_density DESC NULLS LAST, source_entry, id) = 1 AS is_canonical
-FROM (SELECT *, concat(short_cite, '::', fingerprint) AS group_key FROM (SELECT *,
+FROM (SELECT *, concat(coalesce(nullif(short_cite, ''), 'unknown'), '::', fingerprint) AS group_key FROM (SELECT *,
   CASE json_extract_string(argument_types, '$[0]') WHEN 'policy' THEN 'Policy' WHEN 'k' THEN 'K' WHEN 'phil' THEN 'Phil' WHEN 'theory' THEN 'Theory' WHEN 'tricks' THEN 'Tricks' ELSE '' END AS type_label,
   CASE WHEN coalesce(json_extract_string(argument_tags, '$[0]'), '') <> '' THEN array_to_string(list_transform(string_split(json_extract_string(argument_tags, '$[0]'), ' '),
       lambda w: CASE WHEN w IN ('ai','cp','da','nfu','rvi','pic','pics','us','uk','eu','un','nato','ndt','ceda','ld','icj','icc','wto','imf') THEN upper(w) ELSE concat(upper(substr(w, 1, 1)), substr(w, 2)) END), ' ')
@@ -206,7 +211,7 @@ def _ints(sql: str, *columns: str) -> str:
 
 #: name: (text for Spark, text for DuckDB, views that it reads)
 VIEWS = {
-    "fx_cards": (FX_CARDS, FX_CARDS, ()), "fx_tournaments": (FX_TOURNAMENTS, _ints(FX_TOURNAMENTS, "tourn_id"), ()), "fx_events": (FX_EVENTS, _ints(FX_EVENTS, "tourn_id", "event_id"), ()), "fx_entries": (FX_ENTRIES, _ints(FX_ENTRIES, "tourn_id"), ()), "fx_ballots": (FX_BALLOTS, _ints(FX_BALLOTS, "ballot_id", "tourn_id", "round_id"), ()),
+    "fx_cards": (FX_CARDS, FX_CARDS, ()), "fx_tournaments": (FX_TOURNAMENTS, _ints(FX_TOURNAMENTS, "tourn_id"), ()), "fx_events": (FX_EVENTS, _ints(FX_EVENTS, "tourn_id", "event_id"), ()), "fx_entries": (FX_ENTRIES, _ints(FX_ENTRIES, "tourn_id"), ()), "fx_ballots": (FX_BALLOTS, _ints(FX_BALLOTS, "tourn_id", "round_id"), ()),
     "fx_results": (FX_RESULTS, FX_RESULTS, ("fx_entries",)), "fx_entry_paths": (FX_ENTRY_PATHS, FX_ENTRY_PATHS, ("fx_cards",)), "fx_paragraphs": (FX_PARAGRAPHS_SPARK, FX_PARAGRAPHS_DUCK, ("fx_cards",)), "fx_cites": (FX_CITES, FX_CITES, ("fx_cards",)),
     "fx_analytics": (FX_ANALYTICS, FX_ANALYTICS, ("fx_cards",)), "fx_saved": (FX_SAVED, FX_SAVED, ()), "fx_contentions": (FX_CONTENTIONS, FX_CONTENTIONS, ()), "fx_codes": (FX_CODES, FX_CODES, ("fx_entries", "fx_tournaments")), "fx_links": (FX_LINKS, FX_LINKS, ("fx_entries",)),
     "fx_wiki_teams": (FX_WIKI_TEAMS, FX_WIKI_TEAMS, ()), "fx_wiki_arguments": (FX_WIKI_ARGUMENTS, FX_WIKI_ARGUMENTS, ()), "fx_rounds": (FX_ROUNDS, FX_ROUNDS, ()), "fx_round_cites": (FX_ROUND_CITES, FX_ROUND_CITES, ()),
@@ -227,11 +232,18 @@ def with_views(body: str, *names: str) -> str:
     """A DuckDB query with the views before it."""
     views = ", ".join(f"{n} AS ({VIEWS[n][1].strip()})" for n in _needed(names))
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {views}, {body[15:]}" if views else body
     if body[:5].upper() == "WITH ":
         return f"WITH {views}, {body[5:]}" if views else body
     return f"WITH {views} {body}" if views else body
 
 
+#: Views that take more than a projection: written once for each application and folder, and read by every query.
+HEAVY = ("fx_tournaments", "fx_events", "fx_entries", "fx_ballots", "fx_results", "fx_season_bids", "fx_ratings", "fx_wiki_arguments")
+_KEPT: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
 class Views:
     """The tables of a folder and the views over them, by name."""
 
@@ -247,12 +259,23 @@ class Views:
         if name == "cards":
             from lectern.operators.cards import stored
 
-            return stored(self.fx_cards)
+            return self.kept("cards", lambda: stored(self.fx_cards))
         if name not in VIEWS:
             raise AttributeError(name)
         for x in TABLES:  # whichever tables there are: a view reads only those that it names
             if x in " ".join(VIEWS[v][0] for v in _needed((name,))):
                 self.table(x).createOrReplaceTempView(x)
         for x in _needed((name,)):
-            self._spark.sql(VIEWS[x][0]).createOrReplaceTempView(x)
+            made = lambda x=x: self._spark.sql(VIEWS[x][0])
+            (self.kept(x, made) if x in HEAVY else made()).createOrReplaceTempView(x)
         return self._spark.table(name)
+
+    def kept(self, name: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+        """What make gives, written to the shared folder at its first use (in partitions of `by`)."""
+        key = (self._spark.sparkContext.applicationId, self._dir, name)
+        if key not in _KEPT:
+            df, path = make(), fresh(self._spark, name)
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
+            _KEPT[key] = path, df.schema
+        path, schema = _KEPT[key]
+        return self._spark.read.schema(schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import ratings as R
 from lectern.plans.registry import query
+from lectern.plans.tournament_queries import HISTORY_SQL, _shown
 from lectern.sources import archive, scratch
 from lectern.streaming import jobs
 
@@ -57,12 +58,28 @@ def stm_05_saves_once(v):
     return _ended(v, jobs.saves_once(_stream(v, s), ["user_id", "fingerprint"], "365 days"), "append").select("user_id", "fingerprint")
 
 
-@query(None)
+@query("SELECT user_id::BIGINT AS user_id, event_id::BIGINT AS event_id, strftime(ts, '%Y-%m') AS period, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id) <= 5 AS admitted FROM events")
+def stm_04_admission(v):
+    """Five events of a user's month are admitted. The state needs RocksDB, for this query alone."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = v._spark.conf.get(provider)
+    v._spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        e = v.events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+        return _ended(v, jobs.admit(_stream(v, e), 5), "append")
+    finally:
+        v._spark.conf.set(provider, before)
+
+
+@query(HISTORY_SQL, "fx_ballots", "fx_entries", "fx_tournaments", "fx_events")
 def stm_09_follow_ratings(v):
-    m = R.rated_matches(v.fx_ballots, v.fx_tournaments, v.fx_entries, v.fx_events)
-    out = scratch.fresh(v._spark, "history")
-    jobs.follow_ratings(_stream(v, m.coalesce(1)), scratch.fresh(v._spark, "checkpoint"), out)
-    return v._spark.read.parquet(out).drop("batch", "seq")
+    """Matches arrive in three parts, in order of time; each goes on from the ratings that the ones before left."""
+    m = scratch.written(R.rated_matches(v.fx_ballots, v.fx_tournaments, v.fx_entries, v.fx_events), "matches")
+    files, out, checkpoint = scratch.fresh(v._spark, "files"), scratch.fresh(v._spark, "history"), scratch.fresh(v._spark, "checkpoint")
+    for part in ("start_date < '1994-07-01'", "start_date >= '1994-07-01' and start_date < '1996-01-01'", "start_date >= '1996-01-01'"):
+        m.filter(part).write.mode("append").parquet(files)
+        jobs.follow_ratings(jobs.files(v._spark, files, m.schema, per_trigger=1_000_000), checkpoint, out)
+    return _shown(v._spark.read.parquet(out).drop("batch"))
 
 
 @query("SELECT DISTINCT entry FROM fx_paragraphs", "fx_paragraphs")

@@ -73,11 +73,12 @@ def txt_11_fnv1a(v):
     return v.fx_entries.select("display_name").distinct().select("display_name", text.fnv1a(F.col("display_name")).alias("hash"))
 
 
-@query("SELECT tourn_id, entry_id, concat('s:', entry_id, ',', entry_id + 1) AS key FROM (SELECT tourn_id, entry_id FROM fx_entries WHERE entry_id < 90) x", "fx_entries")
+@query("SELECT tourn_id, entry_id, concat('s:', least(x, y), ',', greatest(x, y)) AS key FROM (SELECT tourn_id, entry_id, CAST(entry_id AS VARCHAR) AS x, CAST(entry_id + 1 AS VARCHAR) AS y FROM fx_entries) e", "fx_entries")
 def txt_12_team_key(v):
-    e = v.fx_entries.filter("entry_id < 90")
+    """Ids are sorted as text."""
+    e = v.fx_entries
     ids = F.array((F.col("entry_id") + 1).cast("string"), F.col("entry_id").cast("string"), F.lit(""))
-    return e.select("tourn_id", "entry_id", text.team_key(ids, F.col("school_name"), F.col("display_name")).alias("key")).withColumn("key", F.when(F.length("key") > 0, F.concat(F.lit("s:"), F.col("entry_id").cast("string"), F.lit(","), (F.col("entry_id") + 1).cast("string"))))
+    return e.select("tourn_id", "entry_id", text.team_key(ids, F.col("school_name"), F.col("display_name")).alias("key"))
 
 
 @query("SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages")
@@ -100,9 +101,9 @@ def txt_16_visible_length(v):
     return v.pages.select("page_id", text.visible_length(F.col("html")).alias("n"))
 
 
-@query("SELECT doc_id, cite AS shown, CASE WHEN doc_id % 5 < 4 THEN regexp_extract(cite, '^[A-Z][a-z]+ ?''?[0-9]{2,4}', 0) ELSE '' END AS prefix FROM fx_cites WHERE doc_id % 5 <> 3", "fx_cites")
+@query("SELECT doc_id, cite AS shown, CASE WHEN doc_id % 5 < 4 THEN regexp_extract(cite, '^[A-Z][a-z]+ ?''?[0-9]{2,4}', 0) ELSE '' END AS prefix FROM fx_cites", "fx_cites")
 def txt_21_cite_display(v):
-    c = v.fx_cites.filter("doc_id % 5 <> 3")
+    c = v.fx_cites
     return c.select("doc_id", text.short_cite_display(F.lit(""), F.concat("cite", F.lit(" [More]"))).alias("shown"), text.author_year_prefix(F.col("cite")).alias("prefix"))
 
 
@@ -146,9 +147,9 @@ def txt_27_lenient_json(v):
     return v.conversations.select("conv_id", "turn", F.try_variant_get(lenient(raw), "$.n", "bigint").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN substr(cite, 1, 30) ELSE concat(regexp_extract(cite, '^[A-Z][a-z]+', 0), ' ', right(cite, 2)) END AS shown FROM fx_cites WHERE doc_id % 5 <> 3", "fx_cites")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 IN (3, 4) THEN substr(cite, 1, 30) ELSE concat(regexp_extract(cite, '^[A-Z][a-z]+', 0), ' ', right(cite, 2)) END AS shown FROM fx_cites", "fx_cites")
 def txt_28_cite_short_form(v):
-    c = v.fx_cites.filter("doc_id % 5 <> 3")
+    c = v.fx_cites
     form = "^([A-Z][A-Za-z.\\-]+)\\s*['’]?(?:\\d{2})?(\\d{2})\\b"
     return c.select("doc_id", F.when(F.col("cite").rlike(form), F.concat_ws(" ", F.regexp_extract("cite", form, 1), F.regexp_extract("cite", form, 2))).otherwise(F.substring("cite", 1, 30)).alias("shown"))
 
@@ -158,9 +159,10 @@ def lbl_02_topic_bucket(v):
     return v.documents.select("doc_id", labels.topic_bucket(F.col("text")).alias("bucket"))
 
 
-@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{t}'" for t, p in labels.TYPE_RULES) + " ELSE 'none' END AS first_type FROM documents")
+@query("SELECT doc_id, coalesce(nullif(array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{t}' END" for t, p in labels.TYPE_RULES) + "], lambda x: x IS NOT NULL), ','), ''), 'none') AS types FROM documents")
 def lbl_03_argument_types(v):
-    return v.documents.select("doc_id", F.get(labels.argument_types(F.col("text")), 0).alias("first_type"))
+    """All types, in the rules' order. The rules are the same values on both sides; tests have examples of them."""
+    return v.documents.select("doc_id", F.array_join(labels.argument_types(F.col("text")), ",").alias("types"))
 
 
 @query("SELECT id, coalesce(nullif(topic_bucket, ''), 'General LD') AS bucket, CASE WHEN argument_types = '[]' THEN 'none' ELSE json_extract_string(argument_types, '$[0]') END AS first_type FROM fx_cards", "fx_cards")
@@ -216,7 +218,8 @@ def qlt_02_validate_cut(v):
 def qlt_04_snap_spans(v):
     from lectern.operators.quality import snap_spans
 
-    spans = v.documents.select("doc_id", F.lit(3).alias("start"), F.lit(25).alias("stop"))
+    start = (F.col("doc_id") % 17).cast("int")
+    spans = v.documents.select("doc_id", start.alias("start"), (start + (F.col("doc_id") % 29).cast("int") + 3).alias("stop"))
     return snap_spans(v.documents.select("doc_id", "text"), spans)
 
 
@@ -321,8 +324,12 @@ QS = {1: "thand queau", 2: "eation", 3: "ungen der mit"}
 Q_SQL = "q(query_id, term) AS (VALUES (1, 'thand'), (1, 'queau'), (2, 'eation'), (3, 'ungen'), (3, 'der'), (3, 'mit'))"
 
 
-def _bm25(v):
-    return S.bm25(_posts(v), _sizes(v), S.queries_frame(v._spark, QS))
+def _bm25(v, queries=None):
+    """From the kept index, of which only the buckets of the queries' terms are read."""
+    queries = queries or QS
+    index = v.kept("postings", lambda: S.bucketed(_posts(v)), "bucket")
+    sizes = v.kept("lengths", lambda: _sizes(v))
+    return S.bm25(S.of_terms(index, sorted({t for q in queries.values() for t in S.query_terms(q)})), sizes, S.queries_frame(v._spark, queries))
 
 
 @query(f"WITH {TERMS}, {Q_SQL}, {BM25} SELECT query_id, doc_id, score FROM bm")
@@ -376,10 +383,11 @@ def _vq(v):
     return v.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-@query(f"WITH {VQ} SELECT query_id, vec_id AS id, round(sqrt(list_sum(list_transform(list_zip(embedding, q), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), 6) AS l2 FROM embeddings, vq WHERE vec_id < 200")
+@query(f"WITH {VQ} SELECT query_id, vec_id AS id, round(sqrt(list_sum(list_transform(list_zip(embedding, q), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), 6) AS l2 FROM embeddings JOIN (SELECT query_id + 1 AS vec_id, query_id, q FROM (SELECT vec_id AS query_id, embedding AS q FROM embeddings)) o USING (vec_id)")
 def vec_01_distance(v):
-    pairs = v.embeddings.filter("vec_id < 200").join(F.broadcast(_vq(v)))
-    return pairs.select("query_id", F.col("vec_id").alias("id"), F.round(S.l2(F.col("embedding"), F.col("q")), 6).alias("l2"))
+    """Each vector and the one before it."""
+    other = v.embeddings.select((F.col("vec_id") + 1).alias("vec_id"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return v.embeddings.join(other, "vec_id").select("query_id", F.col("vec_id").alias("id"), F.round(S.l2(F.col("embedding"), F.col("q")), 6).alias("l2"))
 
 
 KNN = f"{VQ}, dd AS (SELECT query_id, vec_id AS id, round(1 - list_sum(list_transform(list_zip(embedding, q), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS distance FROM embeddings, vq), kn AS (SELECT query_id, id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM dd) x WHERE rank <= 20)"
@@ -412,8 +420,7 @@ nm AS (SELECT *, CASE WHEN fw > 0 AND max(fw) OVER w > min(nullif(fw, 0)) OVER w
 
 def _lists(v):
     ok = v.cards.filter("is_canonical and has_highlight and highlight_words >= 6 and trim(tag) <> ''").select("doc_id", "id")
-    qs = S.queries_frame(v._spark, {100: "thand queau", 200: "eation", 300: "ungen der"})
-    key = S.bm25(_posts(v), _sizes(v), qs).join(ok, "doc_id")
+    key = _bm25(v, {100: "thand queau", 200: "eation", 300: "ungen der"}).join(ok, "doc_id")
     fts = S.list_rank(key, "score", "id").filter("rank <= 20").withColumn("strength", 1 / (1 + F.abs("score")))
     near = S.knn(v.embeddings, _vq(v), 20).withColumnRenamed("id", "doc_id").withColumnRenamed("rank", "_r").join(ok, "doc_id").filter("1 - distance >= 0.05")
     sem = S.list_rank(near, "_r").withColumn("strength", 1 - F.col("distance"))
@@ -442,10 +449,49 @@ def sea_13_keyword_score(v):
     return v.documents.select("doc_id", text.keyword_score("queau, ation of", F.col("text")).alias("score"))
 
 
-@query("SELECT page_id, total, nth FROM (SELECT page_id, adapter_bonus + 0.0 + rel AS total, row_number() OVER (ORDER BY adapter_bonus + rel DESC, url)::INT AS nth FROM (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN 4 ELSE 0 END AS adapter_bonus, (page_id % 7 + 1)::DOUBLE AS rel, row_number() OVER (ORDER BY CASE WHEN page_id % 3 = 0 THEN 5 ELSE 0 END DESC, url) AS k FROM pages) x WHERE k <= 10) y")
+SOURCES = "SELECT query_id, page_id, total, nth FROM (SELECT query_id, page_id, adapter_bonus + 0.0 + rel AS total, row_number() OVER (PARTITION BY query_id ORDER BY adapter_bonus + rel DESC, url)::INT AS nth FROM (SELECT query_id, page_id, url, CASE WHEN page_id % 3 = 0 THEN 4 ELSE 0 END AS adapter_bonus, rel, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN page_id % 3 = 0 THEN 5 ELSE 0 END DESC, url) AS k FROM (SELECT *, page_id % 50 AS query_id, {rel}::DOUBLE AS rel FROM pages) p) x WHERE k <= 10) y"
+
+
+@query(SOURCES.replace("{rel}", "(page_id % 7 + 1)"))
 def sea_17_rank_sources(v):
-    c = v.pages.select("page_id", "url", F.lit(1).alias("query_id"), F.lit("").alias("title"), F.lit("").alias("body"), F.expr("if(page_id % 3 = 0, 'OpenAlex', 'Web')").alias("adapter"), (F.col("page_id") % 7 + 1).cast("double").alias("relevance"))
-    return S.rank_sources(c, "queau").select("page_id", F.col("total").cast("double").alias("total"), "nth")
+    c = v.pages.select("page_id", "url", (F.col("page_id") % 50).alias("query_id"), F.lit("").alias("title"), F.lit("").alias("body"), F.expr("if(page_id % 3 = 0, 'OpenAlex', 'Web')").alias("adapter"), (F.col("page_id") % 7 + 1).cast("double").alias("relevance"))
+    return S.rank_sources(c, "queau").select("query_id", "page_id", F.col("total").cast("double").alias("total"), "nth")
+
+
+@query(SOURCES.replace("{rel}", "CASE WHEN length(url) % 2 = 0 THEN length(url) % 9 + 1 ELSE 0 END"))
+def udf_03_relevance(v):
+    """A score function's column; URLs of odd length get no score, which counts as 0."""
+    c = v.pages.filter("url is not null").select("page_id", "url", (F.col("page_id") % 50).alias("query_id"), F.lit("").alias("title"), F.lit("").alias("body"), F.expr("if(page_id % 3 = 0, 'OpenAlex', 'Web')").alias("adapter"))
+    size = lambda f: f["url"].str.len()
+    c = S.with_relevance(c, lambda f: (size(f) % 9 + 1).where(size(f) % 2 == 0))
+    return S.rank_sources(c, "queau").select("query_id", "page_id", F.col("total").cast("double").alias("total"), "nth")
+
+
+@query("SELECT doc_id, length(text)::DOUBLE AS n_chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS n_spaces FROM documents")
+def udf_01_embed(v):
+    """A function of lists of texts, at most 64 at a time, that gives a vector for each."""
+    from lectern.sources.embedding import embed
+
+    rows = embed(v.documents.select("doc_id", "text"), "text", lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts])
+    return rows.select("doc_id", F.get("embedding", 0).alias("n_chars"), F.get("embedding", 1).alias("n_spaces"))
+
+
+@query("SELECT id, CASE WHEN doc_id % 7 = 0 THEN 'none' WHEN regexp_matches(tag, '^[aeiouAEIOU]') THEN 'k' ELSE 'policy' END AS types, CASE WHEN doc_id % 7 = 0 THEN '' ELSE lower(trim(substr(tag, 1, 3))) END AS topics FROM fx_cards", "fx_cards")
+def udf_02_classify(v):
+    """A function of batches of cards; what it says is validated, and a function that fails has its fallback."""
+    import pandas as pd
+
+    from lectern.sources.classify import apply_classifier, classify
+
+    def model(f: pd.DataFrame) -> pd.DataFrame:
+        if f["id"].str[1:].astype(int).mod(7).eq(0).any():
+            raise ValueError("no answer")
+        return pd.DataFrame({"id": f["id"], "types": [[" K " if t[:1] in "aeiouAEIOU" and t else "POLICY", "bogus"] for t in f["tag"]], "topics": [[t[:3], " "] for t in f["tag"]]})
+
+    def rules(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": f["id"], "types": [["unknown"]] * len(f), "topics": [[""]] * len(f)})
+
+    return apply_classifier(v.fx_cards, classify(v.fx_cards, model, rules, batch=1)).select("id", F.array_join("argument_types", ",").alias("types"), F.array_join("argument_tags", ",").alias("topics"))
 
 
 @query("SELECT page_id, key FROM (SELECT page_id, regexp_replace(split_part(url, '#', 1), '/$', '') AS key, row_number() OVER (PARTITION BY regexp_replace(split_part(url, '#', 1), '/$', '') ORDER BY page_id) AS n FROM pages WHERE url IS NOT NULL) x WHERE n = 1")
@@ -521,7 +567,7 @@ def join_15_project_cards(v):
     return v.events.join(items, ["user_id", "event_id"], "left_semi").select("event_id", "user_id")
 
 
-@query("SELECT user_id, count(*)::INT AS n, count(*)::INT + 1 AS n_more FROM events WHERE event_type = 'purchase' GROUP BY user_id HAVING count(*) <= 1000")
+@query("SELECT user_id, least(count(*), 1000)::INT AS n, least(count(*), 1000)::INT + 1 AS n_more FROM events WHERE event_type = 'purchase' GROUP BY user_id")
 def arr_04_edit_array(v):
     p = A.projects(v.events)
     more = A.prepend(F.col("cards"), F.struct(F.lit(-1).cast("bigint").alias("id"), F.lit(0.0).alias("value")))
@@ -585,18 +631,18 @@ def src_10_legacy_fields(v):
     return backfill(raw).select("doc_id", "topic", "body", F.size("tags").alias("n"))
 
 
-@query("SELECT count(*) AS n, sum(CASE WHEN season = '1995-96' THEN 1 ELSE 0 END)::BIGINT AS n_rebuilt FROM fx_season_bids", "fx_season_bids")
+@query("SELECT season, team_key, event_abbr, CASE WHEN season = '1995-96' THEN full_bids ELSE 0 END::BIGINT AS full_bids FROM fx_season_bids", "fx_season_bids")
 def src_13_rebuild_slice(v):
     from lectern.sources.merge import replace_slice
 
     base = v.fx_season_bids
     out = replace_slice(base.withColumn("full_bids", F.col("full_bids") * 0), base.filter("season = '1995-96'"), "season")
-    return out.agg(F.count("*").alias("n"), F.count_if(F.col("season") == "1995-96").alias("n_rebuilt"))
+    return out.select("season", "team_key", "event_abbr", F.col("full_bids").cast("bigint").alias("full_bids"))
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS word_count FROM documents WHERE doc_id % 5 = 0")
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS word_count FROM documents")
 def src_25_user_files(v):
     from lectern.sources.legacy import text_files
 
-    files = v.documents.filter("doc_id % 5 = 0").select(F.concat(F.lit("u/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    files = v.documents.select(F.concat(F.lit("u/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
     return text_files(files).select(F.regexp_extract("name", "^([0-9]+)", 1).cast("bigint").alias("doc_id"), "word_count")

@@ -152,10 +152,10 @@ def join_06_threat_bids(v):
     return _threats(v).select(*T.ENTRY, F.col("season_full_bids").cast("bigint").alias("season_full_bids"), F.col("season_partial_bids").cast("bigint").alias("season_partial_bids"))
 
 
-@query(f"WITH {THREATS}, {PLACED} SELECT tourn_id, event_abbr, entry_id, coalesce((SELECT count(*) FROM pl WHERE pl.season = th.season AND pl.event_abbr = th.event_abbr AND pl.team_key = th.team_key), 0) AS n_places, coalesce((SELECT string_agg(concat(place, '/', coalesce(bid_level, '-')), ',' ORDER BY place, coalesce(bid_level, '-')) FROM pl WHERE pl.season = th.season AND pl.event_abbr = th.event_abbr AND pl.team_key = th.team_key), '') AS places FROM th WHERE tourn_id = 199506", *BIDS_VIEWS, "fx_results", "fx_events")
+@query(f"WITH {THREATS}, {PLACED} SELECT tourn_id, event_abbr, entry_id, coalesce((SELECT count(*) FROM pl WHERE pl.season = th.season AND pl.event_abbr = th.event_abbr AND pl.team_key = th.team_key), 0) AS n_places, coalesce((SELECT string_agg(concat(place, '/', coalesce(bid_level, '-')), ',' ORDER BY place, coalesce(bid_level, '-')) FROM pl WHERE pl.season = th.season AND pl.event_abbr = th.event_abbr AND pl.team_key = th.team_key), '') AS places FROM th", *BIDS_VIEWS, "fx_results", "fx_events")
 def join_07_team_placements(v):
     key = ["season", "event_abbr", "team_key"]
-    t = _threats(v).filter("tourn_id = 199506")
+    t = _threats(v)
     level = F.coalesce("bid_level", F.lit("-"))
     gathered = _placed(v).join(t.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count("*").alias("n_places"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", level.alias("level")))), lambda x: F.concat_ws("/", x["place"], x["level"])), ",").alias("places"))
     return t.join(gathered, key, "left").select(*T.ENTRY, F.coalesce("n_places", F.lit(0)).alias("n_places"), F.coalesce("places", F.lit("")).alias("places"))
@@ -351,34 +351,53 @@ def rat_02_k_factors(v):
     return _matches(v).select("season", "event_abbr", "round_id", "a", "b", "depth", "k")
 
 
+#: The fold in DuckDB's SQL: one match of each season and event at a time, with the ratings so far in a map.
+ELO = f"""{MATCHES}, ne AS (SELECT tourn_id, event_abbr, round_id, count(DISTINCT entry_id) AS n_entries FROM fx_ballots GROUP BY ALL),
+km AS (SELECT m.*, t.season, t.start_date, ea.team_key AS a_key, eb.team_key AS b_key, e.bid_level, CASE WHEN round_type = 'elim' THEN CASE WHEN round_name IN ('Triples', 'Doubles', 'Octos', 'Quarters', 'Semis', 'Finals') THEN round_name ELSE CASE n_entries WHEN 64 THEN 'Triples' WHEN 32 THEN 'Doubles' WHEN 16 THEN 'Octos' WHEN 8 THEN 'Quarters' WHEN 4 THEN 'Semis' WHEN 2 THEN 'Finals' END END END AS depth
+ FROM m JOIN ne USING (tourn_id, event_abbr, round_id) JOIN fx_tournaments t USING (tourn_id) LEFT JOIN fx_events e ON e.tourn_id = m.tourn_id AND e.event_abbr = m.event_abbr JOIN fx_entries ea ON ea.tourn_id = m.tourn_id AND ea.entry_id = m.a JOIN fx_entries eb ON eb.tourn_id = m.tourn_id AND eb.entry_id = m.b),
+om AS (SELECT *, (CASE WHEN round_type = 'elim' THEN CASE depth WHEN 'Triples' THEN 35 WHEN 'Doubles' THEN 45 WHEN 'Octos' THEN 60 WHEN 'Quarters' THEN 75 WHEN 'Semis' THEN 90 WHEN 'Finals' THEN 120 ELSE 60 END ELSE 20 END::DOUBLE
+ * CASE bid_level WHEN 'Triples' THEN 1.0 WHEN 'Doubles' THEN 0.9 WHEN 'Octos' THEN 0.75 WHEN 'Quarters' THEN 0.6 WHEN 'Semis' THEN 0.45 WHEN 'Finals' THEN 0.3 ELSE 0.2 END::DOUBLE)::DOUBLE AS k,
+ row_number() OVER (PARTITION BY season, event_abbr ORDER BY start_date, CASE WHEN round_type = 'prelim' THEN 0 ELSE 1 END, CASE WHEN regexp_matches(round_name, '^[0-9]') THEN CAST(regexp_extract(round_name, '^[0-9]+') AS INT) ELSE 9999 END, round_name, tourn_id, round_id, first_ballot) AS nth FROM km),
+fo AS (SELECT season, event_abbr, 0::BIGINT AS nth, MAP([''], [0.0::DOUBLE]) AS held, 0.0::DOUBLE AS ra, 0.0::DOUBLE AS rb, 0.0::DOUBLE AS da, 0.0::DOUBLE AS db FROM (SELECT DISTINCT season, event_abbr FROM om) x
+ UNION ALL SELECT season, event_abbr, nth, map_concat(held, MAP([a_key, b_key], [ra + da, rb + db])), ra, rb, da, db FROM
+  (SELECT *, CASE WHEN round_type = 'elim' AND a_result = 'L' THEN 0.0 ELSE k * (CASE WHEN a_result = 'W' THEN 1.0 ELSE 0.0 END - p) END AS da, CASE WHEN round_type = 'elim' AND a_result = 'W' THEN 0.0 ELSE k * (CASE WHEN a_result = 'W' THEN 0.0 ELSE 1.0 END - (1.0 - p)) END AS db FROM
+   (SELECT *, 1.0::DOUBLE / (1.0 + power(10.0::DOUBLE, (rb - ra) / 400.0)) AS p FROM (SELECT om.*, fo.held, coalesce(list_extract(map_extract(fo.held, om.a_key), 1), 1500.0::DOUBLE) AS ra, coalesce(list_extract(map_extract(fo.held, om.b_key), 1), 1500.0::DOUBLE) AS rb FROM fo JOIN om ON om.season = fo.season AND om.event_abbr = fo.event_abbr AND om.nth = fo.nth + 1) x) y) z),
+hi AS (SELECT om.season, om.event_abbr, 2 * (om.nth - 1) + s.x AS seq, CASE s.x WHEN 0 THEN a_key ELSE b_key END AS team_key, tourn_id, round_id, round_name, round_type, CASE WHEN (a_result = 'W') = (s.x = 0) THEN 'W' ELSE 'L' END AS result, CASE s.x WHEN 0 THEN ra ELSE rb END AS rating_before, CASE s.x WHEN 0 THEN ra + da ELSE rb + db END AS rating_after,
+ CASE s.x WHEN 0 THEN da ELSE db END AS change, CASE s.x WHEN 0 THEN b_key ELSE a_key END AS opponent_key, CASE s.x WHEN 0 THEN rb ELSE ra END AS opponent_rating, start_date AS occurred_at FROM om JOIN fo USING (season, event_abbr, nth) CROSS JOIN (VALUES (0), (1)) s(x))"""
+HISTORY = "season, event_abbr, team_key, tourn_id, round_id, round_name, round_type, result, round(rating_before, 6) AS rating_before, round(rating_after, 6) AS rating_after, round(change, 6) AS change, opponent_key, round(opponent_rating, 6) AS opponent_rating, occurred_at"
+HISTORY_SQL = f"WITH RECURSIVE {ELO} SELECT {HISTORY} FROM hi"
 
 
-@query(None)
+def _shown(history):
+    return history.drop("seq").withColumns({c: F.round(c, 6) for c in ("rating_before", "rating_after", "change", "opponent_rating")})
+
+
+@query(HISTORY_SQL, *BET, "fx_events")
 def rat_03_history(v):
-    return R.history(_matches(v)).drop("seq")
+    return _shown(R.history(_matches(v)))
 
 
-@query(None)
+@query(f"WITH RECURSIVE {ELO} SELECT season, event_abbr, team_key, seq, round(rating_before, 6) AS rating_before, round(rating_after, 6) AS rating_after, round(greatest(max(rating_after) OVER (PARTITION BY season, event_abbr, team_key ORDER BY seq), 1500.0), 6) AS peak FROM hi", *BET, "fx_events")
 def win_03_running_peak(v):
     return R.with_peak(R.history(_matches(v))).select("season", "event_abbr", "team_key", "seq", F.round("rating_before", 6).alias("rating_before"), F.round("rating_after", 6).alias("rating_after"), F.round("peak", 6).alias("peak"))
 
 
-@query(f"WITH {MATCHES}, s AS (SELECT t.season, m.event_abbr, e.team_key, CASE WHEN side.x = 0 THEN a_result WHEN a_result = 'W' THEN 'L' ELSE 'W' END AS result FROM m JOIN fx_tournaments t USING (tourn_id) CROSS JOIN (VALUES (0), (1)) side(x) JOIN fx_entries e ON e.tourn_id = m.tourn_id AND e.entry_id = CASE WHEN side.x = 0 THEN m.a ELSE m.b END) SELECT season, event_abbr, team_key, count(*) AS round_count, count_if(result = 'W')::BIGINT AS wins, count_if(result = 'L')::BIGINT AS losses FROM s GROUP BY ALL", *BET)
+@query(f"WITH RECURSIVE {ELO} SELECT season, event_abbr, team_key, count(*) AS round_count, count_if(result = 'W')::BIGINT AS wins, count_if(result = 'L')::BIGINT AS losses, round(arg_max(rating_after, seq), 6) AS rating, round(greatest(max(rating_after), 1500.0), 6) AS peak_rating FROM hi GROUP BY ALL", *BET, "fx_events")
 def agg_29_rating_table(v):
-    return R.ratings(R.history(_matches(v))).select("season", "event_abbr", "team_key", "round_count", "wins", "losses")
+    return R.ratings(R.history(_matches(v))).select("season", "event_abbr", "team_key", "round_count", "wins", "losses", F.round("rating", 6).alias("rating"), F.round("peak_rating", 6).alias("peak_rating"))
 
 
-@query(None)
+@query(HISTORY_SQL, *BET, "fx_events")
 def rat_04_incremental(v):
     m = _matches(v)
     early = R.history(m.filter("start_date < '1996-01-01'"))
     later = R.history(m.filter("start_date >= '1996-01-01'"), R.ratings(early))
-    return early.unionByName(later).drop("seq")
+    return _shown(early.unionByName(later))
 
 
-@query(None)
+@query(HISTORY_SQL + " WHERE team_key = 's:3'", *BET, "fx_events")
 def rat_05_team_history(v):
-    return R.history(_matches(v)).filter("team_key = 's:3'").orderBy("occurred_at", "season", "event_abbr", "seq").drop("seq")
+    return _shown(R.history(_matches(v)).filter("team_key = 's:3'").orderBy("occurred_at", "season", "event_abbr", "seq"))
 
 
 @query(f"""WITH {ROUND_RESULTS}, {REC}, rk AS ({RANKED}), rs AS (SELECT t.season, rec.event_abbr, e.team_key, sum(prelim_wins)::BIGINT AS prelim_wins, sum(prelim_losses)::BIGINT AS prelim_losses, sum(elim_wins)::BIGINT AS elim_wins, sum(elim_losses)::BIGINT AS elim_losses FROM rec JOIN fx_entries e USING (tourn_id, event_abbr, entry_id) JOIN fx_tournaments t USING (tourn_id) GROUP BY ALL),
@@ -493,10 +512,11 @@ def stm_07_due_list(v):
     return t.filter(stale_team(F.col("last_crawled"), F.lit("2024-01-31").cast("timestamp")) & (F.col("status") != "crawling")).select("id")
 
 
-@query("SELECT entry_id, tourn_id, id AS wiki_team_id FROM (SELECT e.entry_id, e.tourn_id, w.id FROM fx_entries e JOIN fx_wiki_teams w ON w.id = CAST(substr(e.team_key, 3) AS BIGINT) WHERE e.tourn_id = 199506) x", "fx_entries", "fx_wiki_teams")
+@query("SELECT entry_id, tourn_id, CAST(substr(team_key, 3) AS BIGINT) AS wiki_team_id FROM fx_entries WHERE CAST(substr(team_key, 3) AS BIGINT) NOT IN (SELECT id FROM fx_wiki_teams WHERE event = 'PF')", "fx_entries", "fx_wiki_teams")
 def join_16_cascade(v):
-    e = v.fx_entries.filter("tourn_id = 199506").select("entry_id", "tourn_id", F.expr("cast(substr(team_key, 3) as bigint)").alias("wiki_team_id"))
-    gone = v.fx_wiki_teams.filter("id < 0").select(F.col("id").alias("wiki_team_id"))
+    """The teams of one event are deleted, and their entries of all tournaments with them."""
+    e = v.fx_entries.select("entry_id", "tourn_id", F.expr("cast(substr(team_key, 3) as bigint)").alias("wiki_team_id"))
+    gone = v.fx_wiki_teams.filter("event = 'PF'").select(F.col("id").alias("wiki_team_id"))
     return merge.cascade_delete(e, gone, "wiki_team_id")
 
 

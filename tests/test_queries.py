@@ -25,7 +25,7 @@ def test_query(name, spark, duck, tmp_path):
     QUERIES[name](spark, SF).write.parquet(str(tmp_path / "out"))
     got = f"read_parquet('{tmp_path}/out/*.parquet')"
     if name not in ORACLE_SQL:
-        assert duck.execute(f"SELECT count(*) FROM {got}").fetchone()[0] >= 0
+        assert duck.execute(f"SELECT count(*) FROM {got}").fetchone()[0] > 0  # their rows are compared in test_operators.py
         return
     duck.execute(f"CREATE OR REPLACE TABLE want AS {ORACLE_SQL[name]}")
     kinds = dict(r[:2] for r in duck.execute("DESCRIBE want").fetchall())
