@@ -29,7 +29,15 @@ def txt_03_short_cite(v):
     return v.fx_cites.select("doc_id", "cite", text.short_cite(F.col("cite")).alias("short"))
 
 
-@query(None)
+def _normal_tag_sql(tag: str) -> tuple[str, str]:
+    """The fixed patterns, applied by DuckDB one after the other."""
+    out = f"coalesce({tag}, '')"
+    for pattern, to in (*((p, "") for p in labels.META), *labels.TIDY):
+        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern.replace("'", "''"), to.replace("$1", "\\1"))
+    return f"CASE WHEN coalesce({tag}, '') = '' THEN {tag} WHEN t = '' THEN {tag} ELSE concat(upper(substr(t, 1, 1)), substr(t, 2)) END", out
+
+
+@query("SELECT id, {0} AS tag FROM (SELECT *, {1} AS t FROM (SELECT id, concat('2. ', tag) AS tag FROM fx_cards) c) x".format(*_normal_tag_sql("tag")), "fx_cards")
 def txt_04_normal_tag(v):
     return v.fx_cards.select("id", labels.normal_tag(F.concat(F.lit("2. "), F.col("tag"))).alias("tag"))
 
@@ -172,11 +180,14 @@ def lbl_05_enrich(v):
     return v.fx_cards.select("id", F.coalesce(F.nullif("topic_bucket", F.lit("")), labels.topic_bucket(source)).alias("bucket"), F.get(F.when(F.size(types) > 0, types).otherwise(labels.argument_types(source)), 0).alias("first_type"))
 
 
-@query(None)
+KINDS = {"kritik": "k", "da": "policy", "counterplan": "policy", "theory": "theory", "tricks": "tricks", "phil": "phil", "policy": "policy"}
+
+
+@query(r"SELECT id, coalesce(nullif(array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(s, '{p}') THEN '{KINDS[t]}' END" for t, p in labels.TYPE_RULES) + r"], lambda x: x IS NOT NULL))), ','), ''), 'none') AS types FROM (SELECT id, lower(trim(regexp_replace(concat_ws(' ', tag, body_plain), '\s+', ' ', 'g'))) AS s FROM fx_cards) x", "fx_cards")
 def lbl_06_classify(v):
     from lectern.sources.classify import apply_classifier
 
-    return apply_classifier(v.fx_cards.select("id", "tag", "body_plain")).select("id", F.array_join("argument_types", ",").alias("types"))
+    return apply_classifier(v.fx_cards.select("id", "tag", "body_plain")).select("id", F.array_join(F.array_sort("argument_types"), ",").alias("types"))
 
 
 @query(r"""SELECT id, round(CASE WHEN trim(tag) = '' THEN -1000.0 ELSE 100 - length(trim(tag)) * 0.6 + CASE WHEN regexp_matches(trim(tag), '(?i)\b(that|because|when|since|although|however|therefore|thus|moreover|the fact that)\b') THEN -20 ELSE 0 END
@@ -186,7 +197,7 @@ def lbl_07_tag_score(v):
     return v.fx_cards.select("id", F.round(labels.tag_score(F.col("tag")), 6).alias("tag_score"))
 
 
-@query(None)
+@query("SELECT id, tag, after FROM (SELECT id, tag, {0} AS after FROM (SELECT id, tag, {1} AS t FROM fx_cards) x) y WHERE tag <> after ORDER BY id LIMIT 20".format(*_normal_tag_sql("tag")), "fx_cards")
 def lbl_08_changed_tags(v):
     c = v.fx_cards.select("id", "tag").withColumn("after", labels.normal_tag(F.col("tag")))
     return c.filter("tag <> after").orderBy("id").limit(20)
@@ -214,7 +225,9 @@ def qlt_02_validate_cut(v):
     return validate_cut(v.fx_cards.select("id", "body_markdown", F.col("body_plain").alias("source")))
 
 
-@query(None)
+@query(r"""WITH s AS (SELECT doc_id, text, (doc_id % 17)::INT AS start, (doc_id % 17 + doc_id % 29 + 3)::INT AS stop FROM documents), i AS (SELECT *, substr(text, start + 1, stop - start) AS mid FROM s),
+n AS (SELECT *, length(regexp_extract(mid, '^\s*', 0))::INT AS lead, length(regexp_extract(mid, '\s*$', 0))::INT AS trail, length(regexp_extract(substr(text, 1, start), '\S*$', 0))::INT AS before, length(regexp_extract(substr(text, stop + 1), '^\S*', 0))::INT AS after FROM i WHERE regexp_matches(mid, '\S'))
+SELECT doc_id, CASE WHEN lead > 0 THEN start + lead ELSE start - before END AS start, CASE WHEN trail > 0 THEN stop - trail ELSE stop + after END AS stop FROM n""")
 def qlt_04_snap_spans(v):
     from lectern.operators.quality import snap_spans
 
@@ -258,7 +271,14 @@ def win_05_sessions(v):
     return sessions(v.fx_paragraphs).select("doc_id", "pos", "card")
 
 
-@query(None)
+#: Runs of paragraphs that reach 400 words, each from the last paragraph of the run before.
+WINDOWS = r"""p AS (SELECT doc_id, pos, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::BIGINT AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, count(*) OVER (PARTITION BY doc_id) AS m FROM fx_paragraphs),
+f AS (SELECT doc_id, 0::BIGINT AS k, NULL::INT AS first, 0::BIGINT AS words, 0 AS win, 0 AS done, NULL::INT AS began, NULL::INT AS pos FROM (SELECT DISTINCT doc_id FROM p) d
+ UNION ALL SELECT p.doc_id, p.k, CASE WHEN f.words + p.n >= 400 THEN p.pos ELSE coalesce(f.first, p.pos) END, CASE WHEN f.words + p.n >= 400 THEN p.n ELSE f.words + p.n END, f.win + CASE WHEN f.words + p.n >= 400 THEN 1 ELSE 0 END, CASE WHEN f.words + p.n >= 400 THEN 1 ELSE 0 END, coalesce(f.first, p.pos), p.pos FROM f JOIN p ON p.doc_id = f.doc_id AND p.k = f.k + 1),
+wn AS (SELECT doc_id, (win - 1)::INT AS "window", began AS first, pos AS last FROM f WHERE done = 1 UNION ALL SELECT f.doc_id, win, first, f.pos FROM f JOIN p ON p.doc_id = f.doc_id AND p.k = f.k AND f.k = p.m)"""
+
+
+@query(f'WITH RECURSIVE {WINDOWS} SELECT doc_id, "window", first, last FROM wn', "fx_paragraphs")
 def win_06_windows(v):
     return S.windows(v.fx_paragraphs)
 
@@ -285,7 +305,13 @@ def sea_15_best_excerpt(v):
     return S.best_excerpt(v.fx_paragraphs, "queau ation").select("doc_id", "excerpt")
 
 
-@query(None)
+WARRANT_SQL = " + ".join(f"CASE WHEN contains(lower(t), '{w}') THEN 1 ELSE 0 END" for w in S.WARRANTS)
+
+
+@query(f"""WITH RECURSIVE {WINDOWS}, b AS (SELECT wn.doc_id, wn."window", string_agg(q.text, chr(10) || chr(10) ORDER BY q.pos) AS t FROM wn JOIN fx_paragraphs q ON q.doc_id = wn.doc_id AND q.pos BETWEEN wn.first AND wn.last GROUP BY ALL),
+h AS (SELECT *, (length(t) - length(replace(lower(t), 'queau', ''))) // 5 AS x, (length(t) - length(replace(lower(t), 'ation', ''))) // 5 AS y FROM b),
+s AS (SELECT doc_id, "window", (CASE WHEN x > 0 THEN x + 8 ELSE 0 END + CASE WHEN y > 0 THEN y + 8 ELSE 0 END + {WARRANT_SQL})::BIGINT AS score FROM h)
+SELECT * FROM (SELECT doc_id, "window", score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, "window")::INT AS nth FROM s) x WHERE nth <= 5""", "fx_paragraphs")
 def sea_16_best_windows(v):
     return S.best_windows(v.fx_paragraphs, "queau ation")
 
@@ -500,7 +526,12 @@ def set_04_dedupe_urls(v):
     return C.first_of(p, ["key"], "page_id").select("page_id", "key")
 
 
-@query(None)
+@query(r"""WITH RECURSIVE i AS (SELECT page_id AS id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, page_id % 3 = 0 AS scholarly FROM pages WHERE url <> ''),
+t AS (SELECT *, substr(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')), 1, 140) AS tk, lower(regexp_extract(url, '(?i)doi\.org/(10\.\d+/[^\s?#]+)', 1)) AS d FROM i),
+k AS (SELECT id, concat('url:', regexp_replace(split_part(url, '#', 1), '/$', '')) AS key FROM t UNION SELECT id, concat('title:', tk) FROM t WHERE tk <> '' UNION SELECT id, concat('doi:', d) FROM t WHERE d <> ''),
+r AS (SELECT id, id AS other FROM i UNION SELECT r.id, b.id FROM r JOIN k a ON a.id = r.other JOIN k b ON b.key = a.key),
+c AS (SELECT id, min(other) AS cluster FROM r GROUP BY id)
+SELECT cluster, id, url, title, n FROM (SELECT c.cluster, i.id, url, title, count(*) OVER (PARTITION BY cluster) AS n, row_number() OVER (PARTITION BY cluster ORDER BY NOT scholarly, NOT (scholarly OR regexp_matches(url, '(?i)doi\.org|unpaywall|pmc|arxiv|openalex')), i.id) AS nth FROM c JOIN i USING (id)) x WHERE nth = 1""")
 def set_05_entities(v):
     from lectern.operators.entities import resolve
 
@@ -521,7 +552,7 @@ def src_09_articles(v):
     return articles(v.pages).select("page_id", "title", "n_paragraphs", F.length("body").alias("n_chars"))
 
 
-@query(None)
+@query("SELECT 'Crossref' AS adapter, url, concat('Title ', page_id) AS title, '10.1/x' AS doi, NULL::VARCHAR AS excerpt FROM pages WHERE url <> '' UNION ALL SELECT 'Exa', url, concat('Title ', page_id), NULL, 'body' FROM pages WHERE url <> ''")
 def src_23_search_results(v):
     from lectern.sources.results import normalise
 
