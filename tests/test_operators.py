@@ -210,3 +210,34 @@ def test_snapping_and_cut_checks(spark):
     c = spark.createDataFrame([("a", "plain ==x y z a b c d== text", "plain x y z a b c d text"), ("b", "words that are not there", "other")], "id string, body_markdown string, source string")
     got = {r["id"]: r["issues"] for r in quality.validate_cut(c).collect()}
     assert got == {"a": ["long marked run", "marked too densely"], "b": ["not in source"]}
+
+
+def test_uncited_cards_are_grouped_by_text_and_blank_keys_stand_alone(spark):
+    rows = [("a", "", "same words", 0.1), ("b", None, "same words", 0.2), ("c", "", "other words", 0.3), ("d", "Smith '24", "same words", 0.4)]
+    c = spark.createDataFrame([(i, t, cite, "t", t, t, "[]", "[]", "wiki", None, "open", "z", f"{i}.docx") for i, cite, t, _ in rows], "id string, body_plain string, cite string, tag string, body_markdown string, source string, argument_types string, argument_tags string, source_kind string, topic_bucket string, division string, zip_path string, source_entry string")
+    got = {r["id"]: (r["group_key"].split("::")[0], r["variant_count"], r["is_canonical"]) for r in cards.stored(c).collect()}
+    assert got == {"a": ("unknown", 2, True), "b": ("unknown", 2, False), "c": ("unknown", 1, True), "d": ("Smith '24", 1, True)}
+    blank = spark.createDataFrame([(str(n), "", 0.1, "e") for n in range(5)], "id string, group_key string, warrant_density double, source_entry string")
+    assert all(r["is_canonical"] and r["variant_count"] == 1 for r in cards.elect_canonical(blank).collect())
+
+
+def test_long_chains_of_entities_are_one_cluster(spark):
+    pairs = spark.createDataFrame([(n, f"k{n}") for n in range(70)] + [(n + 1, f"k{n}") for n in range(70)] + [(500, "alone")], "id long, key string")
+    got = {r["id"]: r["cluster"] for r in entities.clusters(pairs).collect()}
+    assert got == {n: 0 for n in range(71)} | {500: 500}
+
+
+def test_knn_beyond_the_broadcast(spark):
+    rows = [(n, [float(n % 7), float(n % 5), 1.0]) for n in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    few, many = (sorted(map(tuple, search.knn(v, q, 5, most=most).collect())) for most in (10_000, 6))
+    assert few == many and len(few) == 100
+
+
+def test_kept_index_reads_only_the_terms(spark, tmp_path):
+    posts = search.postings(spark.createDataFrame([(1, "red fish blue fish"), (2, "one fish")], "doc_id long, text string"), ["text"])
+    search.bucketed(posts).write.partitionBy("bucket").parquet(str(tmp_path / "index"))
+    got = search.of_terms(spark.read.parquet(str(tmp_path / "index")), ["fish", "blue"])
+    assert sorted((r["doc_id"], r["term"], r["tf"]) for r in got.collect()) == [(1, "blue", 1), (1, "fish", 2), (2, "fish", 1)]
+    assert "PartitionFilters: [" in got._jdf.queryExecution().toString()
