@@ -60,7 +60,7 @@ def snap_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFr
     t = F.col("text")
     size = lambda c, form: F.length(F.regexp_extract(c, form, 0))
     inner = F.substring(t, F.col("start") + 1, F.col("stop") - F.col("start"))
-    lead, trail = size(inner, "(?U)^\\s*"), size(inner, "(?U)\\s*$")
-    before, after = size(F.substring(t, F.lit(1), F.col("start")), "(?U)\\S*$"), size(F.substring(t, F.col("stop") + 1, F.length(t)), "(?U)^\\S*")
+    lead, trail = size(inner, "(?U)^\\s*"), size(inner, "(?U)\\s*\\z")
+    before, after = size(F.substring(t, F.lit(1), F.col("start")), "(?U)\\S*\\z"), size(F.substring(t, F.col("stop") + 1, F.length(t)), "(?U)^\\S*")
     j = spans.join(docs, key).filter(inner.rlike("(?U)\\S"))
     return j.select(key, F.when(lead > 0, F.col("start") + lead).otherwise(F.col("start") - before).alias("start"), F.when(trail > 0, F.col("stop") - trail).otherwise(F.col("stop") + after).alias("stop"))
