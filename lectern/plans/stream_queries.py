@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import ratings as R
 from lectern.plans.registry import query
-from lectern.plans.tournament_queries import HISTORY_SQL, _shown
+from lectern.plans.tournament_queries import HISTORY_SQL, _matches, _shown
 from lectern.sources import archive, scratch
 from lectern.streaming import jobs
 
@@ -74,7 +74,7 @@ def stm_04_admission(v):
 @query(HISTORY_SQL, "fx_ballots", "fx_entries", "fx_tournaments", "fx_events")
 def stm_09_follow_ratings(v):
     """Matches arrive in three parts, in order of time; each goes on from the ratings that the ones before left."""
-    m = scratch.written(R.rated_matches(v.fx_ballots, v.fx_tournaments, v.fx_entries, v.fx_events), "matches")
+    m = _matches(v)
     files, out, checkpoint = scratch.fresh(v._spark, "files"), scratch.fresh(v._spark, "history"), scratch.fresh(v._spark, "checkpoint")
     for part in ("start_date < '1994-07-01'", "start_date >= '1994-07-01' and start_date < '1996-01-01'", "start_date >= '1996-01-01'"):
         m.filter(part).write.mode("append").parquet(files)

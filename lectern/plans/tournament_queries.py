@@ -339,7 +339,7 @@ def win_04_merged_pages(v):
 
 
 def _matches(v):
-    return R.rated_matches(v.fx_ballots, v.fx_tournaments, v.fx_entries, v.fx_events)
+    return v.kept("matches", lambda: R.rated_matches(v.fx_ballots, v.fx_tournaments, v.fx_entries, v.fx_events))
 
 
 @query(f"""WITH {MATCHES}, ne AS (SELECT tourn_id, event_abbr, round_id, count(DISTINCT entry_id) AS n_entries FROM fx_ballots GROUP BY ALL),
