@@ -66,6 +66,7 @@ def test_odd_input(odd, none):
     zero = {r["component_id"] for r in rows if r["fp"] == 0}
     assert zero == {3}  # blank and null texts are linked with each other
     assert simhash.near_duplicates(none).count() == 0
+    assert simhash.keep_first(none).count() == 0
     kept = simhash.keep_first(odd)
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted({r["component_id"] for r in rows if r["component_id"] is not None})
