@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, chunks, mixing, packing, pii, quality, simhash, tokencount, toxicity, urls
+from lectern.llm import ann, bytebpe, chunks, infill, mixing, packing, pii, quality, simhash, spelling, tokencount, toxicity, urls
 from lectern.llm.common import table
 
 
@@ -62,5 +62,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_toxicity, op4_ann, op5_pii, op6_mixing, op7_simhash, op8_urls, op9_token_counts, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {"op1_quality": quality.judge_sql(), "op6_mixing": mixing.mix_sql(WEIGHTS)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents"), slips=199))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    decoded = bytebpe.decode(encoded.select("doc_id", "ids"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(ids).alias("ids_sha256"), digest(F.col("data")).alias("decoded_sha256"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=7, rate=100, spm=50)
+    restored = infill.restore(done.drop("text"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return restored.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_toxicity, op4_ann, op5_pii, op6_mixing, op7_simhash, op8_urls, op9_token_counts, op10_substring_dedup, op11_spelling, op12_byte_bpe, op13_infill)}
+ORACLE_SQL: dict[str, str] = {"op1_quality": quality.judge_sql(), "op6_mixing": mixing.mix_sql(WEIGHTS), "op13_infill": infill.transform_sql()}
