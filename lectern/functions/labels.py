@@ -123,16 +123,36 @@ TIDY = (
 )
 
 
-def normal_tag(tag: Column) -> Column:
-    """A card's tag without remarks, numbering, bullets and stray spaces, with a capital; the tag itself if nothing is left."""
+#: How many of TIDY's last steps come after words that were split have been put together.
+LAST = 2
+
+
+def trimmed_tag(tag: Column) -> Column:
+    """A tag without remarks, numbering and bullets, before words that were split are put together."""
     out = text(tag)
     for pattern in META:
         out = F.regexp_replace(out, js(pattern), "")
-    for pattern, to in TIDY:
+    for pattern, to in TIDY[:-LAST]:
+        out = F.regexp_replace(out, pattern, to)
+    return out
+
+
+def finished_tag(tag: Column, trimmed: Column) -> Column:
+    """The trimmed tag without stray spaces, with a capital; the tag itself if nothing is left."""
+    out = trimmed
+    for pattern, to in TIDY[-LAST:]:
         out = F.regexp_replace(out, pattern, to)
     out = F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, F.lit(2), F.length(out)))
     return F.when(text(tag) == "", tag).when(out == "", tag).otherwise(out)
 
 
+def normal_tag(tag: Column) -> Column:
+    """A card's tag without remarks, numbering, bullets and stray spaces, with a capital; the tag itself if nothing is left.
+
+    Words that were split stay so; `operators.tags` puts them together by a table of words.
+    """
+    return finished_tag(tag, trimmed_tag(tag))
+
+
 def classify_text(*parts: Column) -> Column:
     return squeeze(F.concat_ws(" ", *(text(p) for p in parts)))

@@ -33,6 +33,17 @@ SELECT doc_id, concat('c', lpad(CAST(doc_id AS VARCHAR(12)), 8, '0')) AS id,
 FROM documents
 """
 
+#: Tags of plain words, of which one may have its first or its last letter apart.
+FX_SPLIT_TAGS_SPARK = """
+SELECT id, doc_id, concat(CASE WHEN doc_id % 5 = 0 THEN 'a ' ELSE '' END, array_join(transform(slice(regexp_extract_all(lower(body_plain), '[a-z]{2,}', 0), 1, 8), (x, i) -> CASE
+  WHEN i <> doc_id % 8 OR length(x) < 3 THEN x WHEN doc_id % 3 = 0 THEN concat(substr(x, 1, 1), ' ', substr(x, 2)) WHEN doc_id % 3 = 1 THEN concat(substr(x, 1, length(x) - 1), ' ', right(x, 1)) ELSE x END), ' ')) AS tag FROM fx_cards
+"""
+
+FX_SPLIT_TAGS_DUCK = """
+SELECT id, doc_id, concat(CASE WHEN doc_id % 5 = 0 THEN 'a ' ELSE '' END, array_to_string(list_transform(regexp_extract_all(lower(body_plain), '[a-z]{2,}')[1:8], lambda x, i: CASE
+  WHEN i - 1 <> doc_id % 8 OR length(x) < 3 THEN x WHEN doc_id % 3 = 0 THEN concat(x[1], ' ', x[2:]) WHEN doc_id % 3 = 1 THEN concat(x[:-2], ' ', x[-1]) ELSE x END), ' ')) AS tag FROM fx_cards
+"""
+
 FX_TOURNAMENTS = """
 SELECT tourn_id,
   CASE WHEN tourn_id % 10 = 4 THEN 'Tournament of Champions' WHEN tourn_id % 10 = 5 THEN 'Middle School Tournament of Champions' ELSE concat('Invitational ', CAST(tourn_id AS VARCHAR(8))) END AS name,
@@ -211,7 +222,7 @@ def _ints(sql: str, *columns: str) -> str:
 
 #: name: (text for Spark, text for DuckDB, views that it reads)
 VIEWS = {
-    "fx_cards": (FX_CARDS, FX_CARDS, ()), "fx_tournaments": (FX_TOURNAMENTS, _ints(FX_TOURNAMENTS, "tourn_id"), ()), "fx_events": (FX_EVENTS, _ints(FX_EVENTS, "tourn_id", "event_id"), ()), "fx_entries": (FX_ENTRIES, _ints(FX_ENTRIES, "tourn_id"), ()), "fx_ballots": (FX_BALLOTS, _ints(FX_BALLOTS, "tourn_id", "round_id"), ()),
+    "fx_cards": (FX_CARDS, FX_CARDS, ()), "fx_split_tags": (FX_SPLIT_TAGS_SPARK, FX_SPLIT_TAGS_DUCK, ("fx_cards",)), "fx_tournaments": (FX_TOURNAMENTS, _ints(FX_TOURNAMENTS, "tourn_id"), ()), "fx_events": (FX_EVENTS, _ints(FX_EVENTS, "tourn_id", "event_id"), ()), "fx_entries": (FX_ENTRIES, _ints(FX_ENTRIES, "tourn_id"), ()), "fx_ballots": (FX_BALLOTS, _ints(FX_BALLOTS, "tourn_id", "round_id"), ()),
     "fx_results": (FX_RESULTS, FX_RESULTS, ("fx_entries",)), "fx_entry_paths": (FX_ENTRY_PATHS, FX_ENTRY_PATHS, ("fx_cards",)), "fx_paragraphs": (FX_PARAGRAPHS_SPARK, FX_PARAGRAPHS_DUCK, ("fx_cards",)), "fx_cites": (FX_CITES, FX_CITES, ("fx_cards",)),
     "fx_analytics": (FX_ANALYTICS, FX_ANALYTICS, ("fx_cards",)), "fx_saved": (FX_SAVED, FX_SAVED, ()), "fx_contentions": (FX_CONTENTIONS, FX_CONTENTIONS, ()), "fx_codes": (FX_CODES, FX_CODES, ("fx_entries", "fx_tournaments")), "fx_links": (FX_LINKS, FX_LINKS, ("fx_entries",)),
     "fx_wiki_teams": (FX_WIKI_TEAMS, FX_WIKI_TEAMS, ()), "fx_wiki_arguments": (FX_WIKI_ARGUMENTS, FX_WIKI_ARGUMENTS, ()), "fx_rounds": (FX_ROUNDS, FX_ROUNDS, ()), "fx_round_cites": (FX_ROUND_CITES, FX_ROUND_CITES, ()),
