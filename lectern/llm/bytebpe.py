@@ -4,7 +4,8 @@ A rank file lists byte strings. Each byte is written as one printable character
 merges work on characters; two tokens merge if the bytes of both together have a rank, the lowest rank first, and a
 match of the pattern that has a rank itself is one token. Texts are cut before each space that black text follows,
 where a match of the pattern always ends, so a part's ids don't depend on what stands around it: parts that a worker has
-met are looked up, and new ones go through the library together, whose offsets tell them apart.
+met are looked up. New ones of letters and closing punctuation go to the library's model match by match, in the byte
+table's characters; all others go through the library together, whose offsets tell them apart.
 
 Decoding takes bytes from the table, so a character may be split over ids: `decode` joins bytes before it reads
 characters, and `decode_parts` gives a split character to the part in which it ends.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 from codecs import getincrementaldecoder
 
@@ -34,6 +36,8 @@ from lectern.llm.tokens import public_tokenizer
 RANKS = "byte_bpe_50k.tiktoken"
 #: Before such a space a match ends: what comes before it, white space or not, is matched as at the end of a text.
 CUT = re.compile(r" (?=\S)")
+#: Letters, with the cut's space or without, and punctuation after them: two matches, wherever they stand.
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 #: Characters that are worked on at a time.
 STEP = 1 << 20
 UNKNOWN = "\ufffd".encode()
@@ -58,6 +62,29 @@ class ByteBpe:
         self.sizes[list(self.bytes_of)] = [len(x) for x in self.bytes_of.values()]
         self.most, self.longest = most, longest
         self.known: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {}
+        self.letters = {x: letter for x, letter in enumerate(letters)}
+
+    def _match(self, match: str) -> bytes:
+        """Ids of one match of the pattern."""
+        if (found := self.matches.get(match)) is None:
+            if len(self.matches) >= self.most:
+                self.matches.clear()
+            characters = match.encode().decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(characters)]).tobytes()
+            if len(match) <= self.longest:
+                self.matches[match] = found
+        return found
+
+    def _plain(self, part: str) -> bytes | None:
+        """Ids of a part whose lines are words with closing punctuation; none for other parts."""
+        out = []
+        for line in part.split("\n"):  # between such lines, a line break is a match
+            m = PLAIN.fullmatch(line)
+            if not m or (out and line[0] == " "):
+                return None
+            out.append(self._match(m[1]) + self._match(m[2]) if m[2] else self._match(m[1]))
+        return out[0] if len(out) == 1 else self._match("\n").join(out)
 
     def _learn(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of parts that begin with a cut, by one pass of the library over all of them."""
@@ -104,10 +131,16 @@ class ByteBpe:
         if lost and len(known) + len(lost) > self.most:
             known.clear()
             lost = {p for _, parts in held for p in parts}
+        others = []
+        for p in lost:
+            if (ids := self._plain(p)) is None:
+                others.append(p)
+            else:
+                known[p] = ids
         # parts that begin with a cut's space can stand side by side; the others are encoded by themselves
-        beside = {p for p in lost if len(p) > 1 and p[0] == " " and not p[1].isspace()}
+        beside = {p for p in others if len(p) > 1 and p[0] == " " and not p[1].isspace()}
         known.update(self._learn(sorted(beside)))
-        for p in lost - beside:
+        for p in set(others) - beside:
             known[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
         for k, parts in held:
             done[k] += map(known.get, parts)
