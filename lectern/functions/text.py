@@ -99,7 +99,7 @@ def highlights(markdown: Column) -> Column:
 
 
 def strip_marks(markdown: Column) -> Column:
-    return squeeze(F.regexp_replace(F.regexp_replace(text(markdown), "</?u>", ""), "\\*\\*|==|¶", ""))
+    return squeeze(F.regexp_replace(F.regexp_replace(text(markdown), "(?i)</?u>", ""), "\\*\\*|==|¶", ""))
 
 
 def fingerprint(c: Column) -> Column:
@@ -307,7 +307,7 @@ def first_words(c: Column, n: int) -> Column:
 def normal_for_match(c: Column) -> Column:
     """Quotes, dashes and marks folded, lower case, single spaces."""
     out = F.translate(text(c), "‘’“”–—", "''\"\"--")
-    return squeeze(F.lower(F.regexp_replace(F.regexp_replace(out, "</?u>", ""), "\\*\\*|==|¶", " ")))
+    return squeeze(F.lower(F.regexp_replace(F.regexp_replace(out, "(?i)==|\\*\\*|</?u>", ""), "¶", " ")))
 
 
 def tokens(c: Column, least: int = 3) -> Column:

@@ -12,8 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import labels, text
+from lectern.sources import merge
+from lectern.sources.keyed import KeyedTable
 from lectern.sources.scratch import written
 
+#: What tells a card that is there already.
+KNOWN_BY = "fingerprint"
 #: What lists show; bodies stay unread.
 LIST_COLUMNS = (
     "id", "zip_path", "source_entry", "division", "school", "squad", "tag", "cite", "short_cite", "warrant_density", "imported_at", "topic_bucket", "source_kind", "is_canonical", "group_key", "variant_count",
@@ -57,6 +61,23 @@ def recanonicalise(cards: DataFrame, keys: DataFrame) -> DataFrame:
     return cards.join(touched, "group_key", "left_anti").unionByName(redone.select(*cards.columns))
 
 
+def import_batch(table: KeyedTable, cards: DataFrame, version: int, known_by: str = KNOWN_BY) -> None:
+    """Store a batch of derived cards in a table keyed by group_key, and elect the canonical cards of their groups anew.
+
+    Cards that are there already (by known_by, in any bucket) are left out; of the others all stay, twins too. Only the
+    buckets of the new cards' groups are rewritten, and in them only those groups are elected. Versions go up;
+    one that is run again does the same again.
+    """
+    fresh = merge.not_in(cards, table.rows(before=version), [known_by])
+
+    def make(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.unionByName(new.withColumns({"variant_count": F.lit(1).cast("bigint"), "is_canonical": F.lit(False)}).select(*old.columns))
+        # cards without a group key stand alone
+        return recanonicalise(both, new).withColumn("is_canonical", F.when(F.coalesce("group_key", F.lit("")) == "", True).otherwise(F.col("is_canonical")))
+
+    table.rewrite(fresh, version, make)
+
+
 def predicate(min_highlight: int = 0, scope: str | None = None, type: str | None = None, topic: str | None = None, resolution: str | None = None, source: str | None = None, canonical: bool | None = None) -> Column:
     """Highlighted cards that meet each condition that is given."""
     parts = [F.col("has_highlight")]

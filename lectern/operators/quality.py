@@ -64,3 +64,55 @@ def snap_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFr
     before, after = size(F.substring(t, F.lit(1), F.col("start")), "(?U)\\S*\\z"), size(F.substring(t, F.col("stop") + 1, F.length(t)), "(?U)^\\S*")
     j = spans.join(docs, key).filter(inner.rlike("(?U)\\S"))
     return j.select(key, F.when(lead > 0, F.col("start") + lead).otherwise(F.col("start") - before).alias("start"), F.when(trail > 0, F.col("stop") - trail).otherwise(F.col("stop") + after).alias("stop"))
+
+
+#: The largest shares of words that may be highlighted and underlined, by density.
+HIGHLIGHT_CAPS = {"minimal": 0.20, "standard": 0.25, "heavy": 0.30}
+UNDERLINE_CAPS = {"minimal": 0.40, "standard": 0.55, "heavy": 0.72}
+LONGEST_RUN = 5
+UNDERLINED = "(?is)<u>(.*?)</u>"
+HIGHLIGHTED, BOLD = "==([^=]+)==", "\\*\\*[^*]+\\*\\*"
+#: The kinds of issue, in the order in which they are told.
+ISSUES = ("highlighted too densely", "underlined too densely", "long highlight", "highlight outside underline", "bold outside underline", "not verbatim", "trimmed")
+
+
+def _paragraphs(body: Column) -> Column:
+    """Blocks between blank lines, without figures that were left out."""
+    blocks = F.transform(F.split(text.text(body), "\\n(?U:\\s*)\\n+"), lambda p: F.regexp_replace(p, "(?U)^\\s+|\\s+\\z", ""))
+    return F.filter(blocks, lambda p: (p != "") & (p != "[FIGURE OMITTED]"))
+
+
+def cut_issues(cards: DataFrame, density: str = "heavy", key: str = "id") -> DataFrame:
+    """(key, paragraph, issue, value): what is wrong with a cut (body_markdown) of a source; paragraphs count from 1.
+
+    value: the share of words that is marked, or the words of the longest run. Marks outside an underline are looked for in
+    what is left when underlined spans are taken out. A paragraph should be a whole paragraph of the source, in normal
+    form: whole ones meet by equality, and only those without a partner are looked for inside the source, where they are
+    trimmed or not verbatim. Cards without a source aren't compared with it; paragraphs without words, and null or
+    empty bodies, have no issues; key names one card; an unknown density is heavy.
+    """
+    lit, low = HIGHLIGHT_CAPS.get(density, HIGHLIGHT_CAPS["heavy"]), UNDERLINE_CAPS.get(density, UNDERLINE_CAPS["heavy"])
+    n_words = lambda c: text.n_words(text.strip_marks(c))
+    total = lambda spans: F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, s: a + n_words(s))
+    p = cards.select(key, F.posexplode(_paragraphs(F.col("body_markdown"))).alias("pos", "p")).withColumn("n", n_words(F.col("p"))).filter("n > 0")
+    runs, lines = F.regexp_extract_all("p", F.lit(HIGHLIGHTED), F.lit(1)), F.regexp_extract_all("p", F.lit(UNDERLINED), F.lit(1))
+    outside = F.array_join(F.filter(F.split("p", UNDERLINED), lambda s: s != ""), " ")
+    measured = p.select(
+        key, (F.col("pos") + 1).alias("paragraph"), (total(runs) / F.col("n")).alias("lit"), (total(lines) / F.col("n")).alias("low"), F.aggregate(runs, F.lit(0).cast("bigint"), lambda a, s: F.greatest(a, n_words(s))).alias("run"),
+        outside.rlike(HIGHLIGHTED).alias("lit_out"), outside.rlike(BOLD).alias("bold_out"), text.normal_for_match(F.col("p")).alias("norm"),
+    )
+
+    def issue(k: int, bad: Column, value: Column | None = None) -> Column:
+        shown = F.round(value, 6) if value is not None else F.lit(None)
+        return F.when(bad, F.struct(F.lit(ISSUES[k]).alias("issue"), shown.cast("double").alias("value")))
+
+    marks = F.array(issue(0, F.col("lit") > lit, F.col("lit")), issue(1, F.col("low") > low, F.col("low")), issue(2, F.col("run") > LONGEST_RUN, F.col("run")), issue(3, F.col("lit_out")), issue(4, F.col("bold_out")))
+    told = measured.select(key, "paragraph", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("x")).select(key, "paragraph", "x.issue", "x.value")
+
+    normal = F.filter(F.transform(_paragraphs(F.col("source")), text.normal_for_match), lambda x: x != "")
+    sources = cards.select(key, normal.alias("paras")).filter(F.size("paras") > 0)
+    whole = sources.select(key, F.explode("paras").alias("norm")).distinct()
+    open_ = measured.select(key, "paragraph", "norm").filter("norm <> ''").join(whole, [key, "norm"], "left_anti")
+    held = open_.join(sources.select(key, F.array_join("paras", " § ").alias("all")), key)
+    against = held.select(key, "paragraph", F.when(F.contains("all", "norm"), F.lit(ISSUES[6])).otherwise(F.lit(ISSUES[5])).alias("issue"), F.lit(None).cast("double").alias("value"))
+    return told.unionByName(against)

@@ -203,7 +203,7 @@ def lbl_08_changed_tags(v):
     return c.filter("tag <> after").orderBy("id").limit(20)
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(translate(text, '‘’“”–—', chr(39) || chr(39) || '""--'), '</?u>', '', 'g'), '\*\*|==|¶', ' ', 'g')), '\s+', ' ', 'g')) AS folded FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(translate(text, '‘’“”–—', chr(39) || chr(39) || '""--'), '(?i)==|\*\*|</?u>', '', 'g'), '¶', ' ', 'g')), '\s+', ' ', 'g')) AS folded FROM documents""")
 def qlt_03_normal_for_match(v):
     return v.documents.select("doc_id", text.normal_for_match(F.col("text")).alias("folded"))
 

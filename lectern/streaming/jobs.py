@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from lectern.operators import ratings as R
 from lectern.operators import search as S
 from lectern.sources import merge
+from lectern.sources.keyed import KeyedTable
 
 
 def files(spark: SparkSession, path: str, schema: StructType | str, per_trigger: int = 100) -> DataFrame:
@@ -82,6 +83,20 @@ def thread_activity(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.count("*").alias("n_turns"))
 
 
+def follow_threads(messages: DataFrame, archived: DataFrame, table: KeyedTable, checkpoint: str) -> None:
+    """A row for each thread in the table (conv_id, last_turn, n_turns), kept up to date; archived threads (conv_id) get none.
+
+    In update mode a batch gives the whole new row of each thread that it touches, so a batch that is run again
+    changes nothing.
+    """
+
+    def batch(df: DataFrame, n: int) -> None:
+        table.upsert(merge.not_in(df, archived, ["conv_id"]), n)
+
+    query = thread_activity(messages).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
+    query.awaitTermination()
+
+
 class Admission(StatefulProcessor):
     """Admits a user's events of a month until the limit, in the order of their time within a batch.
 
