@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text
+from lectern.operators.components import components, joined
 from lectern.operators.search import SCHOLARLY_ADAPTERS
 from lectern.sources.scratch import written
 
@@ -20,20 +21,12 @@ def keys(items: DataFrame, id_col: str) -> DataFrame:
 def clusters(pairs: DataFrame) -> DataFrame:
     """(id, cluster): items connected by keys, named by their smallest id.
 
-    Labels pass from items to keys and back, and then to the label of the label's own item, so they travel twice as far
-    each time; labels only fall, so they settle.
+    The items of a key are linked with its smallest item, so a key in very many items makes no more links than items.
     """
-    pairs = written(pairs.distinct(), "pairs")
-    labels = pairs.groupBy("id").agg(F.min("id").alias("cluster"))
-    while True:
-        by_key = pairs.join(labels, "id").groupBy("key").agg(F.min("cluster").alias("least"))
-        near = pairs.join(by_key, "key").groupBy("id").agg(F.min("least").alias("next"))
-        stepped = labels.join(near, "id").select("id", "cluster", F.least("cluster", "next").alias("next"))
-        jump = labels.select(F.col("id").alias("next"), F.col("cluster").alias("far"))
-        moved = written(stepped.join(jump, "next").select("id", F.least("next", "far").alias("cluster"), (F.least("next", "far") < F.col("cluster")).alias("moved")), "round")
-        labels = moved.select("id", "cluster")
-        if moved.filter("moved").isEmpty():
-            return labels
+    pairs = written(pairs.select("id", "key").distinct(), "pairs")
+    keyed = written(pairs.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")), "keys")
+    found = components(joined(pairs, keyed, "key").select(F.col("id").alias("a"), "b"))
+    return pairs.select("id").distinct().join(found.withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("cluster"))
 
 
 def resolve(items: DataFrame, id_col: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text
 from lectern.operators import tournaments as T
+from lectern.operators.components import components
+from lectern.sources.scratch import written
 
 START = 1500.0
 MIN_ROUNDS = 10
@@ -59,39 +61,100 @@ CHRONOLOGICAL = ["start_date", "late", "round_no", "round_name", "tourn_id", "ro
 HISTORY = "season string, event_abbr string, seq long, team_key string, tourn_id int, round_id int, round_name string, round_type string, result string, rating_before double, rating_after double, change double, opponent_key string, opponent_rating double, occurred_at string"
 
 
-def _fold(pdf: pd.DataFrame, ratings: dict[str, float]) -> list[tuple]:
-    out = []
-    f = pdf.sort_values(CHRONOLOGICAL, kind="stable")
-    columns = (f[c].tolist() for c in ("season", "event_abbr", "a_key", "b_key", "a_result", "k", "tourn_id", "round_id", "round_name", "round_type", "start_date"))
-    for seq, (season, event, a_key, b_key, result, k, tourn, rnd, name, kind, day) in enumerate(zip(*columns)):
-        a, b, won = ratings.get(a_key, START), ratings.get(b_key, START), result == "W"
-        p = 1 / (1 + 10 ** ((b - a) / 400))
-        da, db = k * (won - p), k * ((not won) - (1 - p))
-        if kind == "elim":
-            da, db = (da, 0.0) if won else (0.0, db)
-        ratings[a_key], ratings[b_key] = a + da, b + db
-        out.append((season, event, 2 * seq, a_key, tourn, rnd, name, kind, "W" if won else "L", a, a + da, da, b_key, b, day))
-        out.append((season, event, 2 * seq + 1, b_key, tourn, rnd, name, kind, "L" if won else "W", b, b + db, db, a_key, a, day))
-    return out
+#: A season of an event of more matches than that is folded by groups of teams that met.
+WHOLE = 200_000
+
+
+def _levels(a: list[int], b: list[int], n: int) -> np.ndarray:
+    """A match's level is one more than the larger level of its two teams' matches before."""
+    last, out = [0] * n, []
+    for x, y in zip(a, b):
+        level = max(last[x], last[y]) + 1
+        last[x] = last[y] = level
+        out.append(level)
+    return np.array(out, np.int64)
+
+
+def _fold(pdf: pd.DataFrame, held: dict[str, float]) -> pd.DataFrame:
+    """The history of matches in order of seq. Matches of one level have no team in common, and are one step."""
+    f = pdf.sort_values("seq", kind="stable").reset_index(drop=True)
+    m = len(f)
+    codes, teams = pd.factorize(pd.concat([f["a_key"], f["b_key"]]))
+    a, b = codes[:m], codes[m:]
+    rating = np.array([held.get(t, START) for t in teams], np.float64)
+    won, elim, k = (f["a_result"] == "W").to_numpy(), (f["round_type"] == "elim").to_numpy(), f["k"].to_numpy(np.float64)
+    before, after, change = (np.empty((m, 2)) for _ in range(3))
+    level = _levels(a.tolist(), b.tolist(), len(teams))
+    order = np.argsort(level, kind="stable")
+    for now in np.split(order, np.flatnonzero(np.diff(level[order])) + 1):
+        ra, rb = rating[a[now]], rating[b[now]]
+        # powers one by one: a vector's may differ from them in the last bit
+        p = 1 / (1 + np.array([10.0**x for x in ((rb - ra) / 400).tolist()]))
+        da, db = k[now] * (won[now] - p), k[now] * (~won[now] - (1 - p))
+        da, db = np.where(elim[now] & ~won[now], 0.0, da), np.where(elim[now] & won[now], 0.0, db)
+        rating[a[now]] = ra + da
+        rating[b[now]] = rb + db
+        before[now], after[now], change[now] = np.stack([ra, rb], 1), np.stack([ra + da, rb + db], 1), np.stack([da, db], 1)
+    both = lambda x, y: np.stack([np.asarray(x, object), np.asarray(y, object)], 1).ravel()
+    twice = {c: np.repeat(f[c].to_numpy(), 2) for c in ("season", "event_abbr", "tourn_id", "round_id", "round_name", "round_type")}
+    seq = np.stack([2 * f["seq"], 2 * f["seq"] + 1], 1).ravel()
+    letters = np.where(won, "W", "L"), np.where(won, "L", "W")
+    return pd.DataFrame(twice | {
+        "seq": seq, "team_key": both(f["a_key"], f["b_key"]), "result": both(*letters), "rating_before": before.ravel(), "rating_after": after.ravel(), "change": change.ravel(),
+        "opponent_key": both(f["b_key"], f["a_key"]), "opponent_rating": before[:, ::-1].ravel(), "occurred_at": np.repeat(f["start_date"].to_numpy(), 2),
+    })[[c.split()[0] for c in HISTORY.split(", ")]]
+
+
+UNIT = ["season", "event_abbr"]
+
+
+def numbered(matches: DataFrame) -> DataFrame:
+    """matches with seq, their places from 0 in the order of their season and event; written.
+
+    They are sorted in ranges, and a range begins where the counts of those before it end, so no season is sorted in one task.
+    """
+    dealt = written(matches.repartitionByRange(*UNIT, *CHRONOLOGICAL).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(*UNIT, "_range").agg(F.count("*").alias("n"))
+    first = F.coalesce(F.sum("n").over(Window.partitionBy(*UNIT).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy(*UNIT, "_range").orderBy(*CHRONOLOGICAL))
+    placed = dealt.withColumn("_nth", nth).join(sizes.select(*UNIT, "_range", first.alias("_first")), [*UNIT, "_range"])
+    return written(placed.withColumn("seq", F.col("_first") + F.col("_nth") - 1).drop("_first", "_nth", "_range"), "numbered")
+
+
+def teams_that_met(matches: DataFrame) -> DataFrame:
+    """(season, event_abbr, team_key, group): groups of teams that met, directly or through others."""
+    vertex = lambda c: F.to_json(F.struct(*UNIT, F.col(c).alias("team_key")))
+    found = components(matches.select(*UNIT, "a_key", "b_key").distinct().select(vertex("a_key").alias("a"), vertex("b_key").alias("b")))
+    of = F.from_json("v", "season string, event_abbr string, team_key string")
+    return found.select(of.alias("of"), F.col("label").alias("group")).select("of.*", "group")
 
 
-def history(matches: DataFrame, seed: DataFrame | None = None) -> DataFrame:
+def history(matches: DataFrame, seed: DataFrame | None = None, whole: int = WHOLE) -> DataFrame:
     """Two rows for each match with the ratings before and after, folded in order within (season, event).
 
-    Ratings couple all who met, so a season of an event is the smallest unit that is always right; a unit is
-    some ten thousand narrow rows, and units run in parallel. seed: (season, event_abbr, team_key, rating)
-    to go on from.
+    Ratings couple all who met, so a group of teams that met, directly or through others, is the smallest unit that is
+    always right. A season of an event of at most `whole` matches (narrow rows) is one group of rows; of larger ones each
+    group of teams is, which is as fine as a fold in order can be. seed: (season, event_abbr, team_key, rating) to go on from.
     """
-    names = [f.split()[0] for f in HISTORY.split(", ")]
-    cols = ["season", "event_abbr", "a_key", "b_key", "a_result", "k", "round_type", *CHRONOLOGICAL]
-    m = matches.select(*cols)
-    if seed is None:
-        return m.groupBy("season", "event_abbr").applyInPandas(lambda pdf: pd.DataFrame(_fold(pdf, {}), columns=names), HISTORY)
+    cols = [*UNIT, "a_key", "b_key", "a_result", "k", "round_type", *CHRONOLOGICAL]
+    m = numbered(matches.select(*cols))
+    large = m.groupBy(*UNIT).agg(F.count("*").alias("n")).filter(F.col("n") > whole).select(*UNIT)
+    by = ["season", "event_abbr", "group"]
+    seeds = None if seed is None else seed.select(*UNIT, "team_key", "rating")
+    if large.isEmpty():
+        m = m.withColumn("group", F.lit(""))
+        seeds = None if seeds is None else seeds.withColumn("group", F.lit(""))
+    else:
+        met = teams_that_met(m.join(large, UNIT, "left_semi"))
+        m = m.join(met.withColumnRenamed("team_key", "a_key"), [*UNIT, "a_key"], "left").withColumn("group", F.coalesce("group", F.lit("")))
+        seeds = None if seeds is None else seeds.join(met, [*UNIT, "team_key"], "left").withColumn("group", F.coalesce("group", F.lit("")))
+    if seeds is None:
+        return m.groupBy(*by).applyInPandas(lambda pdf: _fold(pdf, {}), HISTORY)
 
     def go_on(pdf: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_fold(pdf, dict(zip(old["team_key"], old["rating"]))), columns=names)
+        return _fold(pdf, dict(zip(old["team_key"], old["rating"])))
 
-    return m.groupBy("season", "event_abbr").cogroup(seed.select("season", "event_abbr", "team_key", "rating").groupBy("season", "event_abbr")).applyInPandas(go_on, HISTORY)
+    return m.groupBy(*by).cogroup(seeds.groupBy(*by)).applyInPandas(go_on, HISTORY)
 
 
 def ratings(history: DataFrame) -> DataFrame:
