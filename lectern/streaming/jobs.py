@@ -52,6 +52,29 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, key: str = "fingerpr
     run(stream, checkpoint, batch)
 
 
+def import_with_progress(spark: SparkSession, path: str, schema: StructType | str, target: str, log: str, checkpoint: str, key: str = "fingerprint", per_trigger: int = 100, after: Callable[[int], None] | None = None) -> None:
+    """As ingest, from files, with a row in `log` for each batch: files of the batch, files done, files known, percent.
+
+    A run goes on where the one before ended, and so does the log; a batch that is run again replaces its row. Files that
+    come later raise the number known. after: called with a batch's number when it is done.
+    """
+
+    def batch(df: DataFrame, n: int) -> None:
+        new = df.drop("_file")
+        held = _table(spark, target, new.schema).filter(F.col("batch") < n) if n else new.limit(0)
+        merge.not_in(new, held, [key]).write.mode("overwrite").parquet(f"{target}/batch={n}")
+        before = (_table(spark, log, spark.createDataFrame([], "files long").schema).filter(F.col("batch") < n).agg(F.sum("files")).first()[0] or 0) if n else 0
+        count = df.agg(F.countDistinct("_file").alias("files"))
+        done = count.select("files", (F.col("files") + before).alias("files_done"), F.lit(known).alias("files_known"))
+        done.withColumn("percent", F.round(F.lit(100.0) * F.col("files_done") / F.greatest("files_known", "files_done"), 2)).coalesce(1).write.mode("overwrite").parquet(f"{log}/batch={n}")
+        if after:
+            after(n)
+
+    known = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path").count()
+    stream = files(spark, path, schema, per_trigger).select("*", F.col("_metadata.file_path").alias("_file"))
+    run(stream, checkpoint, batch)
+
+
 def keep_index(stream: DataFrame, target: str, checkpoint: str, fields: list[str], key: str = "doc_id") -> None:
     """Postings of the latest text of each document: a batch's documents replace their older postings.
 
