@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text
+from lectern.sources.scratch import written
 
 BOILERPLATE = r"(?i)^\s*(references|bibliography|works cited|acknowledg(e)?ments?|about the author|author(s)? (bio|biography|note)|disclosures?|conflicts of interest|funding|data availability|appendix|supplementary materials?)\b"
 REFERENCE_LINE = r"^\[?\s*(\d+\.|\[\d+\])"
@@ -76,9 +77,13 @@ HIGHLIGHTED, BOLD = "==([^=]+)==", "\\*\\*[^*]+\\*\\*"
 ISSUES = ("highlighted too densely", "underlined too densely", "long highlight", "highlight outside underline", "bold outside underline", "not verbatim", "trimmed")
 
 
+#: All white space.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def _paragraphs(body: Column) -> Column:
     """Blocks between blank lines, without figures that were left out."""
-    blocks = F.transform(F.split(text.text(body), "\\n(?U:\\s*)\\n+"), lambda p: F.regexp_replace(p, "(?U)^\\s+|\\s+\\z", ""))
+    blocks = F.transform(F.split(text.text(body), "\\n(?U:\\s*)\\n+"), lambda p: F.btrim(p, F.lit(SPACES)))
     return F.filter(blocks, lambda p: (p != "") & (p != "[FIGURE OMITTED]"))
 
 
@@ -92,15 +97,17 @@ def cut_issues(cards: DataFrame, density: str = "heavy", key: str = "id") -> Dat
     empty bodies, have no issues; key names one card; an unknown density is heavy.
     """
     lit, low = HIGHLIGHT_CAPS.get(density, HIGHLIGHT_CAPS["heavy"]), UNDERLINE_CAPS.get(density, UNDERLINE_CAPS["heavy"])
-    n_words = lambda c: text.n_words(text.strip_marks(c))
+    bare = lambda c: F.regexp_replace(F.replace(F.replace(c, F.lit("=="), F.lit("")), F.lit("**"), F.lit("")), "(?i)</?u>", "")
+    n_words = lambda c: F.regexp_count(bare(c), F.lit("(?U)\\S+")).cast("bigint")
     total = lambda spans: F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, s: a + n_words(s))
     p = cards.select(key, F.posexplode(_paragraphs(F.col("body_markdown"))).alias("pos", "p")).withColumn("n", n_words(F.col("p"))).filter("n > 0")
     runs, lines = F.regexp_extract_all("p", F.lit(HIGHLIGHTED), F.lit(1)), F.regexp_extract_all("p", F.lit(UNDERLINED), F.lit(1))
     outside = F.array_join(F.filter(F.split("p", UNDERLINED), lambda s: s != ""), " ")
-    measured = p.select(
+    # each measure is taken once, and both halves below read it
+    measured = written(p.select(
         key, (F.col("pos") + 1).alias("paragraph"), (total(runs) / F.col("n")).alias("lit"), (total(lines) / F.col("n")).alias("low"), F.aggregate(runs, F.lit(0).cast("bigint"), lambda a, s: F.greatest(a, n_words(s))).alias("run"),
         outside.rlike(HIGHLIGHTED).alias("lit_out"), outside.rlike(BOLD).alias("bold_out"), text.normal_for_match(F.col("p")).alias("norm"),
-    )
+    ), "measured")
 
     def issue(k: int, bad: Column, value: Column | None = None) -> Column:
         shown = F.round(value, 6) if value is not None else F.lit(None)
@@ -109,10 +116,12 @@ def cut_issues(cards: DataFrame, density: str = "heavy", key: str = "id") -> Dat
     marks = F.array(issue(0, F.col("lit") > lit, F.col("lit")), issue(1, F.col("low") > low, F.col("low")), issue(2, F.col("run") > LONGEST_RUN, F.col("run")), issue(3, F.col("lit_out")), issue(4, F.col("bold_out")))
     told = measured.select(key, "paragraph", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("x")).select(key, "paragraph", "x.issue", "x.value")
 
-    normal = F.filter(F.transform(_paragraphs(F.col("source")), text.normal_for_match), lambda x: x != "")
-    sources = cards.select(key, normal.alias("paras")).filter(F.size("paras") > 0)
-    whole = sources.select(key, F.explode("paras").alias("norm")).distinct()
-    open_ = measured.select(key, "paragraph", "norm").filter("norm <> ''").join(whole, [key, "norm"], "left_anti")
-    held = open_.join(sources.select(key, F.array_join("paras", " § ").alias("all")), key)
+    given = cards.select(key, F.posexplode(_paragraphs(F.col("source"))).alias("pos", "p")).select(key, "pos", text.normal_for_match(F.col("p")).alias("norm"))
+    given = written(given, "sources").filter("norm <> ''")
+    sourced = given.select(key).distinct()
+    open_ = measured.select(key, "paragraph", "norm").filter("norm <> ''").join(sourced, key, "left_semi").join(given.select(key, "norm"), [key, "norm"], "left_anti")
+    # the whole source is put together for cards that need it only
+    needed = given.join(open_.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "norm"))).alias("x"))
+    held = open_.join(needed.select(key, F.array_join(F.transform("x", lambda x: x["norm"]), " § ").alias("all")), key)
     against = held.select(key, "paragraph", F.when(F.contains("all", "norm"), F.lit(ISSUES[6])).otherwise(F.lit(ISSUES[5])).alias("issue"), F.lit(None).cast("double").alias("value"))
     return told.unionByName(against)

@@ -7,6 +7,7 @@ reads only the partitions of the terms that are asked for.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -17,9 +18,21 @@ from pyspark.sql import functions as F
 from lectern.functions import text
 from lectern.sources.scratch import written
 
-#: Letters with marks and what they are folded to.
-FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folding() -> tuple[str, str]:
+    """Lower-case Latin letters with marks and their plain letters, from Unicode's decompositions; then all combining marks, which fall away."""
+    letters = {}
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        plain = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if c == c.lower() and plain != c and len(plain) == 1 and plain.isascii() and plain.isalpha():
+            letters[c] = plain.lower()
+    return "".join(letters) + "".join(map(chr, range(0x300, 0x370))), "".join(letters.values())
+
+
+#: What is folded, and to what; what has no partner is left out.
+FOLD_FROM, FOLD_TO = _folding()
+_FOLD = {ord(c): FOLD_TO[n] if n < len(FOLD_TO) else None for n, c in enumerate(FOLD_FROM)}
 K1, B = 1.2, 0.75
 
 
@@ -61,7 +74,7 @@ def lengths(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFram
 def query_terms(query: str, least: int = 2) -> list[str]:
     import re
 
-    return [t for t in re.findall(r"[^\W_]+", query.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO))) if len(t) >= least]
+    return [t for t in re.findall(r"[^\W_]+", query.lower().translate(_FOLD)) if len(t) >= least]
 
 
 def prefix_match(posts: DataFrame, query: str, key: str = "doc_id") -> DataFrame:

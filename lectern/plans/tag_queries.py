@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.operators import tags
 from lectern.plans.registry import query
+from lectern.sources import classify
 
 #: One pair of neighbours at a time, from left to right: {first} and {second} say what the lengths of a pair are.
 FOLD = """{name} AS (SELECT id, string_split({text}, ' ') AS w, 1 AS k, []::VARCHAR[] AS done FROM {source}
@@ -37,3 +39,20 @@ def lbl_08_all_changes(v):
 @query(f"{REPAIRED} SELECT id, f.doc_id, CASE WHEN before = '' THEN before ELSE after END AS tag FROM mended JOIN fx_split_tags f USING (id)", "fx_split_tags")
 def lbl_08_applied(v):
     return tags.renormalised(v.fx_split_tags, _words(v))
+
+
+def _by_word(word: str, kind: str, topic: str):
+    """A classifier that knows one word."""
+
+    def told(f: pd.DataFrame) -> pd.DataFrame:
+        has = f["body_plain"].str.contains(f" {word} ", regex=False)
+        return f.assign(types=[[kind] if x else ["none"] for x in has], topics=[[topic] if x else [] for x in has])
+
+    return told
+
+
+@query("""SELECT id, CASE WHEN contains(body_plain, ' the ') THEN '["policy"]' WHEN contains(body_plain, ' der ') THEN '["k"]' ELSE '["none"]' END AS argument_types, CASE WHEN contains(body_plain, ' the ') THEN 'Policy' WHEN contains(body_plain, ' der ') THEN 'K' ELSE '' END AS type_label,
+  CASE WHEN contains(body_plain, ' the ') THEN 'Econ Growth' WHEN contains(body_plain, ' der ') THEN 'AI Safety' ELSE coalesce(topic_bucket, 'General LD') END AS topic_label FROM fx_cards""", "fx_cards")
+def lbl_06_second_pass(v):
+    told = classify.in_passes(v.fx_cards, [_by_word("the", "Policy", "econ growth"), _by_word("der", "K", "ai safety")])
+    return classify.reclassified(v.cards, told).select("id", "argument_types", "type_label", "topic_label")

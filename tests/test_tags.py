@@ -51,3 +51,40 @@ def test_changes_and_renormalised(spark):
 def test_vocabulary(spark):
     docs = spark.createDataFrame([("Cat cat a CAT élan dog",), ("dog",), (None,)], "text string")
     assert {r["word"] for r in tags.vocabulary(docs, "text", 2).collect()} == {"cat", "dog"}
+
+
+def test_second_pass(spark):
+    """One card is told by the first classifier, one by the second, and one by none."""
+    from lectern.sources import classify
+
+    def first(f):
+        return f.assign(types=[[" K", "odd"] if "one" in t else ["what"] for t in f["tag"]], topics=[["AI War", "x"]] * len(f))
+
+    def second(f):
+        assert not f["tag"].str.contains("one").any()
+        return f.assign(types=[["policy"] if "two" in t else [] for t in f["tag"]], topics=[["nfu"]] * len(f))
+
+    cards = spark.createDataFrame(
+        [(i, t, "b", '["none"]', "[]", "Old", "Old", None) for i, t in (("a", "one"), ("b", "two"), ("c", "three"))] + [("d", "new", "b", "[]", "[]", "Kept", "Kept", None)],
+        "id string, tag string, body_plain string, argument_types string, argument_tags string, type_label string, topic_label string, topic_bucket string",
+    )
+    told = classify.in_passes(cards.filter("id <> 'd'"), [first, second])
+    got = {r["id"]: (r["argument_types"], r["argument_tags"], r["type_label"], r["topic_label"]) for r in classify.reclassified(cards, told).collect()}
+    assert got == {"a": ('["k"]', '["ai war","x"]', "K", "AI War"), "b": ('["policy"]', '["nfu"]', "Policy", "NFU"), "c": ('["none"]', '["ai war","x"]', "", "AI War"), "d": ("[]", "[]", "Kept", "Kept")}
+    assert classify.in_passes(cards.limit(0), [first, second]).count() == 0
+
+
+def test_all_latin_letters_fold(spark):
+    import unicodedata
+
+    from lectern.operators import search
+
+    pairs = []
+    for c in map(chr, range(0xC0, 0x1F00)):
+        plain = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if unicodedata.name(c, "").startswith("LATIN") and len(plain) == 1 and plain.isascii():
+            pairs.append((c, plain.lower()))
+    rows = spark.createDataFrame([(a, unicodedata.normalize("NFD", a), b) for a, b in pairs], "letter string, apart string, plain string")
+    bad = rows.filter((search.fold(F.col("letter")) != F.col("plain")) | (search.fold(F.col("apart")) != F.col("plain"))).collect()
+    assert len(pairs) > 400 and not bad
+    assert search.query_terms("Ga\u0308rten CAFÉ Łódź", 1) == ["garten", "cafe", "łodz"]
