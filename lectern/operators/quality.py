@@ -103,10 +103,11 @@ def cut_issues(cards: DataFrame, density: str = "heavy", key: str = "id") -> Dat
     p = cards.select(key, F.posexplode(_paragraphs(F.col("body_markdown"))).alias("pos", "p")).withColumn("n", n_words(F.col("p"))).filter("n > 0")
     runs, lines = F.regexp_extract_all("p", F.lit(HIGHLIGHTED), F.lit(1)), F.regexp_extract_all("p", F.lit(UNDERLINED), F.lit(1))
     outside = F.array_join(F.filter(F.split("p", UNDERLINED), lambda s: s != ""), " ")
+    digest = lambda c: F.when(c != "", F.unhex(F.md5(c.cast("binary"))))
     # each measure is taken once, and both halves below read it
     measured = written(p.select(
         key, (F.col("pos") + 1).alias("paragraph"), (total(runs) / F.col("n")).alias("lit"), (total(lines) / F.col("n")).alias("low"), F.aggregate(runs, F.lit(0).cast("bigint"), lambda a, s: F.greatest(a, n_words(s))).alias("run"),
-        outside.rlike(HIGHLIGHTED).alias("lit_out"), outside.rlike(BOLD).alias("bold_out"), text.normal_for_match(F.col("p")).alias("norm"),
+        outside.rlike(HIGHLIGHTED).alias("lit_out"), outside.rlike(BOLD).alias("bold_out"), digest(text.normal_for_match(F.col("p"))).alias("norm"),
     ), "measured")
 
     def issue(k: int, bad: Column, value: Column | None = None) -> Column:
@@ -116,12 +117,15 @@ def cut_issues(cards: DataFrame, density: str = "heavy", key: str = "id") -> Dat
     marks = F.array(issue(0, F.col("lit") > lit, F.col("lit")), issue(1, F.col("low") > low, F.col("low")), issue(2, F.col("run") > LONGEST_RUN, F.col("run")), issue(3, F.col("lit_out")), issue(4, F.col("bold_out")))
     told = measured.select(key, "paragraph", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("x")).select(key, "paragraph", "x.issue", "x.value")
 
-    given = cards.select(key, F.posexplode(_paragraphs(F.col("source"))).alias("pos", "p")).select(key, "pos", text.normal_for_match(F.col("p")).alias("norm"))
-    given = written(given, "sources").filter("norm <> ''")
+    given = cards.select(key, F.explode(_paragraphs(F.col("source"))).alias("p")).select(key, digest(text.normal_for_match(F.col("p"))).alias("norm")).distinct()
+    given = written(given, "given").filter("norm is not null")
     sourced = given.select(key).distinct()
-    open_ = measured.select(key, "paragraph", "norm").filter("norm <> ''").join(sourced, key, "left_semi").join(given.select(key, "norm"), [key, "norm"], "left_anti")
-    # the whole source is put together for cards that need it only
-    needed = given.join(open_.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "norm"))).alias("x"))
-    held = open_.join(needed.select(key, F.array_join(F.transform("x", lambda x: x["norm"]), " § ").alias("all")), key)
-    against = held.select(key, "paragraph", F.when(F.contains("all", "norm"), F.lit(ISSUES[6])).otherwise(F.lit(ISSUES[5])).alias("issue"), F.lit(None).cast("double").alias("value"))
+    open_ = measured.select(key, "paragraph", "norm").filter("norm is not null").join(sourced, key, "left_semi").join(given, [key, "norm"], "left_anti")
+    # only cards with such paragraphs are read again, each with the places of them
+    places = open_.groupBy(key).agg(F.collect_list("paragraph").alias("open"))
+    held = cards.select(key, "body_markdown", "source").join(places, key)
+    sources = F.filter(F.transform(_paragraphs(F.col("source")), text.normal_for_match), lambda x: x != "")
+    paras = held.select(key, "open", F.array_join(sources, " § ").alias("all"), _paragraphs(F.col("body_markdown")).alias("paras"))
+    each = paras.select(key, "all", "paras", F.explode("open").alias("paragraph")).select(key, "paragraph", F.contains("all", text.normal_for_match(F.element_at("paras", F.col("paragraph")))).alias("held"))
+    against = each.select(key, "paragraph", F.when(F.col("held"), F.lit(ISSUES[6])).otherwise(F.lit(ISSUES[5])).alias("issue"), F.lit(None).cast("double").alias("value"))
     return told.unionByName(against)
