@@ -128,17 +128,19 @@ def fractional(counts: np.ndarray, rounds: int = 5, step: float = 0.05, pricings
     return used, bound
 
 
-def reweighted(counts: np.ndarray, gap: float, at_once: int = 50) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
-    """How often to use each configuration, within `gap` of the lower bound that comes with it.
+def reweighted(counts: np.ndarray, gap: float, at_once: int = 50, work: float = 4e9) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """How often to use each configuration, within `gap` of the lower bound that comes with it, or as near as `work` allows.
 
     The lengths are weighted by the dual prices of a basis of configurations. After a knapsack, up to `at_once`
-    of the best configurations that are worth more than one sequence enter the basis. It begins with each length alone.
+    of the best configurations that are worth more than one sequence enter the basis. It begins with each length alone. It ends when changes of the
+    basis, times the square of the number of lengths, come to `work`; every basis covers all pieces.
     """
     size, there = len(counts) - 1, np.flatnonzero(counts)
     place, need = {int(k): i for i, k in enumerate(there)}, counts[there]
     held = [Counter({int(k): size // int(k)}) for k in there]
     basis = np.diag(size // there).astype(float)
     price, bound, entered = np.full(size + 1, -1.0), 0.0, 0
+    moved = True
     inverse = np.linalg.inv(basis)
     x = inverse @ need
     while True:
@@ -146,7 +148,7 @@ def reweighted(counts: np.ndarray, gap: float, at_once: int = 50) -> tuple[dict[
         price[there] = dual
         best, take = _knapsack(price)
         bound = max(bound, float(x.sum() / best[-1]))
-        if x.sum() <= bound * (1 + gap):
+        if x.sum() <= bound * (1 + gap) or not moved or entered * len(there) ** 2 >= work:
             return {tuple(sorted(has.items(), reverse=True)): float(n) for has, n in zip(held, x) if n > 0}, bound
         worth = price[there] + best[size - there]
         moved = False
@@ -172,8 +174,6 @@ def reweighted(counts: np.ndarray, gap: float, at_once: int = 50) -> tuple[dict[
             if entered % 500 == 0:  # against rounding errors
                 inverse = np.linalg.inv(basis)
                 x, dual = np.maximum(inverse @ need, 0.0), inverse.sum(axis=0)
-        if not moved:
-            raise RuntimeError("no configuration improves the basis, and the gap is open")
 
 
 def _best_fit(left: dict[int, int], size: int) -> Counter:
@@ -234,7 +234,8 @@ def plan(histogram: dict[int, int], size: int = SIZE, gap: float = 0.001) -> lis
     """Fillings (lengths) and how many sequences take each; together they hold exactly the histogram's pieces.
 
     Where multiplicative weights or plain best fit are not within `gap` of the lower bound, the program is solved to
-    that gap and then rounded, which adds less than one sequence for each length.
+    that gap, or as near as a bound on the work allows, and then rounded, which adds less than one sequence for each
+    length. The smallest of these plans is taken.
     """
     if not histogram:
         return []

@@ -13,13 +13,11 @@ are linked by construction, so a minimum is enough. Both ways are exact.
 `keep_first` keeps one of each group of near copies: texts whose sets of five-word shingles are similar by
 Jaccard to at least 0.8. That is some ten bits of a 64-bit fingerprint, too many for segments that one can
 still look up, so its candidates come from fingerprints of `segments` x 32 bits over word pairs, and the
-similarity itself is then computed for every candidate that isn't in one component already. A bucket with more than
-`crowded` texts compares each with the bucket's least and greatest text, not all pairs; what differs from those
-meets others in its other buckets. What fraction
-of similar pairs the search finds is measured in the tests and stated in the README.
+similarity itself is then computed. What fraction of similar pairs shares a bucket is measured in the tests and
+stated in the README; none of those is lost, whatever the size of its bucket (see `near_copies`).
 
-Components are smallest labels, spread along links and shortened by pointer jumping until none moves, with
-each round written to the shared folder.
+Components of fingerprints are smallest labels, spread along links and shortened by pointer jumping until none moves,
+with each round written to the shared folder; those of texts are alternating stars (`lectern.operators.components`).
 
 Defined results: null and blank texts have the fingerprint zero and are linked like any other;
 rows with a null doc_id get a fingerprint and the component of their fingerprint, but don't name a
@@ -38,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import LOWER, UPPER, join_spread, words, written
+from lectern.operators.components import components
 
 SEED = 42
 BITS = 64
@@ -185,17 +184,13 @@ def texts(docs: DataFrame, segments: int = 10) -> DataFrame:
     return written(one.withColumn("v", F.monotonically_increasing_id()), "texts")
 
 
-def candidates(found: DataFrame, crowded: int = 32) -> DataFrame:
-    """(a, b), a < b: texts (v, fp) of which some segment differs by at most one bit; all pairs, but in crowded buckets."""
+def buckets(found: DataFrame) -> DataFrame:
+    """(key, v, n): the variants of the segments of texts (v, fp) that n > 1 texts share; written."""
     at = found.select("v", F.posexplode("fp").alias("seg", "bits")).select("v", "seg", "bits", F.explode(F.sequence(F.lit(0), F.lit(HALF - 1))).alias("bit"))
     key = _without(F.col("bits"), F.col("bit")) + (F.col("seg") * HALF + F.col("bit")).cast("long") * F.lit(1 << HALF)
-    index = at.select(key.alias("key"), "v").repartition("key")  # dealt once, for the counts and the join
-    met = index.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest")).filter("n > 1")
-    shared = written(index.join(met.hint("merge"), "key"), "buckets")
-    few, many = shared.filter(F.col("n") <= crowded), shared.filter(F.col("n") > crowded)
-    x, y = few.select("key", F.col("v").alias("a")), few.select("key", F.col("v").alias("b"))
-    star = many.select(F.col("least").alias("a"), F.col("v").alias("b")).union(many.select(F.col("v").alias("a"), F.col("greatest").alias("b")))
-    return x.join(y, "key").select("a", "b").union(star).filter("a < b").distinct()
+    index = at.select(key.alias("key"), "v")
+    met = written(index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    return written(join_spread(index, met, ["key"]).select("key", "v", "n"), "buckets")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = 5) -> DataFrame:
@@ -209,46 +204,97 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = 5) -> DataFram
     return written(held.select("v", w.alias("w")).select("v", F.array_distinct(some).alias("s")).groupBy("v").agg(F.first("s").alias("s")), "shingles")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are that similar by Jaccard; sets without a shingle are alike."""
-    both = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("y")), "b")
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float, most: int = 1000) -> DataFrame:
+    """The pairs (a, b; written) whose sets are that similar by Jaccard; sets without a shingle are alike.
+
+    A text of many pairs is sent once for every `most` of them, so its pairs are no one task.
+    """
+    uses = written(pairs.groupBy("a").agg(F.count("*").alias("n")), "uses")
+    share = F.pmod(F.xxhash64("b"), F.floor(F.col("n") / most) + 1)
+    x = sets.join(uses, sets["v"] == uses["a"]).select("a", F.col("s").alias("x"), F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / most))).alias("share"))
+    dealt = join_spread(pairs, uses, ["a"]).select("a", "b", share.cast("long").alias("share"))
+    both = dealt.join(x.withColumn("share", F.col("share").cast("long")), ["a", "share"]).join(sets.select(F.col("v").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     counted = both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y") - shared).alias("all"))
     return counted.filter((F.col("n") == F.col("all")) | (F.col("n") / F.col("all") >= similarity)).select("a", "b")
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, segments: int = 10, crowded: int = 32) -> DataFrame:
+def _met_by_prefix(held: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b, of texts in held (v, label) with different labels: all that share a variant and can be that similar.
+
+    Of two such sets, each one's rarest shingles, as many as the other may lack and one more, have one in common. At one
+    that they share, what comes before and after it in both bounds what else they can share; shingles of no other text can't be.
+    """
+    one = held.join(sets, "v").select("v", "label", F.size("s").alias("size"), F.explode("s").alias("h"))
+    rare = one.join(one.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h", "left")
+    nth = F.row_number().over(Window.partitionBy("v").orderBy(F.coalesce("n", F.lit(1)), "h"))
+    own = F.col("size") - F.count("n").over(Window.partitionBy("v"))
+    first = rare.select("h", "v", "label", "size", "n", nth.alias("nth"), own.alias("own"))
+    first = first.filter((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1) & (F.col("n") > 1))
+    prefix = written(first.select("h", "v", "label", "size", (F.col("nth") - 1 - F.col("own")).alias("before"), (F.col("size") - F.col("nth")).alias("after")), "prefixes")
+    x, y = (prefix.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "label", "size", "before", "after"))) for side in "ab")
+    alike = (F.col("v_a") < F.col("v_b")) & (F.col("label_a") != F.col("label_b"))
+    most = F.least("before_a", "before_b") + 1 + F.least("after_a", "after_b")
+    alike &= most * (1 + similarity) >= (F.col("size_a") + F.col("size_b")) * similarity - 1e-6
+    pairs = x.join(y, (x["h"] == y["h"]) & alike).select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct()
+    fps = found.select("v", "fp")
+    both = pairs.join(fps.toDF("a", "fp_a"), "a").join(fps.toDF("b", "fp_b"), "b")
+    return both.filter(F.exists(F.zip_with("fp_a", "fp_b", _differing), lambda d: d <= 1)).select("a", "b")
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, segments: int = 10, rounds: int = 2) -> DataFrame:
     """t, first_id and label for each distinct text: texts with one label are connected by similar pairs.
 
-    Candidates are compared in rounds: first one for each text, then four, then all that are left; pairs
-    that are in one component by then needn't be.
+    In each round a text stands for every bucket that isn't one component yet, and the bucket's texts of other
+    components are compared with it: first the text with the most company, for each text only the first such one,
+    later one by hash. What is in open buckets then meets by an exact prefix filter. So every similar pair that shares a
+    bucket is linked or in one component already, whatever the sizes of buckets, and groups don't depend on the rounds.
     """
     found = texts(docs, segments)
-    left = written(candidates(found, crowded), "candidates")
-    ends = left.select(F.col("a").alias("v")).union(left.select("b")).distinct()
-    sets = shingle_sets(docs, found.join(ends, "v").select("v", "t", "first_id"), width)
-    linked, labels = None, None
-    for most in (1, 4, None):
-        nth = F.row_number().over(Window.partitionBy("b").orderBy("a"))
-        now = left if most is None else written(left.withColumn("k", nth).filter(F.col("k") <= most).drop("k"), "compared")
-        similar = _similar(now, sets, similarity)
-        linked = written(similar if linked is None else linked.union(similar), "links")
-        labels = smallest_labels(linked)
-        if most is not None:
-            la, lb = labels.select(F.col("v").alias("a"), F.col("label").alias("la")), labels.select(F.col("v").alias("b"), F.col("label").alias("lb"))
-            rest = left.join(now, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
-            left = written(rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "open")
+    shared = buckets(found)
+    company = written(shared.groupBy("v").agg(F.sum("n").alias("d")), "company")
+    sets = shingle_sets(docs, found.join(company, "v").select("v", "t", "first_id"), width)
+    rows = written(shared.join(company, "v").select("key", "v", "d", F.col("v").alias("label")), "ranked")
+    linked = compared = None
+
+    def opened(order: Column) -> DataFrame:
+        agg = (F.min_by(F.struct("v", "d", "label"), order).alias("one"), F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("greatest"))
+        kept = written(rows.groupBy("key").agg(*agg).filter("least < greatest").select("key", "one", "n"), "ones")
+        return written(join_spread(rows, kept, ["key"]), "open")
+
+    def relabelled(labels: DataFrame) -> DataFrame:
+        return written(rows.select("key", "v", "d").join(labels, "v", "left").select("key", "v", "d", F.coalesce("label", "v").alias("label")), "labelled")
+
+    def link(pairs: DataFrame) -> DataFrame:
+        nonlocal linked, compared
+        if compared is not None:
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+        now = written(pairs, "pairs")
+        compared = now if compared is None else compared.union(now)
+        similar = written(_similar(now, sets, similarity), "similar")
+        linked = similar if linked is None else linked.union(similar)
+        return components(linked)
+
+    for k in range(rounds):
+        rows = opened(F.struct(-F.col("d"), "v") if k < 2 else F.struct(F.xxhash64("v", F.lit(k)), "v"))
+        star = rows.filter("label <> one.label")
+        if k == 0:
+            star = star.groupBy("v").agg(F.min_by("one", F.struct(-F.col("one.d"), "one.v")).alias("one"))
+        labels = link(star.select(F.least("v", "one.v").alias("a"), F.greatest("v", "one.v").alias("b")).distinct())
+        rows = relabelled(labels)
+    held = written(opened(F.struct("v")).select("v", "label").distinct(), "held")
+    labels = link(_met_by_prefix(held, sets, found, similarity))
     return found.join(labels, "v", "left").select("t", "first_id", F.coalesce("label", "v").alias("label"))
 
 
-def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, segments: int = 10, crowded: int = 32) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, segments: int = 10, rounds: int = 2) -> DataFrame:
     """One document of each component of near copies: the one with the smallest doc_id (of its texts, the smallest digest).
 
     Defined results: null and blank texts are copies of one another; rows with a null doc_id stay, since nothing
     names them; of rows with one doc_id, each text is judged for itself; of rows with one doc_id and text, one stays
     (the smallest by a hash of all columns); columns of other names are left alone; an empty table gives no rows.
     """
-    named = near_copies(docs, width, similarity, segments, crowded).filter("first_id is not null")
+    named = near_copies(docs, width, similarity, segments, rounds).filter("first_id is not null")
     kept = named.groupBy("label").agg(F.min(F.struct("first_id", "t")).alias("one")).select(F.col("one.first_id").alias("_lectern_id"), F.col("one.t").alias("_lectern_t"))
     own = docs.withColumn("_lectern_text", _text_id(F.col("text")))
     held = own.filter("doc_id is not null").join(kept, (F.col("doc_id").cast("long") == F.col("_lectern_id")) & (F.col("_lectern_text") == F.col("_lectern_t")), "left_semi")

@@ -78,3 +78,20 @@ def test_plan_reaches_the_bound_on_skewed_lengths():
         assert bound <= sum(used.values()) <= bound * 1.001
         done = packing.plan(histogram, size)
         assert sum(t for _, t in done) <= bound * 1.001 + len(histogram)
+
+
+def test_plan_ends_on_many_lengths_with_an_open_gap():
+    """The bound on the work stops the re-weighting; what it has by then covers all pieces."""
+    rng = random.Random(5)
+    histogram = {k: rng.randint(20, 400) for k in range(180, 690)}
+    counts = packing.np.zeros(1025)
+    for k, n in histogram.items():
+        counts[k] = n
+    used, bound = packing.reweighted(counts, 0.0, work=1e7)
+    covered = Counter()
+    for has, times in used.items():
+        assert sum(k * n for k, n in has) <= 1024
+        for k, n in has:
+            covered[k] += n * times
+    assert all(covered[k] >= n - 1e-6 * n for k, n in histogram.items())
+    assert 0 < bound <= sum(used.values())
