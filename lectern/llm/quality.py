@@ -1,15 +1,16 @@
 """Quality rules: counts within a document, and lines that recur across the documents of a host.
 
 Lines are normalised (lower case, digits as 0, single spaces) and hashed. For each host (the column
-`source`), the distinct documents that hold a line are counted; exact copies of a text count as one
-document, since to drop copies is another operator's work. A line is removed from a document if at least `min_docs`
+`source`), the distinct documents that hold a line are counted; a document is its doc_id, where that is null its
+text. With `copies="once"` exact copies of a text count as one document, for corpora whose copies another operator
+drops later. A line is removed from a document if at least `min_docs`
 documents of its host hold it, and at least `min_share` of them or `most_docs`, whichever is less; a document that
 keeps less than `min_left` of its words, or fewer than `min_words`, is depleted and rejected. `clean` gives the texts
 without those lines, `judge` the counts and verdicts. Only built-in functions are used.
 
 Lines are written once and used for counting and removing. Counts are made with partial sums before each shuffle,
-first by host, line and text, so a host or line that a third of all documents share is dealt by text; only lines at
-or above the limit are joined back, by a join that adaptive execution can split.
+first by host, line and document, so a host or line that a third of all documents share is dealt by document; only
+lines at or above the limit are joined back, the few that hold more than a thousandth of these lines by a broadcast.
 
 Defined results: a null text has no words, so it fails the base rules; a null host is a host of its own;
 rows with one doc_id are judged each by its own text; repeated rows come out as often as they go in;
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WS, WS_RE, let, words, written
+from lectern.llm.common import WS, WS_RE, join_spread, let, words, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -73,28 +74,35 @@ def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> D
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, host, th, pos, line (hash) and words of each line that holds a word."""
+    """doc_id, host, th, pos, line (hash of host and line) and words of each line that holds a word."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
     rows = rows.withColumn("raw", F.btrim("raw", F.lit(WS))).filter("raw <> ''")
     plain = F.regexp_replace(F.regexp_replace(F.lower("raw"), WS_RE, " "), "[0-9]", "0")
-    return rows.select("doc_id", "host", "th", "pos", F.xxhash64(plain).alias("line"), F.size(F.split("raw", WS_RE)).cast("bigint").alias("words"))
+    return rows.select("doc_id", "host", "th", "pos", F.xxhash64("host", plain).alias("line"), F.size(F.split("raw", WS_RE)).cast("bigint").alias("words"))
 
 
-def frequent_lines(docs: DataFrame, lines: DataFrame, min_docs: int = 10, min_share: float = 0.002, most_docs: int = 100) -> DataFrame:
-    """(host, line) of the lines to remove; lines: of `docs`."""
-    held = lines.select("host", "line", "th").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+def _document(copies: str) -> list[Column]:
+    """What makes two rows (doc_id, th) one document."""
+    if copies not in ("each", "once"):
+        raise ValueError(f"copies are counted each or once, not {copies!r}")
+    return [F.col("th")] if copies == "once" else [F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("th")).alias("th")]
+
+
+def frequent_lines(docs: DataFrame, lines: DataFrame, min_docs: int = 10, min_share: float = 0.002, most_docs: int = 100, copies: str = "each") -> DataFrame:
+    """(host, line, n_docs) of the lines to remove; lines: of `docs`; copies: whether copies of a text count each or once."""
+    held = lines.select("host", "line", *_document(copies)).distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hosts = docs.select(F.col("source").alias("host"), F.xxhash64(text).alias("th")).distinct().groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("host_docs"))
+    hosts = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64(text).alias("th")).select("host", *_document(copies)).distinct().groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("host_docs"))
     limit = F.least(F.lit(min_share) * F.col("host_docs"), F.lit(float(most_docs)))
-    return held.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("n_docs") >= limit).select("host", "line")
+    return held.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("n_docs") >= limit).select("host", "line", "n_docs")
 
 
 def _decided(docs: DataFrame, whole: bool, min_left: float = 0.5, min_words: int = 10, **limits) -> DataFrame:
     """The measures of each row with n_removed_words, places (of the lines to remove, from 0) and kept; whole: also row, a struct of all columns."""
     lines = written(_lines(docs), "lines")
-    often = frequent_lines(docs, lines, **limits).select(F.col("host").alias("_host"), F.col("line").alias("_line"))
-    hit = lines.join(often, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")))
+    often = written(frequent_lines(docs, lines, **limits).select("line", "n_docs"), "frequent")
+    hit = join_spread(lines, often, ["line"], "n_docs")
     # rows with the same doc_id, host and text have the same lines, which count once
     removed = hit.select("doc_id", "host", "th", "pos", "words").distinct().groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("th").alias("_th"))
     removed = removed.agg(F.sum("words").alias("n_removed"), F.collect_list("pos").alias("places"))  # no more places than the text has lines
@@ -120,9 +128,10 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     return kept.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
-def judge_sql(min_docs: int = 10, min_share: float = 0.002, most_docs: int = 100, min_left: float = 0.5, min_words: int = 10) -> str:
+def judge_sql(min_docs: int = 10, min_share: float = 0.002, most_docs: int = 100, min_left: float = 0.5, min_words: int = 10, copies: str = "each") -> str:
     """DuckDB SQL for the result of `judge` over the table documents, whose doc_ids are distinct."""
     ws = "[\\x20\\x09-\\x0D]+"
+    line_document, document = ("th", "md5(t)") if copies == "once" else ("doc_id", "doc_id")
     return f"""
     WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{ws}'), lambda x: x <> '') AS w FROM documents),
     gram AS (SELECT doc_id, i, list_slice(w, i, i + 4)::VARCHAR AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
@@ -131,8 +140,8 @@ def judge_sql(min_docs: int = 10, min_share: float = 0.002, most_docs: int = 100
     line AS (SELECT doc_id, source, md5(t) AS th, raw, len(list_filter(regexp_split_to_array(raw, '{ws}'), lambda x: x <> '')) AS n FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS raw FROM d)),
     word_line AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(raw, '^{ws}', ''), '{ws}$', '')), '{ws}', ' ', 'g'), '[0-9]', '0', 'g') AS plain FROM line WHERE n > 0),
     dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM word_line GROUP BY doc_id),
-    often AS (SELECT l.source, l.plain FROM (SELECT source, plain, count(DISTINCT th) AS n FROM word_line GROUP BY source, plain) l
-              JOIN (SELECT source, count(DISTINCT md5(t)) AS n FROM d GROUP BY source) h ON l.source IS NOT DISTINCT FROM h.source WHERE l.n >= {min_docs} AND l.n >= least({min_share} * h.n, {most_docs})),
+    often AS (SELECT l.source, l.plain FROM (SELECT source, plain, count(DISTINCT {line_document}) AS n FROM word_line GROUP BY source, plain) l
+              JOIN (SELECT source, count(DISTINCT {document}) AS n FROM d GROUP BY source) h ON l.source IS NOT DISTINCT FROM h.source WHERE l.n >= {min_docs} AND l.n >= least({min_share} * h.n, {most_docs})),
     gone AS (SELECT doc_id, sum(n) AS n FROM word_line l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.plain = o.plain GROUP BY doc_id),
     m AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '{ws}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
             coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words

@@ -1,5 +1,7 @@
 from collections import Counter, defaultdict
 
+import pytest
+
 from lectern.llm import quality
 from tests.llm.conftest import COLUMNS, odd_rows, prose
 
@@ -60,3 +62,15 @@ def test_odd_input(odd, none):
     for r in rows:
         by[r["doc_id"]].add(tuple(r))
     assert len(by[2]) == 1 and len(by[7]) == 2
+
+
+def test_copies_count_each_or_once(spark):
+    copies = [(n, prose(40, 7), "en", "a", 1) for n in range(12)]
+    rows = [*copies, (None, prose(40, 7), "en", "a", 1), *((100 + n, prose(40, 100 + n), "en", None if n % 2 else "a", 1) for n in range(20))]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    kept = lambda **limits: Counter(r["doc_id"] for r in quality.judge(docs, **limits).filter("kept").collect())
+    assert kept() == Counter(r[0] for r in rows if (r[0] or 0) >= 100)
+    assert kept(copies="once") == Counter(r[0] for r in rows)
+    assert kept(min_docs=14) == Counter(r[0] for r in rows)  # 13 documents, the one without an id among them
+    with pytest.raises(ValueError):
+        quality.judge(docs, copies="twice")
