@@ -11,8 +11,8 @@ the fractional value is. Rounding takes whole multiples of the configurations as
 the fractions leave (a number bounded by the number of configurations) goes by best fit, largest first.
 
 The plan is a table of slots: for each length, which ranks go into which configuration. Pieces get their
-rank among those of their length from counts by length and salt (at most `size` x SALTS numbers, whatever the
-corpus), so no task sees all pieces of a length. They find their slots by binary search in the plan, which goes to
+rank among those of their length from counts by length and salt; there are at least SALTS salts, and one for each PART
+pieces of the corpus, so no task sees more than some PART pieces of a length. They find their slots by binary search in the plan, which goes to
 the tasks whole: it has at most rounds x pricings x `size` configurations of fewer than 91 different lengths each,
 and what best fit adds for the rest.
 
@@ -38,8 +38,8 @@ from lectern.llm.tokens import public_tokenizer, word_ids
 
 SIZE = 4096
 END_ID = 1
-#: Into how many parts the pieces of one length are dealt.
-SALTS = 256
+#: Into how many parts the pieces of one length are dealt at least, and how many pieces of all there are to a part beyond that.
+SALTS, PART = 256, 100_000
 
 
 def cut(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
@@ -131,35 +131,38 @@ def fractional(counts: np.ndarray, rounds: int = 5, step: float = 0.05, pricings
 def reweighted(counts: np.ndarray, gap: float, at_once: int = 50, work: float = 4e9) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
     """How often to use each configuration, within `gap` of the lower bound that comes with it, or as near as `work` allows.
 
-    The lengths are weighted by the dual prices of a basis of configurations. After a knapsack, up to `at_once`
-    of the best configurations that are worth more than one sequence enter the basis. It begins with each length alone. It ends when changes of the
-    basis, times the square of the number of lengths, come to `work`; every basis covers all pieces.
+    The lengths are weighted by the dual prices of a basis of configurations. After a knapsack, up to `at_once` of the
+    best configurations that are worth more than one sequence enter the basis. It begins with each length alone. It ends
+    when changes of the basis, times the square of the number of lengths, come to `work`; every basis covers all pieces.
+    Sums are numpy's own loops: a configuration holds few lengths, and a linear algebra library's threads were seen to hang here.
     """
     size, there = len(counts) - 1, np.flatnonzero(counts)
     place, need = {int(k): i for i, k in enumerate(there)}, counts[there]
     held = [Counter({int(k): size // int(k)}) for k in there]
-    basis = np.diag(size // there).astype(float)
     price, bound, entered = np.full(size + 1, -1.0), 0.0, 0
     moved = True
-    inverse = np.linalg.inv(basis)
-    x = inverse @ need
+    inverse = np.diag(1.0 / (size // there))
+    x = need / (size // there)
+
+    def times_inverse(has: Counter) -> np.ndarray:
+        at = [place[k] for k in has]
+        return (inverse[:, at] * np.fromiter(has.values(), float, len(has))).sum(axis=1)
+
     while True:
         dual = inverse.sum(axis=0)
         price[there] = dual
         best, take = _knapsack(price)
-        bound = max(bound, float(x.sum() / best[-1]))
+        bound = max(bound, min(float(x.sum()), float((dual * need).sum())) / float(best[-1]))
         if x.sum() <= bound * (1 + gap) or not moved or entered * len(there) ** 2 >= work:
             return {tuple(sorted(has.items(), reverse=True)): float(n) for has, n in zip(held, x) if n > 0}, bound
         worth = price[there] + best[size - there]
         moved = False
         for i in np.argsort(-worth, kind="stable")[:at_once].tolist():
             has = _with(int(there[i]), best, take)
-            column = np.zeros(len(there))
-            for k, n in has.items():
-                column[place[k]] = n
-            if dual @ column <= 1 + 1e-9:
+            value = sum(float(dual[place[k]]) * n for k, n in has.items())
+            if value <= 1 + 1e-9:
                 continue
-            d = inverse @ column
+            d = times_inverse(has)
             ratio = np.full(len(x), np.inf)
             np.divide(x, d, out=ratio, where=d > 1e-9)
             r = int(ratio.argmin())
@@ -168,12 +171,13 @@ def reweighted(counts: np.ndarray, gap: float, at_once: int = 50, work: float =
             x[r] = times
             inverse -= np.outer(d, row)
             inverse[r] = row
-            dual = dual + (1 - dual @ column) * row
-            held[r], basis[:, r] = has, column
+            dual = dual + (1 - value) * row
+            held[r] = has
             entered, moved = entered + 1, True
-            if entered % 500 == 0:  # against rounding errors
-                inverse = np.linalg.inv(basis)
-                x, dual = np.maximum(inverse @ need, 0.0), inverse.sum(axis=0)
+            if entered % 500 == 0:  # a Newton step against rounding errors
+                wrong = np.eye(len(there)) - np.stack([times_inverse(h) for h in held], axis=1)
+                inverse = inverse + np.einsum("ij,jk->ik", wrong, inverse)
+                x, dual = np.maximum((inverse * need).sum(axis=1), 0.0), inverse.sum(axis=0)
 
 
 def _best_fit(left: dict[int, int], size: int) -> Counter:
@@ -265,7 +269,8 @@ def _slots(fillings: list[tuple[tuple[int, ...], int]], shift: int = 40) -> tupl
 
 def place(pieces: DataFrame, size: int = SIZE, shift: int = 40) -> DataFrame:
     """The pieces (from `cut`, written) with sequence_id and offset."""
-    dealt = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, pieces.count() // PART)
+    dealt = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)).cast("int"))
     counts = written(dealt.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     slots = _slots(plan(histogram, size), shift) or (np.zeros(0, np.int64),) * 5

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import written
@@ -137,6 +137,18 @@ def read_blocks(spark: SparkSession, path: str, width: int = 2, block: int = BLO
     return found.select("file", F.col("block").cast("long").alias("block"), F.substring(data, F.lit(1), F.octet_length(data) - F.col("past")).alias("data"))
 
 
+def _numbered(blocks: DataFrame, n: Column) -> DataFrame:
+    """blocks (file, block, ...; written) with first: the sum of n over the blocks before it in its file.
+
+    The sums run over (file, block, n) alone: a block is 2**18 ids, so a file of a billion ids is some 4000 such rows.
+    """
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    narrow = blocks.select("file", "block", n.cast("long").alias("_n"))
+    first = narrow.select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("first"))
+    same = F.col("file").eqNullSafe(F.col("_file")) & F.col("block").eqNullSafe(F.col("_block"))
+    return blocks.join(first, same).drop("_file", "_block")
+
+
 def scan(blocks: DataFrame, end_id: int = END, width: int = 2) -> DataFrame:
     """(file, doc, n_tokens, closed) for each document of flat files; doc counts from 0 in a file.
 
@@ -157,10 +169,7 @@ def scan(blocks: DataFrame, end_id: int = END, width: int = 2) -> DataFrame:
 
     file, order = blocks.schema["file"].dataType.simpleString(), blocks.schema["block"].dataType.simpleString()
     found = blocks.select("file", "block", "data").mapInArrow(run, f"file {file}, block {order}, n_ends long, lengths array<int>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # a row of a window's partition is a block of 2**18 ids, so a file of a billion ids is some 4000 rows
-    numbered = found.withColumn("first", F.coalesce(F.sum("n_ends").over(before), F.lit(0)))
-    parts = numbered.select("file", "n_ends", "first", F.posexplode("lengths").alias("k", "n"))
+    parts = _numbered(written(found, "ends"), F.col("n_ends")).select("file", "n_ends", "first", F.posexplode("lengths").alias("k", "n"))
     parts = parts.select("file", (F.col("first") + F.col("k")).alias("doc"), F.col("n").cast("long").alias("n"), (F.col("k") < F.col("n_ends")).alias("closed"))
     return parts.groupBy("file", "doc").agg(F.sum("n").alias("n_tokens"), F.max("closed").alias("closed")).filter("closed or n_tokens > 0")
 
@@ -169,7 +178,6 @@ def token_counts(docs: DataFrame, end_id: int = END, tokenizer: str | None = Non
     """doc_id, n_tokens: the documents are written to flat files and counted by the scan."""
     width = width_of(tokenizer or public_tokenizer())
     flat = written(write_flat(docs, end_id, block=block, tokenizer=tokenizer, width=width), "flat")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    names = flat.select("file", "block", "ids").withColumn("first", F.coalesce(F.sum(F.size("ids")).over(before), F.lit(0)))
+    names = _numbered(flat.select("file", "block", "ids"), F.size("ids"))
     names = names.select("file", "first", F.posexplode("ids").alias("k", "doc_id")).select("file", (F.col("first") + F.col("k")).alias("doc"), "doc_id")
     return names.join(scan(flat, end_id, width), ["file", "doc"]).select("doc_id", "n_tokens")

@@ -35,6 +35,12 @@ from pyspark.sql import types as T
 from lectern.llm.common import hashed_sample, written
 
 WORD = re.compile(r"\w+")
+
+
+def lowered(text: str | None) -> str:
+    """text in lower case, as long as it was: the one letter whose lower case is two code points becomes one."""
+    return (text or "").replace("\u0130", "i").lower()
+
 STEMS = (4, 5, 6)
 FOLDS = 5
 
@@ -107,7 +113,7 @@ class Scorer:
 
     def evidence(self, text: str | None) -> tuple[int, float, list[tuple[int, int, float]]]:
         """Words, surprise of the best segment (0: none), and the significant passages (start, stop in characters, surprise)."""
-        low = (text or "").lower()
+        low = lowered(text)
         words = WORD.findall(low)
         if len(self.known) > self.most:
             self.known = {}
@@ -146,7 +152,7 @@ def _in_tasks(tune: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             out = []
             for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
-                words = WORD.findall(text.lower())
+                words = WORD.findall(lowered(text))
                 scores = once_in_a_row(words, [model.word(w) for w in words])
                 top = max((s for _, _, s in segments(scores, model.gap)), default=0.0)
                 _, best, kept = scorer.evidence(text)
@@ -164,7 +170,7 @@ def _counts(train: DataFrame) -> DataFrame:
         for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             met: Counter = Counter()
             for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
-                met.update((u, toxic) for u in {u for w in set(WORD.findall((text or "").lower())) for u in units(w)})
+                met.update((u, toxic) for u in {u for w in set(WORD.findall(lowered(text))) for u in units(w)})
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in met], pa.string()), pa.array([t for _, t in met], pa.int32()), pa.array(list(met.values()), pa.int64())], ["unit", "toxic", "n"])
 
     return train.mapInArrow(run, "unit string, toxic int, n long").groupBy("unit").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("yes"), F.sum(F.expr("if(toxic = 1, 0, n)")).alias("no"))

@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 from lectern.llm import packing
 from lectern.llm.tokens import WordIds, public_tokenizer
-from tests.llm.conftest import odd_rows
+from tests.llm.conftest import COLUMNS, odd_rows
 
 ODD_TEXTS = ["", " ", "a@b.c It's l'été İstanbul ÉCOLE, x\u0301 e\u0301t  ", "12 3.4\t\r\n\x0b end<|endoftext|> ok", "日本語。 ÀÈ!? don't we've 'll ...", "x" * 300, "ß ẞ ſ Œuvre,,, a.b", "\u00a0\u2003wide\u3000space"]
 
@@ -95,3 +95,16 @@ def test_plan_ends_on_many_lengths_with_an_open_gap():
             covered[k] += n * times
     assert all(covered[k] >= n - 1e-6 * n for k, n in histogram.items())
     assert 0 < bound <= sum(used.values())
+
+
+def test_the_number_of_salts_changes_no_length(spark, monkeypatch):
+    docs = spark.createDataFrame([(n, "word " * (n % 7), None, None, None) for n in range(900)], COLUMNS)
+    monkeypatch.setattr(packing, "SALTS", 1)
+    totals = []
+    for part in (100_000, 10, 1):
+        monkeypatch.setattr(packing, "PART", part)
+        rows = packing.pack(docs, size=16).collect()
+        slots = {(r["sequence_id"], at) for r in rows for at in range(r["offset"], r["offset"] + r["length"])}
+        assert len(slots) == sum(r["length"] for r in rows) and all(at < 16 for _, at in slots)
+        totals.append((len(rows), len({s for s, _ in slots})))
+    assert len(set(totals)) == 1

@@ -92,3 +92,9 @@ def test_odd_input(spark, odd, none):
     empty = toxicity.train(none, lab.limit(0))
     assert {round(r["toxicity"], 6) for r in toxicity.score(odd, empty).collect()} == {0.1}
     assert toxicity.score(none, empty).count() == 0
+
+
+def test_places_are_those_of_the_text_as_it_is():
+    text = "".join(map(chr, range(0x250))) + "İstanbul ẞ ΣΑΣ"
+    assert len(toxicity.lowered(text)) == len(text) and toxicity.lowered("İA") == "ia" and toxicity.lowered(None) == ""
+    assert all(len(toxicity.lowered(chr(c))) == 1 for c in range(0x110000))
