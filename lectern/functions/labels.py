@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import js, lookup, squeeze, text, title_case, title_case_topic
+from lectern.functions.text import capital, js, lookup, squeeze, text, title_case, title_case_topic
 
 #: Fixed values.
 TYPE_LABELS = {"policy": "Policy", "k": "K", "phil": "Phil", "theory": "Theory", "tricks": "Tricks", "none": ""}
@@ -142,7 +142,7 @@ def finished_tag(tag: Column, trimmed: Column) -> Column:
     out = trimmed
     for pattern, to in TIDY[-LAST:]:
         out = F.regexp_replace(out, pattern, to)
-    out = F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, F.lit(2), F.length(out)))
+    out = capital(out)
     return F.when(text(tag) == "", tag).when(out == "", tag).otherwise(out)
 
 

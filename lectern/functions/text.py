@@ -128,6 +128,18 @@ def slug(c: Column) -> Column:
 TOPIC_ACRONYMS = ("ai", "cp", "da", "nfu", "rvi", "pic", "pics", "us", "uk", "eu", "un", "nato", "ndt", "ceda", "ld", "icj", "icc", "wto", "imf")
 
 
+#: Letters whose capital has more than one code point, and the one code point that is their simple capital, if there is one.
+_LONG = [chr(x) for x in range(0x80, 0x20000) if not 0xD800 <= x < 0xE000 and len(chr(x).upper()) > 1]
+_SIMPLE = {x: x.title() if len(x.title()) == 1 else x for x in _LONG} | {"ß": "ẞ"}
+
+
+def capital(c: Column) -> Column:
+    """c with its first code point as its simple capital: one code point, "ẞ" for "ß"."""
+    first = F.substring(c, 1, 1)
+    one = F.when(first.isin(*_LONG), F.translate(first, "".join(_SIMPLE), "".join(_SIMPLE.values()))).otherwise(F.upper(first))
+    return F.concat(one, F.substring(c, F.lit(2), F.length(c)))
+
+
 def title_case(c: Column) -> Column:
     """Lower case with a capital at each beginning of a run of word characters."""
     runs = F.regexp_extract_all(F.lower(text(c)), F.lit("\\w+|\\W+"), F.lit(0))

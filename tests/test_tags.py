@@ -88,3 +88,8 @@ def test_all_latin_letters_fold(spark):
     bad = rows.filter((search.fold(F.col("letter")) != F.col("plain")) | (search.fold(F.col("apart")) != F.col("plain"))).collect()
     assert len(pairs) > 400 and not bad
     assert search.query_terms("Ga\u0308rten CAFÉ Łódź", 1) == ["garten", "cafe", "łodz"]
+
+
+def test_capitals_are_one_code_point(spark):
+    rows = spark.createDataFrame([("ßheit gut",), ("ŉa",), ("éa",), ("ﬁn",), ("",), ("a",)], "t string")
+    assert [r[0] for r in rows.select(labels.normal_tag(F.col("t"))).collect()] == ["ẞheit gut", "ŉa", "Éa", "ﬁn", "", "A"]
