@@ -56,6 +56,8 @@ def sea_08_own_documents(v):
 #: Bodies with all kinds of marks, and their sources.
 FX_CUTS = """fx_cuts AS (SELECT doc_id, replace(CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN body_markdown WHEN 2 THEN concat('<u>a ==', substr(text, 1, 60), '== **b** ', substr(text, 61, 200), '</u>', substr(text, 261)) ELSE concat('**', substr(text, 1, 5), '**', substr(text, 6, length(text) - 30)) END, chr(10), concat(chr(10), ' ', chr(10))) AS body_markdown,
   CASE WHEN doc_id % 9 = 4 THEN '' ELSE replace(text, chr(10), concat(chr(10), chr(10))) END AS source FROM (SELECT c.*, c.body_plain AS text FROM fx_cards c) x)"""
+#: A negative length takes what is before the place in DuckDB, and nothing in Spark.
+FX_CUTS_SPARK = FX_CUTS.replace("substr(text, 6, length(text) - 30)", "CASE WHEN length(text) >= 30 THEN substr(text, 6, length(text) - 30) ELSE substr(substr(text, 1, 5), greatest(length(text) - 24, 1)) END")
 _NORM = r"""trim(regexp_replace(lower(regexp_replace(regexp_replace(translate({0}, '‘’“”–—', chr(39) || chr(39) || '""--'), '(?i)==|\*\*|</?u>', '', 'g'), '¶', ' ', 'g')), '\s+', ' ', 'g'))"""
 _COUNT = r"len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace({0}, '==|\*\*', '', 'g'), '(?i)</?u>', '', 'g'), '\s+'), lambda w: w <> ''))"
 CUTS_SQL = rf"""WITH {FX_CUTS}, b AS (SELECT doc_id, source, list_filter(list_transform(regexp_split_to_array(body_markdown, '\n\s*\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND x <> '[FIGURE OMITTED]') AS ps,
@@ -71,5 +73,5 @@ UNION ALL SELECT doc_id, paragraph, CASE WHEN contains(array_to_string(ss, ' §
 @query(CUTS_SQL, "fx_cards")
 def qlt_02_cut_issues(v):
     v.fx_cards
-    cuts = v._spark.sql(f"WITH {FX_CUTS} SELECT * FROM fx_cuts")
+    cuts = v._spark.sql(f"WITH {FX_CUTS_SPARK} SELECT * FROM fx_cuts")
     return quality.cut_issues(cuts, "standard", "doc_id")
