@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions import labels
+from lectern.functions import labels, text
 
 #: A stray letter before a word: what stands before it, the letter, the word. The same after a word: the word, the letter.
 _NEAR = "A-Za-z’'"
@@ -74,23 +74,27 @@ def repaired(rows: DataFrame, words: DataFrame, column: str, key: str) -> DataFr
     return twice.select(F.col("_key._key").alias(key), F.col("_key._from").alias("before"), F.col("_text").alias("after"))
 
 
-def normalised(cards: DataFrame, words: DataFrame | None = None, column: str = "tag", key: str = "id", to: str = "normal_tag") -> DataFrame:
-    """cards with the normal form of a column. words (word, lower case): what split words may be; none: they stay split."""
+def normalised(cards: DataFrame, words: DataFrame | None = None, column: str = "tag", key: str = "id", to: str = "normal_tag", tidy: bool = True) -> DataFrame:
+    """cards with the normal form of a column. words (word, lower case): what split words may be; none: they stay split.
+
+    tidy: without it only split words are mended, with a capital; remarks, numbering and spaces at the ends stay.
+    """
     if words is None:
         return cards.withColumn(to, labels.normal_tag(F.col(column)))
-    held = cards.withColumn("_trimmed", labels.trimmed_tag(F.col(column)))
+    held = cards.withColumn("_trimmed", labels.trimmed_tag(F.col(column)) if tidy else F.coalesce(column, F.lit("")))
     mended = repaired(held, words, "_trimmed", key).select(F.col(key).alias("_key"), F.col("before").alias("_before"), F.col("after").alias("_after"))
     j = held.join(mended, held[key].eqNullSafe(F.col("_key")) & (F.col("_trimmed") == F.col("_before")), "left")
-    return j.withColumn(to, labels.finished_tag(F.col(column), F.coalesce("_after", "_trimmed"))).drop("_trimmed", "_key", "_before", "_after")
+    mended = F.coalesce("_after", "_trimmed")
+    return j.withColumn(to, labels.finished_tag(F.col(column), mended) if tidy else F.when(F.col(column).isNotNull(), text.capital(mended))).drop("_trimmed", "_key", "_before", "_after")
 
 
-def changes(cards: DataFrame, words: DataFrame | None = None, column: str = "tag", key: str = "id") -> DataFrame:
+def changes(cards: DataFrame, words: DataFrame | None = None, column: str = "tag", key: str = "id", tidy: bool = True) -> DataFrame:
     """(key, before, after) for every card whose normal form is another; empty and null tags aren't looked at."""
-    done = normalised(cards.select(key, column).filter(F.col(column) != ""), words, column, key, "after")
+    done = normalised(cards.select(key, column).filter(F.col(column) != ""), words, column, key, "after", tidy)
     return done.select(key, F.col(column).alias("before"), "after").filter("before <> after")
 
 
-def renormalised(cards: DataFrame, words: DataFrame | None = None, column: str = "tag", key: str = "id") -> DataFrame:
+def renormalised(cards: DataFrame, words: DataFrame | None = None, column: str = "tag", key: str = "id", tidy: bool = True) -> DataFrame:
     """cards with all changes made; key names one card."""
-    new = changes(cards, words, column, key).select(key, F.col("after").alias("_after"))
+    new = changes(cards, words, column, key, tidy).select(key, F.col("after").alias("_after"))
     return cards.join(new, key, "left").withColumn(column, F.coalesce("_after", column)).select(*cards.columns)

@@ -93,3 +93,12 @@ def test_all_latin_letters_fold(spark):
 def test_capitals_are_one_code_point(spark):
     rows = spark.createDataFrame([("ßheit gut",), ("ŉa",), ("éa",), ("ﬁn",), ("",), ("a",)], "t string")
     assert [r[0] for r in rows.select(labels.normal_tag(F.col("t"))).collect()] == ["ẞheit gut", "ŉa", "Éa", "ﬁn", "", "A"]
+
+
+def test_mending_alone_leaves_the_ends(spark):
+    rows = spark.createDataFrame([("1", "a "), ("2", "d omain x"), ("3", ""), ("4", None)], "id string, tag string")
+    words = spark.createDataFrame([("domain",)], "word string")
+    assert dict(map(tuple, tags.normalised(rows, words, tidy=False).select("id", "normal_tag").collect())) == {"1": "A ", "2": "Domain x", "3": "", "4": None}
+    assert dict(map(tuple, tags.normalised(rows, words).select("id", "normal_tag").collect()))["1"] == "A"
+    assert {r["id"]: r["after"] for r in tags.changes(rows, words, tidy=False).collect()} == {"1": "A ", "2": "Domain x"}
+    assert dict(map(tuple, tags.renormalised(rows, words, tidy=False).collect())) == {"1": "A ", "2": "Domain x", "3": "", "4": None}
