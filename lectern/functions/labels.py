@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import capital, js, lookup, squeeze, text, title_case, title_case_topic
+from lectern.functions.text import capital, js, let, lookup, squeeze, text, title_case, title_case_topic
 
 #: Fixed values.
 TYPE_LABELS = {"policy": "Policy", "k": "K", "phil": "Phil", "theory": "Theory", "tricks": "Tricks", "none": ""}
@@ -76,14 +78,24 @@ def topic_bucket(c: Column) -> Column:
     return out
 
 
+def boundaries_last(pattern: str) -> str:
+    """js(pattern), with the boundary before a run of small letters asked for after the run, where few places get to.
+
+    The same places match: a run that begins with a letter has a boundary before it if no word character stands there.
+    """
+    w = "[A-Za-z0-9_]"
+    out = re.sub(r"\\b([a-z](?:[a-z ]*[a-z])?)(?![?*+{])", lambda m: f"{m[1]}(?<!{w}{m[1]})", pattern)
+    out = re.sub(r"(?<!\\)(?:(?<=[a-z][a-z])|(?<=[a-z][a-z]\?))\\b", f"(?!{w})", out)
+    return js(out)
+
+
 def matching(rules, c: Column) -> Column:
     """Labels of the rules (label, pattern) that the text fits, in the rules' order."""
-    return F.filter(F.array(*(F.when(c.rlike(js(p)), F.lit(label)) for label, p in rules)), lambda x: x.isNotNull())
+    return let(c, lambda s: F.filter(F.array(*(F.when(s.rlike(boundaries_last(p)), F.lit(label)) for label, p in rules)), lambda x: x.isNotNull()))
 
 
 def argument_types(c: Column, rules=TYPE_RULES) -> Column:
-    found = matching(rules, F.lower(text(c)))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("none")))
+    return let(matching(rules, F.lower(text(c))), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("none"))))
 
 
 def card_type(label: Column) -> Column:

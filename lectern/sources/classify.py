@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import labels
+from lectern.functions.text import let
 from lectern.sources.scratch import written
 
 TYPES = ("policy", "k", "phil", "theory", "tricks", "none")
@@ -51,7 +52,7 @@ def apply_classifier(cards: DataFrame, classified: DataFrame | None = None) -> D
     if classified is None:
         source = labels.classify_text(F.col("tag"), F.col("body_plain"))
         types = F.transform(labels.argument_types(source), lambda t: F.coalesce(labels.lookup(RULE_TYPES, t), F.lit("none")))
-        return cards.withColumns({"argument_types": valid_types(types), "argument_tags": F.array().cast("array<string>")})
+        return cards.withColumns({"argument_types": let(types, valid_types), "argument_tags": F.array().cast("array<string>")})
     c = classified.select("id", valid_types(F.col("types")).alias("argument_types"), valid_topics(F.col("topics")).alias("argument_tags"))
     return cards.drop("argument_types", "argument_tags").join(c, "id", "left")
 
