@@ -281,13 +281,13 @@ class Views:
             (self.kept(x, made) if x in HEAVY else made()).createOrReplaceTempView(x)
         return self._spark.table(name)
 
-    def kept(self, name: str, make: Callable[[], DataFrame], by: str | None = None, **options: str) -> DataFrame:
-        """What make gives, written to the shared folder at its first use (in partitions of `by`, with options of the writer)."""
+    def kept(self, name: str, make: Callable[[], DataFrame], by: str | None = None, form: str = "parquet", **options: str) -> DataFrame:
+        """What make gives, written to the shared folder at its first use (in partitions of `by`, in a form and with options of the writer)."""
         key = (self._spark.sparkContext.applicationId, self._dir, name)
         if key not in _KEPT:
             df, path = make(), fresh(self._spark, name)
-            to = df.write.options(**options)
-            (to.partitionBy(by) if by else to).parquet(path)
+            to = df.write.format(form).options(**options)
+            (to.partitionBy(by) if by else to).save(path)
             _KEPT[key] = path, df.schema
         path, schema = _KEPT[key]
-        return self._spark.read.schema(schema).parquet(path)
+        return self._spark.read.format(form).schema(schema).load(path)

@@ -11,8 +11,8 @@ ALL = ("fx_tournaments", "fx_entries", "fx_ballots", "fx_results")
 
 
 def _docs(v):
-    """The flat tables are nested once, in small row groups, since one is read at a time; each query parses the documents."""
-    return J.parse(v.kept("nested", lambda: J.nested(v.fx_tournaments, v.fx_ballots, v.fx_entries, v.fx_results), **{"parquet.block.size": str(8 << 20)}))
+    """The flat tables are nested once, as a document a line, since a reader then holds one document; each query parses them."""
+    return J.parse(v.kept("nested", lambda: J.nested(v.fx_tournaments, v.fx_ballots, v.fx_entries, v.fx_results).select("raw"), form="text", compression="gzip"))
 
 
 @query("SELECT tourn_id::BIGINT AS tourn_id, event_abbr, round_id::BIGINT AS round_id, round_name, round_type, ballot_id::BIGINT AS ballot_id, entry_id, opponent_entry_id, side, judge_name, result, speaker_points::DOUBLE AS speaker_points FROM fx_ballots", "fx_ballots")
