@@ -111,8 +111,10 @@ def repeated_chunks(docs: DataFrame, sampled: int = 1_000_000, **sizes: int) ->
     share = min(1.0, sampled / max(1, chunks.count()))
     some = chunks.filter(F.pmod(F.xxhash64("doc_id", "th", "start"), F.lit(1 << 30)) < int(share * (1 << 30)))
     hot = written(some.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > max(1, sampled // 1000)).select(*key), "hot")
-    place = F.struct("doc_id", "th", "start")
-    summed = lambda rows: rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).filter("n > 1").drop("n")
+    # all columns, so that the count and the join read the same exchange
+    whole = F.struct("doc_id", "th", "start", "len", "words")
+    place = lambda c: F.struct(f"{c}.doc_id", f"{c}.th", f"{c}.start").alias(c)
+    summed = lambda rows: rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(whole).alias("first"), F.max(whole).alias("last")).filter("n > 1").select(*key, place("first"), place("last"))
     often = chunks.join(F.broadcast(hot), key)
     rest = chunks.join(F.broadcast(hot), key, "left_anti").repartition(*key)  # dealt once, for the counts and the join
     return often.join(F.broadcast(summed(often)), key).unionByName(rest.join(summed(rest).hint("merge"), key))
