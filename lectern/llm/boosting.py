@@ -1,4 +1,4 @@
-"""Gradient-boosted trees fitted on a bounded sample and applied as plain column expressions.
+"""Gradient-boosted trees, applied as plain column expressions.
 
 Spark's own learner fits the trees. They are then read out once, on the driver, as nested CASE
 expressions over an array of features, so scoring needs no model object, join or function of its own and can
@@ -64,11 +64,16 @@ def _trees(description: str) -> list:
     return [read(iter(lines)) for lines in trees]
 
 
-def fit(sample: DataFrame, trees: int = 15, depth: int = 4, partitions: int = 4) -> Trees | None:
-    """From (f array<double>, label double) of bounded size; None where not both labels are there."""
-    rows = written(sample.select("f", F.col("label").cast("double").alias("label")).coalesce(partitions), "examples")
+def fit(sample: DataFrame, trees: int = 15, depth: int = 4, partitions: int = 4, weight: str | None = None) -> Trees | None:
+    """From (f array<double>, label double) of bounded size, or of any size with the column `weight`: how many examples a row stands for.
+
+    None where not both labels are there. With a weight the rows stay in as many partitions as they have.
+    """
+    one = sample.select("f", F.col("label").cast("double").alias("label"), (F.col(weight) if weight else F.lit(1)).cast("double").alias("w"))
+    rows = written(one if weight else one.coalesce(partitions), "examples")
     if rows.select("label").distinct().count() < 2:
         return None
-    learner = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.2, seed=11, minInstancesPerNode=3)
-    model = learner.fit(rows.select(array_to_vector("f").alias("x"), "label"))
+    learner = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.2, seed=11, minInstancesPerNode=1 if weight else 3)
+    learner = learner.setWeightCol("w") if weight else learner
+    model = learner.fit(rows.select(array_to_vector("f").alias("x"), "label", "w"))
     return Trees(_trees(model.toDebugString), [float(w) for w in model.treeWeights])

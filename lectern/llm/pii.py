@@ -4,14 +4,16 @@ Base spans are the leftmost non-overlapping matches of one strict pattern for ea
 They always stay. Besides, high-recall generators propose spans that may overlap; trees score
 them by their format and context. The trees learn from texts in which every base span is rewritten in place
 into a form that the strict pattern misses (written-out signs, no plus or country code, spaces, dots), so what
-they know of personal data doesn't depend on the strict pattern. Of a bounded sample of candidates, a rewritten
+they know of personal data doesn't depend on the strict pattern. Of all candidates in all documents, a rewritten
 span is right; another kind or place there is wrong, as is a candidate elsewhere that its kind's check or looks
 refute; a candidate elsewhere that might be personal data teaches nothing. Each kind has a threshold, the
 smallest at which at least `precision` of the candidates of a held-back third are right. Selected candidates
 that touch no base span are added; where they overlap, the likelier one stays.
 
-Everything is a column expression within the document's row: no shuffle, join or Python. Patterns are
-written with possessive quantifiers so that long runs take linear time and no stack.
+Spans are found by column expressions within the document's row: no shuffle, join or Python; for training, candidates
+that look alike are counted by one shuffle. Spark's learner looks for places to split at on at most 10,000 of the counted
+rows by its own choice; all of them count in the trees and the thresholds. Patterns are written with possessive
+quantifiers so that long runs take linear time and no stack.
 
 Defined results: null and empty texts have no spans; offsets count code points; where the candidates don't
 show both labels nothing is added; repeated rows are treated each for itself; columns of other names are left
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import boosting
-from lectern.llm.common import hashed_sample, let, written
+from lectern.llm.common import let, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -216,22 +218,21 @@ class Model:
     held_back: dict[int, tuple[int, int, int]] = field(default_factory=dict)
 
 
-def train(docs: DataFrame, examples: int = 20_000, precision: float = 0.95, documents: int = 20_000) -> Model:
-    """Trees and thresholds from at most about `examples` candidates in the disguised texts of at most about `documents` documents.
+def train(docs: DataFrame, precision: float = 0.95) -> Model:
+    """Trees and thresholds from all labelled candidates in the disguised texts of all documents.
 
-    Both are chosen by a hash, documents among those that have a sign of personal data (a digit or an at sign).
+    Candidates that look alike in every feature and have one label are one example with their number as its weight.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id"), text.alias("_lectern_text")).filter(_may_hold(F.col("_lectern_text")))
-    rows = hashed_sample(rows, F.xxhash64("doc_id", "_lectern_text"), documents, "pii").select("doc_id", F.explode(_examples(F.col("_lectern_text"))).alias("c"))
-    rows = written(rows.select("doc_id", "c.kind", "c.s", "c.f", "c.label").filter("label is not null"), "candidates")
-    sample = hashed_sample(rows, F.concat_ws(":", "doc_id", "kind", "s"), examples, "pii")
+    rows = rows.select("doc_id", F.explode(_examples(F.col("_lectern_text"))).alias("c")).select("doc_id", "c.kind", "c.f", "c.label").filter("label is not null")
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3))
-    trees = boosting.fit(sample.filter(part > 0))
+    examples = written(rows.groupBy((part == 0).alias("held"), "kind", "f", "label").agg(F.count("*").alias("n")), "examples")
+    trees = boosting.fit(examples.filter("not held"), weight="n")
     if trees is None:
         return Model(None, {})
-    scored = sample.filter(part == 0).select("kind", "label", F.floor(trees.probability(F.col("f")) * 100).alias("p"))
-    table = scored.groupBy("kind", "p").agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()  # at most 4 x 101 rows
+    scored = examples.filter("held").select("kind", "label", "n", F.floor(trees.probability(F.col("f")) * 100).alias("p"))
+    table = scored.groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("right")).collect()  # at most 4 x 101 rows
     thresholds, held_back = {}, {}
     for kind in range(len(KINDS)):
         mine = sorted(((r["p"], r["n"], r["right"]) for r in table if r["kind"] == kind), reverse=True)

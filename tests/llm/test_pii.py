@@ -80,3 +80,11 @@ def test_loose_forms_are_added_and_redacted(spark):
     assert [clean[9000 + n] for n in range(len(loose))] == [f"{before[k]} <{k}> now" for k in loose.values()]
     changed = [clean[doc] for doc, text, *_ in rows if doc < 9000 and doc % 10 > 3 and clean[doc] != text]
     assert not changed
+
+
+def test_every_candidate_of_every_document_counts(spark):
+    text = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("call +1 (955) 555-"), (F.col("doc_id") % 9000 + 1000).cast("string"), F.lit(" now"))).otherwise(F.concat(F.lit("total 999."), (F.col("doc_id") % 7).cast("string"), F.lit(".3.4 of it")))
+    docs = spark.range(24_000).withColumnRenamed("id", "doc_id").withColumn("text", text).repartition(4)
+    there = docs.filter("doc_id % 2 = 1").filter(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)) == 0).count()
+    model = pii.train(docs)
+    assert model.held_back[pii.KINDS.index("phone")][2] == there
