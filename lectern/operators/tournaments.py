@@ -60,9 +60,22 @@ def majority(w: Column, losses: Column) -> Column:
     return F.when(w > losses, "W").when(losses > w, "L")
 
 
+#: A task that counts ballots of entries holds about so many.
+TASK_ROWS = 500_000
+
+
+def parts(ballots: DataFrame) -> int:
+    """How many tasks ballots are dealt to, so that what one holds doesn't grow with them."""
+    return max(int(ballots.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + ballots.count() // TASK_ROWS)
+
+
 def round_results(ballots: DataFrame) -> DataFrame:
-    """A row for each entry and round: result by majority, the first opponent by ballot, w and l votes, round name and type."""
-    return ballots.groupBy(*ENTRY, "round_id").agg(
+    """A row for each entry and round: result by majority, the first opponent by ballot, w and l votes, round name and type.
+
+    Ballots are dealt by entry, so what is counted or joined by entry or round after that needs no other exchange.
+    """
+    held = ballots.select(*ENTRY, "round_id", "round_name", "round_type", "result", "opponent_entry_id", "ballot_id").repartition(parts(ballots), *ENTRY)
+    return held.groupBy(*ENTRY, "round_id").agg(
         F.min("round_name").alias("round_name"), F.min("round_type").alias("round_type"), F.count_if(F.col("result") == "W").alias("w"), F.count_if(F.col("result") == "L").alias("l"),
         F.min_by("opponent_entry_id", F.when(F.col("opponent_entry_id").isNotNull(), F.col("ballot_id"))).alias("opponent_entry_id"), F.min("ballot_id").alias("first_ballot"),
     ).withColumn("result", majority(F.col("w"), F.col("l")))
@@ -188,7 +201,8 @@ def bracket(ballots: DataFrame, entries: DataFrame) -> DataFrame:
     depth = bracket_depths(elim)
     label = F.coalesce("depth", F.when(F.col("round_name").isin(*DEPTH_ORDER), F.col("round_name")), F.concat(F.lit("Round "), F.col("round_name")))
     named = elim.select(*ROUND, "round_name", "entry_id").distinct().join(entries.select(*ENTRY, "display_name"), ENTRY, "left")
-    rounds = named.groupBy(*ROUND).agg(F.min("round_name").alias("round_name"), F.array_join(F.array_sort(F.collect_list("display_name")), "; ").alias("field"))
+    # names go to their round as they are, so no task sorts lists of all rounds
+    rounds = named.repartition(*ROUND).groupBy(*ROUND).agg(F.min("round_name").alias("round_name"), F.array_join(F.array_sort(F.collect_list("display_name")), "; ").alias("field"))
     out = rounds.join(depth, ROUND).withColumn("label", label)
     return out.withColumn("label_order", F.coalesce(text.lookup(DEPTH_ORDER, F.col("label")), F.lit(-1)))
 

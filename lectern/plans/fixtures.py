@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from lectern.operators.tournaments import parts
 from lectern.sources.scratch import fresh
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -99,6 +100,14 @@ SELECT CAST((tourn_id*10+evn)*10+round_no AS BIGINT)*100000000 + team*3 + judge_
 FROM j
 """
 
+#: The same rows with one sort of a round: who sits next to whom is the row before or after, so no join of the round with itself.
+FX_BALLOTS_SPARK = FX_BALLOTS[: FX_BALLOTS.index("seat AS (")] + """numbered AS (SELECT team, tourn_id, evn, round_no, l_quantity, l_extendedprice, l_discount, row_number() OVER r AS n, struct(lag(team) OVER r AS team, lag(l_quantity) OVER r AS q, lag(l_extendedprice) OVER r AS e, lag(l_discount) OVER r AS d) AS before,
+         struct(lead(team) OVER r AS team, lead(l_quantity) OVER r AS q, lead(l_extendedprice) OVER r AS e, lead(l_discount) OVER r AS d) AS after FROM one WINDOW r AS (PARTITION BY tourn_id, evn, round_no ORDER BY l_extendedprice, team)),
+seat AS (SELECT *, CAST(floor((n-1)/2.0) AS INT) AS section, CASE WHEN n % 2 = 0 THEN before ELSE after END AS o FROM numbered),
+pair AS (SELECT *, o.team AS opp, o.q AS oq, o.e AS oe, o.d AS od FROM seat),
+j AS (SELECT *, explode(CASE WHEN round_no >= 5 THEN array(0, 1, 2) ELSE array(0) END) AS judge_no FROM pair)
+""" + FX_BALLOTS[FX_BALLOTS.index("SELECT CAST((tourn_id*10+evn)*10") :]
+
 FX_RESULTS = """
 SELECT tourn_id, event_abbr, entry_id,
   CASE WHEN rk = 1 THEN '1st' WHEN rk = 2 THEN '2nd' WHEN rk <= 4 THEN 'Semis' WHEN rk <= 8 THEN 'QF' WHEN rk <= 16 THEN 'octafinals' END AS place,
@@ -192,6 +201,19 @@ FROM (SELECT t.season, b.event_abbr, e.team_key, max(e.display_name) AS display_
 GROUP BY season, event_abbr, team_key
 """
 
+#: The same rows, where the votes of an entry are counted where they meet, before its names come to them.
+FX_RATINGS_SPARK = """
+SELECT season, event_abbr, team_key, max(display_name) AS display_name, max(school_name) AS school_name, max(school_code) AS school_code,
+  1500.0 + 10.0 * (sum(w) - sum(l)) AS rating, sum(w) + sum(l) AS round_count, sum(w) AS wins, sum(l) AS losses, 1500.0 + 10.0 * sum(w) AS peak_rating
+FROM (SELECT t.season, e.event_abbr, e.team_key, e.display_name, e.school_name, e.school_code, r.w, r.l
+      FROM (SELECT tourn_id, event_abbr, entry_id, sum(CASE WHEN v > 0 THEN 1 ELSE 0 END) AS w, sum(CASE WHEN v < 0 THEN 1 ELSE 0 END) AS l
+            FROM (SELECT tourn_id, event_abbr, entry_id, round_id, sum(CASE result WHEN 'W' THEN 1 WHEN 'L' THEN -1 ELSE 0 END) AS v
+                  FROM (SELECT /*+ REPARTITION({parts}, tourn_id, event_abbr, entry_id) */ tourn_id, event_abbr, entry_id, round_id, result FROM fx_ballots) b GROUP BY tourn_id, event_abbr, entry_id, round_id) x
+            GROUP BY tourn_id, event_abbr, entry_id) r
+      JOIN fx_entries e ON e.tourn_id = r.tourn_id AND e.event_abbr = r.event_abbr AND e.entry_id = r.entry_id JOIN fx_tournaments t ON t.tourn_id = e.tourn_id) q
+GROUP BY season, event_abbr, team_key
+"""
+
 #: The cards with the columns that are derived when they are stored, said in DuckDB's SQL.
 CARDS_DUCK = r"""
 SELECT *, count(*) OVER (PARTITION BY group_key) AS variant_count,
@@ -222,11 +244,11 @@ def _ints(sql: str, *columns: str) -> str:
 
 #: name: (text for Spark, text for DuckDB, views that it reads)
 VIEWS = {
-    "fx_cards": (FX_CARDS, FX_CARDS, ()), "fx_split_tags": (FX_SPLIT_TAGS_SPARK, FX_SPLIT_TAGS_DUCK, ("fx_cards",)), "fx_tournaments": (FX_TOURNAMENTS, _ints(FX_TOURNAMENTS, "tourn_id"), ()), "fx_events": (FX_EVENTS, _ints(FX_EVENTS, "tourn_id", "event_id"), ()), "fx_entries": (FX_ENTRIES, _ints(FX_ENTRIES, "tourn_id"), ()), "fx_ballots": (FX_BALLOTS, _ints(FX_BALLOTS, "tourn_id", "round_id"), ()),
+    "fx_cards": (FX_CARDS, FX_CARDS, ()), "fx_split_tags": (FX_SPLIT_TAGS_SPARK, FX_SPLIT_TAGS_DUCK, ("fx_cards",)), "fx_tournaments": (FX_TOURNAMENTS, _ints(FX_TOURNAMENTS, "tourn_id"), ()), "fx_events": (FX_EVENTS, _ints(FX_EVENTS, "tourn_id", "event_id"), ()), "fx_entries": (FX_ENTRIES, _ints(FX_ENTRIES, "tourn_id"), ()), "fx_ballots": (FX_BALLOTS_SPARK, _ints(FX_BALLOTS, "tourn_id", "round_id"), ()),
     "fx_results": (FX_RESULTS, FX_RESULTS, ("fx_entries",)), "fx_entry_paths": (FX_ENTRY_PATHS, FX_ENTRY_PATHS, ("fx_cards",)), "fx_paragraphs": (FX_PARAGRAPHS_SPARK, FX_PARAGRAPHS_DUCK, ("fx_cards",)), "fx_cites": (FX_CITES, FX_CITES, ("fx_cards",)),
     "fx_analytics": (FX_ANALYTICS, FX_ANALYTICS, ("fx_cards",)), "fx_saved": (FX_SAVED, FX_SAVED, ()), "fx_contentions": (FX_CONTENTIONS, FX_CONTENTIONS, ()), "fx_codes": (FX_CODES, FX_CODES, ("fx_entries", "fx_tournaments")), "fx_links": (FX_LINKS, FX_LINKS, ("fx_entries",)),
     "fx_wiki_teams": (FX_WIKI_TEAMS, FX_WIKI_TEAMS, ()), "fx_wiki_arguments": (FX_WIKI_ARGUMENTS, FX_WIKI_ARGUMENTS, ()), "fx_rounds": (FX_ROUNDS, FX_ROUNDS, ()), "fx_round_cites": (FX_ROUND_CITES, FX_ROUND_CITES, ()),
-    "fx_season_bids": (FX_SEASON_BIDS, FX_SEASON_BIDS, ("fx_entries", "fx_tournaments")), "fx_ratings": (FX_RATINGS, FX_RATINGS, ("fx_ballots", "fx_entries", "fx_tournaments")), "cards": (None, CARDS_DUCK, ("fx_cards",)),
+    "fx_season_bids": (FX_SEASON_BIDS, FX_SEASON_BIDS, ("fx_entries", "fx_tournaments")), "fx_ratings": (FX_RATINGS_SPARK, FX_RATINGS, ("fx_ballots", "fx_entries", "fx_tournaments")), "cards": (None, CARDS_DUCK, ("fx_cards",)),
 }
 
 
@@ -277,7 +299,7 @@ class Views:
             if x in " ".join(VIEWS[v][0] for v in _needed((name,))):
                 self.table(x).createOrReplaceTempView(x)
         for x in _needed((name,)):
-            made = lambda x=x: self._spark.sql(VIEWS[x][0])
+            made = lambda x=x: self._spark.sql(VIEWS[x][0].replace("{parts}", str(parts(self._spark.table("fx_ballots"))) if "{parts}" in VIEWS[x][0] else ""))
             (self.kept(x, made) if x in HEAVY else made()).createOrReplaceTempView(x)
         return self._spark.table(name)
 
