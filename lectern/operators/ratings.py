@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text
 from lectern.operators import tournaments as T
-from lectern.operators.components import components
 from lectern.sources.scratch import written
 
 START = 1500.0
@@ -61,8 +60,10 @@ CHRONOLOGICAL = ["start_date", "late", "round_no", "round_name", "tourn_id", "ro
 HISTORY = "season string, event_abbr string, seq long, team_key string, tourn_id int, round_id int, round_name string, round_type string, result string, rating_before double, rating_after double, change double, opponent_key string, opponent_rating double, occurred_at string"
 
 
-#: A season of an event of more matches than that is folded by groups of teams that met.
-WHOLE = 200_000
+#: A season of an event of more matches than that is folded in blocks of so many.
+WHOLE = 100_000
+#: A block has no fewer.
+LEAST = 100
 
 
 def _levels(a: list[int], b: list[int], n: int) -> np.ndarray:
@@ -108,8 +109,8 @@ def _fold(pdf: pd.DataFrame, held: dict[str, float]) -> pd.DataFrame:
 UNIT = ["season", "event_abbr"]
 
 
-def numbered(matches: DataFrame) -> DataFrame:
-    """matches with seq, their places from 0 in the order of their season and event; written.
+def numbered(matches: DataFrame, size: int) -> DataFrame:
+    """matches with seq, their places from 0 in the order of their season and event, and their block of so many; written by block.
 
     They are sorted in ranges, and a range begins where the counts of those before it end, so no season is sorted in one task.
     """
@@ -118,43 +119,39 @@ def numbered(matches: DataFrame) -> DataFrame:
     first = F.coalesce(F.sum("n").over(Window.partitionBy(*UNIT).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     nth = F.row_number().over(Window.partitionBy(*UNIT, "_range").orderBy(*CHRONOLOGICAL))
     placed = dealt.withColumn("_nth", nth).join(sizes.select(*UNIT, "_range", first.alias("_first")), [*UNIT, "_range"])
-    return written(placed.withColumn("seq", F.col("_first") + F.col("_nth") - 1).drop("_first", "_nth", "_range"), "numbered")
-
-
-def teams_that_met(matches: DataFrame) -> DataFrame:
-    """(season, event_abbr, team_key, group): groups of teams that met, directly or through others."""
-    vertex = lambda c: F.to_json(F.struct(*UNIT, F.col(c).alias("team_key")))
-    found = components(matches.select(*UNIT, "a_key", "b_key").distinct().select(vertex("a_key").alias("a"), vertex("b_key").alias("b")))
-    of = F.from_json("v", "season string, event_abbr string, team_key string")
-    return found.select(of.alias("of"), F.col("label").alias("group")).select("of.*", "group")
+    placed = placed.withColumn("seq", F.col("_first") + F.col("_nth") - 1).withColumn("block", F.floor(F.col("seq") / size).cast("int"))
+    return written(placed.drop("_first", "_nth", "_range"), "numbered", "block")
 
 
 def history(matches: DataFrame, seed: DataFrame | None = None, whole: int = WHOLE) -> DataFrame:
-    """Two rows for each match with the ratings before and after, folded in order within (season, event).
+    """Two rows for each match with the ratings before and after, folded in order within (season, event); written.
 
-    Ratings couple all who met, so a group of teams that met, directly or through others, is the smallest unit that is
-    always right. A season of an event of at most `whole` matches (narrow rows) is one group of rows; of larger ones each
-    group of teams is, which is as fine as a fold in order can be. seed: (season, event_abbr, team_key, rating) to go on from.
+    Ratings couple all who met, and a season's teams are soon one group of those that met. So a season of an event is folded in
+    blocks of at most `whole` matches (LEAST, if that is more), in order: each goes on from the ratings that the blocks before
+    left to its own teams. All seasons' blocks of one number are one job, and no task holds more than a block and its teams.
+    seed: (season, event_abbr, team_key, rating) to go on from.
     """
     cols = [*UNIT, "a_key", "b_key", "a_result", "k", "round_type", *CHRONOLOGICAL]
-    m = numbered(matches.select(*cols))
-    large = m.groupBy(*UNIT).agg(F.count("*").alias("n")).filter(F.col("n") > whole).select(*UNIT)
-    by = ["season", "event_abbr", "group"]
-    seeds = None if seed is None else seed.select(*UNIT, "team_key", "rating")
-    if large.isEmpty():
-        m = m.withColumn("group", F.lit(""))
-        seeds = None if seeds is None else seeds.withColumn("group", F.lit(""))
-    else:
-        met = teams_that_met(m.join(large, UNIT, "left_semi"))
-        m = m.join(met.withColumnRenamed("team_key", "a_key"), [*UNIT, "a_key"], "left").withColumn("group", F.coalesce("group", F.lit("")))
-        seeds = None if seeds is None else seeds.join(met, [*UNIT, "team_key"], "left").withColumn("group", F.coalesce("group", F.lit("")))
-    if seeds is None:
-        return m.groupBy(*by).applyInPandas(lambda pdf: _fold(pdf, {}), HISTORY)
-
-    def go_on(pdf: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        return _fold(pdf, dict(zip(old["team_key"], old["rating"])))
-
-    return m.groupBy(*by).cogroup(seeds.groupBy(*by)).applyInPandas(go_on, HISTORY)
+    m = numbered(matches.select(*cols), max(whole, LEAST))
+    n_blocks = (m.agg(F.max("block")).first()[0] or 0) + 1
+    held, out = None if seed is None else seed.select(*UNIT, "team_key", "rating"), None
+    for n in range(n_blocks):
+        now = m.filter(F.col("block") == n).drop("block")
+        if held is None:
+            folded = now.groupBy(*UNIT).applyInPandas(lambda pdf: _fold(pdf, {}), HISTORY)
+        else:
+            teams = now.select(*UNIT, F.explode(F.array("a_key", "b_key")).alias("team_key")).distinct()
+            folded = now.groupBy(*UNIT).cogroup(held.join(teams, [*UNIT, "team_key"], "left_semi").groupBy(*UNIT)).applyInPandas(_go_on, HISTORY)
+        folded = written(folded, "history")
+        out = folded if out is None else out.unionByName(folded)
+        if n + 1 < n_blocks:
+            last = folded.groupBy(*UNIT, "team_key").agg(F.max_by("rating_after", "seq").alias("rating"))
+            held = written(last if held is None else held.join(last, [*UNIT, "team_key"], "left_anti").unionByName(last), "held")
+    return out
+
+
+def _go_on(pdf: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+    return _fold(pdf, dict(zip(old["team_key"], old["rating"])))
 
 
 def ratings(history: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lectern.operators import tournaments
+from lectern.operators import ratings, tournaments
 from lectern.plans.fixtures import Views
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +42,10 @@ def test_names_of_a_round_are_gathered_once(spark):
     found = plan(tournaments.bracket(v.fx_ballots, v.fx_entries))
     at = found.index("collect_list(")
     assert "Exchange" not in found[at : found.index("partial_collect_list(", at)]
+
+
+def test_a_season_is_cut_into_blocks(spark):
+    one = spark.range(1050).select(F.lit("s").alias("season"), F.lit("e").alias("event_abbr"), F.col("id").alias("first_ballot"), *(F.lit(1).alias(c) for c in ratings.CHRONOLOGICAL[:-1]))
+    got = ratings.numbered(one, 100)
+    assert sorted(r["count"] for r in got.groupBy("block").count().collect()) == [50] + [100] * 10
+    assert got.filter("seq <> first_ballot or block <> seq div 100").isEmpty()
