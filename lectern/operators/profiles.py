@@ -37,10 +37,15 @@ def top_arguments(ratings: DataFrame, teams: DataFrame, arguments: DataFrame, mo
 
 
 def _of_users(links: DataFrame, codes: DataFrame, most: int, *order: Column) -> DataFrame:
-    """The first entries of each user's linked codes in an order."""
-    mine = codes.join(links.select("user_id", "team_code").distinct(), "team_code").select("user_id", "tourn_id", "name", "start_date", "end_date", "team_code", "school_name", "event_abbr", "entry_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(*order, "tourn_id", "event_abbr", "team_code", "entry_id"))
-    return mine.withColumn("nth", nth).filter(F.col("nth") <= most)
+    """The first entries of each user's linked codes in an order.
+
+    The first of each code come before the users: many users can share a code, and each would have all of its entries.
+    """
+    by = [*order, "tourn_id", "event_abbr", "team_code", "entry_id"]
+    first = lambda df, key: df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*by))).filter(F.col("nth") <= most)
+    of_code = first(codes.select("tourn_id", "name", "start_date", "end_date", "team_code", "school_name", "event_abbr", "entry_id").distinct(), "team_code").drop("nth")
+    mine = of_code.join(links.select("user_id", "team_code").distinct(), "team_code")
+    return first(mine.select("user_id", "tourn_id", "name", "start_date", "end_date", "team_code", "school_name", "event_abbr", "entry_id"), "user_id")
 
 
 def upcoming_of(links: DataFrame, codes: DataFrame, as_of: str, most: int = 20) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lectern.operators import ratings, tournaments
+from lectern.operators import profiles, ratings, tournaments
 from lectern.plans.fixtures import Views
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +49,12 @@ def test_a_season_is_cut_into_blocks(spark):
     got = ratings.numbered(one, 100)
     assert sorted(r["count"] for r in got.groupBy("block").count().collect()) == [50] + [100] * 10
     assert got.filter("seq <> first_ballot or block <> seq div 100").isEmpty()
+
+
+def test_users_of_one_code_get_its_first_entries_only(spark):
+    links = spark.range(300).select(F.concat(F.lit("u"), "id").alias("user_id"), F.lit("A B").alias("team_code"))
+    codes = spark.range(400).select((F.col("id") % 40).alias("tourn_id"), F.lit("n").alias("name"), F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")).alias("start_date"), F.lit("2024-02-01").alias("end_date"), F.lit("A B").alias("team_code"), F.lit("A").alias("school_name"), F.lit("LD").alias("event_abbr"), F.col("id").alias("entry_id"))
+    found = profiles.upcoming_of(links, codes.union(codes), "2024-01-01", 3)
+    want = [tuple(r) for r in codes.orderBy("start_date", "tourn_id", "event_abbr", "team_code", "entry_id").limit(3).select("entry_id").collect()]
+    assert found.count() == 900 and sorted(r[0] for r in found.filter("user_id = 'u7'").select("entry_id").collect()) == sorted(x for x, in want)
+    assert plan(found).index("team_code#") >= 0 and plan(found).count("WindowGroupLimit") >= 2
