@@ -9,11 +9,15 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text
 
+#: Paragraphs of a frame that a task gives back, at least; archives made at once, at most.
+FRAME_ROWS, FRAME_ARCHIVES = 5000, 200
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -64,21 +68,27 @@ def _marked(runs: list[tuple[str, bool, bool, bool]]) -> str:
 def paragraphs(archives: DataFrame) -> DataFrame:
     """entry, pos, style, text, markdown of the paragraphs with text of each document in each archive."""
 
+    columns = ["entry", "pos", "style", "text", "markdown"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
         for f in frames:
             for content in f["content"]:
                 z = zipfile.ZipFile(io.BytesIO(content))
                 for name in z.namelist():
                     if not name.lower().endswith(".docx"):
                         continue
-                    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(z.read(name))).read("word/document.xml"))
-                    rows = []
+                    root, pos = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(z.read(name))).read("word/document.xml")), 0
                     for p in root.iter(f"{W}p"):
                         style, runs = p.find(f".//{W}pStyle"), _runs(p)
                         joined = re.sub(r"\s+", " ", " ".join(t for t, *_ in runs)).strip()
                         if joined:
-                            rows.append((name, len(rows), style.get(f"{W}val", "") if style is not None else "", joined, _marked(runs)))
-                    yield pd.DataFrame(rows, columns=["entry", "pos", "style", "text", "markdown"])
+                            rows.append((name, pos, style.get(f"{W}val", "") if style is not None else "", joined, _marked(runs)))
+                            pos += 1
+                    if len(rows) >= FRAME_ROWS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+        yield pd.DataFrame(rows, columns=columns)
 
     return archives.mapInPandas(run, "entry string, pos int, style string, text string, markdown string")
 
@@ -115,14 +125,22 @@ def as_archives(paras: DataFrame) -> DataFrame:
     """path, content: one archive for each entry, with the entry's paragraphs (entry, pos, style, text) as a document; the reverse of `paragraphs`."""
     from xml.sax.saxutils import escape
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{escape(s)}"/></w:pPr><w:r><w:t>{escape(t)}</w:t></w:r></w:p>' for s, t in zip(pdf.sort_values("pos")["style"], pdf.sort_values("pos")["text"]))
+    def one(name: str, rows: list) -> bytes:
+        body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{escape(p["style"])}"/></w:pPr><w:r><w:t>{escape(p["text"])}</w:t></w:r></w:p>' for p in rows)
         inner, outer = io.BytesIO(), io.BytesIO()
         with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr("word/document.xml", f'<w:document xmlns:w="{W[1:-1]}"><w:body>{body}</w:body></w:document>')
-        name = pdf["entry"].iloc[0]
         with zipfile.ZipFile(outer, "w") as z:
             z.writestr(name, inner.getvalue())
-        return pd.DataFrame({"path": [name.replace("/", "_") + ".zip"], "content": [outer.getvalue()]})
-
-    return paras.groupBy("entry").applyInPandas(one, "path string, content binary")
+        return outer.getvalue()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, FRAME_ARCHIVES):
+                some = b.slice(at, FRAME_ARCHIVES)
+                names = some["entry"].to_pylist()
+                made = [one(name, rows) for name, rows in zip(names, some["p"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{n.replace('/', '_')}.zip" for n in names]), pa.array(made, pa.binary())], ["path", "content"])
+
+    held = paras.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("pos", "style", "text"))).alias("p"))
+    return held.mapInArrow(run, "path string, content binary")

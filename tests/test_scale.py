@@ -58,3 +58,13 @@ def test_users_of_one_code_get_its_first_entries_only(spark):
     want = [tuple(r) for r in codes.orderBy("start_date", "tourn_id", "event_abbr", "team_code", "entry_id").limit(3).select("entry_id").collect()]
     assert found.count() == 900 and sorted(r[0] for r in found.filter("user_id = 'u7'").select("entry_id").collect()) == sorted(x for x, in want)
     assert plan(found).index("team_code#") >= 0 and plan(found).count("WindowGroupLimit") >= 2
+
+
+def test_archives_are_made_many_at_a_time(spark):
+    from lectern.sources import archive
+
+    rows = [(f"d/{n}.docx", pos, "", f"text {n} & {pos}") for n in range(30) for pos in (1, 0)]
+    made = archive.as_archives(spark.createDataFrame(rows, "entry string, pos int, style string, text string"))
+    assert "InPandas" not in plan(made) and "MapInArrow" in plan(made)
+    got = archive.paragraphs(made).select("entry", "pos", "style", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
