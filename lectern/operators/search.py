@@ -11,7 +11,9 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,23 +153,80 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
+#: Vectors and queries of a block: a task holds the distances of two blocks at once.
+BLOCK, QUERY_BLOCK = 2048, 512
+#: How far two ways of adding up a cosine may lie apart, and the rounding of distances to six places.
+SLACK = 2e-6
+
+
+def _regular(vec: Column, size: Column) -> Column:
+    """Vectors of that size without null or very large components or ones that aren't numbers."""
+    return F.coalesce((F.size(vec) == size) & F.forall(vec, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < 1e100)), F.lit(False))
+
+
+def _in_blocks(rows: DataFrame, per: int, n: int) -> DataFrame:
+    """rows (i, x) as lists of about `per` of them."""
+    blocks = 1 + n // per
+    return rows.withColumn("_b", F.pmod(F.xxhash64("i"), F.lit(blocks))).groupBy("_b").agg(F.collect_list("i").alias("i"), F.collect_list("x").alias("x")).drop("_b")
+
+
+def _nearest(pairs: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest vectors of each query from blocks of both: a matrix product finds all that might be, which are then added up in order."""
+    matrix = lambda x: x.values.flatten().to_numpy(zero_copy_only=False).reshape(len(x.values), -1)
+    in_order = lambda x: np.cumsum(x, axis=1)[:, -1]
+    for batch in pairs:
+        for at in range(batch.num_rows):
+            i, x, qi, qx = (batch[c][at] for c in ("i", "x", "qi", "qx"))
+            i, qi, x, q = i.values.to_numpy(), qi.values.to_numpy(), matrix(x).astype(np.float64), matrix(qx).astype(np.float64)
+            long, q_long = np.sqrt(in_order(x * x)), np.sqrt(in_order(q * q))
+            both = q_long[:, None] * long[None, :]
+            rough = np.divide(-(q @ x.T), both, out=np.zeros_like(both), where=both > 0)
+            last = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] if k < len(i) else np.full((len(qi), 1), np.inf)
+            row, col = np.nonzero(rough <= last + SLACK)
+            for some in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row)) + 1):
+                if not len(some):
+                    continue
+                r, c = row[some[0]], col[some]
+                d = both[r, c]
+                d = 1 - np.divide(in_order(x[c] * q[r]), d, out=np.zeros(len(c)), where=d > 0)
+                best = np.lexsort((i[c], np.round(d, 6)))[:k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qi[r])), pa.array(i[c][best]), pa.array(d[best])], ["query_id", "id", "d"])
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", most: int = 10_000) -> DataFrame:
     """Exact: query_id, id, distance, rank. queries: (query_id, q).
 
-    Up to `most` queries are broadcast; more are dealt into blocks of about that size, and the vectors meet each block.
-    Each task keeps a query's k nearest before the ranking, so at most k rows for each query and task are shuffled.
+    By cosine, blocks of vectors meet blocks of queries, and a pair of blocks is one matrix product that leaves each query its k
+    nearest, whatever there are of both. Vectors of another size than the longest, or with null, very large or no numbers, meet
+    all of the other side one by one, as all do by other metrics: up to `most` queries are broadcast; more are dealt into
+    blocks of about that size.
     """
     q = queries.select("query_id", "q")
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("x"))
+    d = {"cosine": cosine_distance, "l2": l2}[metric](F.col("x"), F.col("q"))
+    if metric != "cosine" or dict(v.dtypes)["id"] != "bigint" or dict(q.dtypes)["query_id"] != "bigint":
+        return list_rank(_one_by_one(v, q, most).select("query_id", "id", F.round(d, 6).alias("distance")), "distance", "id").filter(F.col("rank") <= k)
+    n, longest = v.agg(F.count("*"), F.max(F.size("x"))).first()
+    size = F.lit(longest or 0)
+    v, q = v.withColumn("_ok", _regular(F.col("x"), size)), q.withColumn("_ok", _regular(F.col("q"), size))
+    n_queries, odd_queries = q.agg(F.count("*"), F.count_if(~F.col("_ok"))).first()
+    blocks = _in_blocks(v.filter("_ok and size(x) > 0").select(F.col("id").alias("i"), "x"), BLOCK, n)
+    asked = _in_blocks(q.filter("_ok and size(q) > 0").select(F.col("query_id").alias("i"), F.col("q").alias("x")), QUERY_BLOCK, n_queries).toDF("qi", "qx")
+    near = blocks.crossJoin(asked).mapInArrow(lambda pairs: _nearest(pairs, k), "query_id long, id long, d double").withColumnRenamed("d", "distance")
+    odd = _one_by_one(v.filter("not _ok").drop("_ok"), q.drop("_ok"), most)
+    if odd_queries:
+        odd = odd.unionByName(_one_by_one(v.filter("_ok").drop("_ok"), q.filter("not _ok").drop("_ok"), most))
+    near = near.unionByName(odd.select("query_id", "id", d.alias("distance")))
+    return list_rank(near.select("query_id", "id", F.round("distance", 6).alias("distance")), "distance", "id").filter(F.col("rank") <= k)
+
+
+def _one_by_one(v: DataFrame, q: DataFrame, most: int) -> DataFrame:
     n = q.count()
-    d = {"cosine": cosine_distance, "l2": l2}[metric](F.col(vec_col), F.col("q"))
-    v = vectors.select(F.col(id_col).alias("id"), vec_col)
     if n <= most:
-        met = v.join(F.broadcast(q))
-    else:
-        blocks = -(-n // most)
-        dealt = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        met = v.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(dealt.hint("shuffle_hash"), "_b")
-    return list_rank(met.select("query_id", "id", F.round(d, 6).alias("distance")), "distance", "id").filter(F.col("rank") <= k)
+        return v.join(F.broadcast(q))
+    blocks = -(-n // most)
+    dealt = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    return v.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(dealt.hint("shuffle_hash"), "_b").drop("_b")
 
 
 def knn_lsh(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding"):

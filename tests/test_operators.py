@@ -241,3 +241,22 @@ def test_kept_index_reads_only_the_terms(spark, tmp_path):
     got = search.of_terms(spark.read.parquet(str(tmp_path / "index")), ["fish", "blue"])
     assert sorted((r["doc_id"], r["term"], r["tf"]) for r in got.collect()) == [(1, "blue", 1), (1, "fish", 2), (2, "fish", 1)]
     assert "PartitionFilters: [" in got._jdf.queryExecution().toString()
+
+
+def test_knn_by_blocks_is_that_of_pairs_on_odd_vectors(spark, monkeypatch):
+    import random
+
+    r, nan = random.Random(3), float("nan")
+    rows = [(n, [r.choice([-1.0, 0.5, 2.0]) for _ in range(3)]) for n in range(90)]
+    rows += [(90, None), (91, [1.0, None, 2.0]), (92, [nan, 1.0, 1.0]), (93, [0.0, 0.0, 0.0]), (94, [1.0]), (95, []), (96, [1e300, 1e300, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.filter("vec_id % 9 < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = v.select(F.col("vec_id").alias("id"), "embedding").crossJoin(q).select("query_id", "id", F.round(search.cosine_distance(F.col("embedding"), F.col("q")), 6).alias("distance"))
+    want = search.list_rank(pairs, "distance", "id").filter("rank <= 7")
+    monkeypatch.setattr(search, "BLOCK", 20)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 10)
+    got = search.knn(v, q, 7)
+    shown = lambda df: sorted(map(str, df.select("query_id", "id", "distance", "rank").collect()))
+    assert shown(got) == shown(want)
+    assert "MapInArrow" in got._jdf.queryExecution().logical().toString()
+    assert search.knn(v.limit(0), q, 7).count() == 0 and search.knn(v, q.limit(0), 7).count() == 0
