@@ -53,12 +53,18 @@ def postings(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFra
     return rows.groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def counts(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame:
+    """postings without places, which ranking doesn't ask for: counted before they are shuffled."""
+    each = docs.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("terms")) for f in fields))).alias("x"))
+    return each.select(key, "x.field", F.explode("x.terms").alias("term")).groupBy(key, "field", "term").agg(F.count("*").alias("tf"))
+
+
 BUCKETS = 64
 
 
 def bucketed(posts: DataFrame) -> DataFrame:
-    """posts with bucket, to be written in partitions by it."""
-    return posts.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int"))
+    """posts with bucket, to be written in partitions by it: dealt by bucket, so a task writes few of them."""
+    return posts.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int")).hint("rebalance", "bucket")
 
 
 def of_terms(posts: DataFrame, wanted: list[str]) -> DataFrame:

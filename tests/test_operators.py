@@ -260,3 +260,12 @@ def test_knn_by_blocks_is_that_of_pairs_on_odd_vectors(spark, monkeypatch):
     assert shown(got) == shown(want)
     assert "MapInArrow" in got._jdf.queryExecution().logical().toString()
     assert search.knn(v.limit(0), q, 7).count() == 0 and search.knn(v, q.limit(0), 7).count() == 0
+
+
+def test_the_ranking_index_has_counts_only(spark):
+    docs = spark.createDataFrame([(1, "red fish blue fish"), (2, "One fish"), (2, "one fish")], "doc_id long, text string")
+    got = search.bucketed(search.counts(docs, ["text"]))
+    want = search.postings(docs, ["text"])
+    assert sorted(map(tuple, got.select("doc_id", "field", "term", "tf").collect())) == sorted(map(tuple, want.select("doc_id", "field", "term", "tf").collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "REBALANCE" in plan.upper()
