@@ -101,8 +101,8 @@ FROM j
 """
 
 #: The same rows with one sort of a round: who sits next to whom is the row before or after, so no join of the round with itself.
-FX_BALLOTS_SPARK = FX_BALLOTS[: FX_BALLOTS.index("seat AS (")] + """numbered AS (SELECT team, tourn_id, evn, round_no, l_quantity, l_extendedprice, l_discount, row_number() OVER r AS n, struct(lag(team) OVER r AS team, lag(l_quantity) OVER r AS q, lag(l_extendedprice) OVER r AS e, lag(l_discount) OVER r AS d) AS before,
-         struct(lead(team) OVER r AS team, lead(l_quantity) OVER r AS q, lead(l_extendedprice) OVER r AS e, lead(l_discount) OVER r AS d) AS after FROM one WINDOW r AS (PARTITION BY tourn_id, evn, round_no ORDER BY l_extendedprice, team)),
+FX_BALLOTS_SPARK = FX_BALLOTS[: FX_BALLOTS.index("seat AS (")].replace(" FROM li) q", " FROM (SELECT /*+ REPARTITION({parts}, tourn_id, evn, round_no, team) */ * FROM li) li) q") + """numbered AS (SELECT team, tourn_id, evn, round_no, l_quantity, l_extendedprice, l_discount, row_number() OVER r AS n, struct(lag(team) OVER r AS team, lag(l_quantity) OVER r AS q, lag(l_extendedprice) OVER r AS e, lag(l_discount) OVER r AS d) AS before,
+         struct(lead(team) OVER r AS team, lead(l_quantity) OVER r AS q, lead(l_extendedprice) OVER r AS e, lead(l_discount) OVER r AS d) AS after FROM (SELECT /*+ REPARTITION({parts}, tourn_id, evn, round_no) */ * FROM one) one WINDOW r AS (PARTITION BY tourn_id, evn, round_no ORDER BY l_extendedprice, team)),
 seat AS (SELECT *, CAST(floor((n-1)/2.0) AS INT) AS section, CASE WHEN n % 2 = 0 THEN before ELSE after END AS o FROM numbered),
 pair AS (SELECT *, o.team AS opp, o.q AS oq, o.e AS oe, o.d AS od FROM seat),
 j AS (SELECT *, explode(CASE WHEN round_no >= 5 THEN array(0, 1, 2) ELSE array(0) END) AS judge_no FROM pair)
@@ -299,10 +299,15 @@ class Views:
             if x in " ".join(VIEWS[v][0] for v in _needed((name,))):
                 self.table(x).createOrReplaceTempView(x)
         for x in _needed((name,)):
-            made = lambda x=x: self._spark.sql(VIEWS[x][0].replace("{parts}", str(parts(self._spark.table("fx_ballots"))) if "{parts}" in VIEWS[x][0] else ""))
+            made = lambda x=x: self._spark.sql(self._dealt(x))
             (self.kept(x, made) if x in HEAVY else made()).createOrReplaceTempView(x)
         return self._spark.table(name)
 
+    def _dealt(self, name: str) -> str:
+        """The view's text, dealt to as many tasks as its largest table needs."""
+        sql = VIEWS[name][0]
+        return sql.replace("{parts}", str(parts(self._spark.table("lineitem" if "FROM lineitem" in sql else "fx_ballots")))) if "{parts}" in sql else sql
+
     def kept(self, name: str, make: Callable[[], DataFrame], by: str | None = None, form: str = "parquet", **options: str) -> DataFrame:
         """What make gives, written to the shared folder at its first use (in partitions of `by`, in a form and with options of the writer)."""
         key = (self._spark.sparkContext.applicationId, self._dir, name)

@@ -17,8 +17,8 @@ def test_a_round_is_seated_without_a_join_and_is_what_the_sql_for_both_engines_s
 
     v = Views(spark, SF)
     v.lineitem.createOrReplaceTempView("lineitem")
-    got, want = spark.sql(fixtures.VIEWS["fx_ballots"][0]), spark.sql(fixtures.FX_BALLOTS)
-    assert "Join" not in plan(got) and plan(got).count("Exchange") == 2
+    got, want = spark.sql(v._dealt("fx_ballots")), spark.sql(fixtures.FX_BALLOTS)
+    assert "Join" not in plan(got) and plan(got).count("Exchange") == plan(got).count("REPARTITION_BY_NUM") == 2
     assert got.schema == want.schema and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
