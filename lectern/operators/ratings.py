@@ -46,7 +46,7 @@ def depth_of(round_name: Column, n_entries: Column) -> Column:
 def rated_matches(ballots: DataFrame, tournaments: DataFrame, entries: DataFrame, events: DataFrame, kinds: tuple[str, ...] = ("LD", "PF", "CX")) -> DataFrame:
     """Decided matches with season, team keys, K factor and the fields that order them."""
     known = ballots.filter(F.col("event_abbr").isin(*kinds)).join(entries.select("tourn_id", "entry_id").distinct(), ["tourn_id", "entry_id"], "left_semi")
-    m = T.matches(known)
+    m = T.matches(known, T.parts(ballots))
     n = known.select(*T.ROUND, "entry_id").distinct().groupBy(*T.ROUND).agg(F.count("*").alias("n_entries"))
     team = entries.select("tourn_id", "entry_id", "team_key").distinct()
     m = m.join(n, T.ROUND).join(tournaments.select("tourn_id", "season", "start_date"), "tourn_id").join(events.select("tourn_id", "event_abbr", "bid_level"), ["tourn_id", "event_abbr"], "left")

@@ -69,21 +69,22 @@ def parts(ballots: DataFrame) -> int:
     return max(int(ballots.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + ballots.count() // TASK_ROWS)
 
 
-def round_results(ballots: DataFrame) -> DataFrame:
+def round_results(ballots: DataFrame, tasks: int | None = None) -> DataFrame:
     """A row for each entry and round: result by majority, the first opponent by ballot, w and l votes, round name and type.
 
     Ballots are dealt by entry, so what is counted or joined by entry or round after that needs no other exchange.
+    tasks: how many (see `parts`), where counting ballots would read more than a table.
     """
-    held = ballots.select(*ENTRY, "round_id", "round_name", "round_type", "result", "opponent_entry_id", "ballot_id").repartition(parts(ballots), *ENTRY)
+    held = ballots.select(*ENTRY, "round_id", "round_name", "round_type", "result", "opponent_entry_id", "ballot_id").repartition(tasks or parts(ballots), *ENTRY)
     return held.groupBy(*ENTRY, "round_id").agg(
         F.min("round_name").alias("round_name"), F.min("round_type").alias("round_type"), F.count_if(F.col("result") == "W").alias("w"), F.count_if(F.col("result") == "L").alias("l"),
         F.min_by("opponent_entry_id", F.when(F.col("opponent_entry_id").isNotNull(), F.col("ballot_id"))).alias("opponent_entry_id"), F.min("ballot_id").alias("first_ballot"),
     ).withColumn("result", majority(F.col("w"), F.col("l")))
 
 
-def records(ballots: DataFrame) -> DataFrame:
+def records(ballots: DataFrame, tasks: int | None = None) -> DataFrame:
     """Rounds won and lost before and in the bracket; a panel is one round; a tie or no vote counts as won."""
-    r = round_results(ballots)
+    r = round_results(ballots, tasks)
     early, lost = F.col("round_type").isin(*PRELIM), F.col("l") > F.col("w")
     return r.groupBy(*ENTRY).agg(
         F.count_if(early & ~lost).alias("prelim_wins"), F.count_if(early & lost).alias("prelim_losses"), F.count_if(~early & ~lost).alias("elim_wins"), F.count_if(~early & lost).alias("elim_losses")
@@ -102,11 +103,12 @@ def placements(ballots: DataFrame, entries: DataFrame) -> DataFrame:
     known = ballots.join(entries.select(*ENTRY).distinct(), ENTRY, "left_semi")
     elim = known.filter(~F.col("round_type").isin(*PRELIM))
     size = elim.select(*ROUND, "entry_id").distinct().groupBy(*ROUND).agg(F.count("*").alias("n_entries"))
-    deepest = round_results(elim).join(size, ROUND).groupBy(*ENTRY).agg(F.min(F.struct("n_entries", "round_id", "round_name", "w", "l")).alias("d"))
+    tasks = parts(ballots)
+    deepest = round_results(elim, tasks).join(size, ROUND).groupBy(*ENTRY).agg(F.min(F.struct("n_entries", "round_id", "round_name", "w", "l")).alias("d"))
     won = F.col("d.w") > F.col("d.l")
     named = F.coalesce(text.lookup(DEPTH_OF_ENTRIES, F.col("d.n_entries").cast("string")), F.concat(F.lit("Round "), F.col("d.round_name")))
     place = F.when(F.col("d").isNull(), "Prelim").when(F.col("d.n_entries") == 2, F.when(won, "1st").otherwise("2nd")).otherwise(named)
-    return records(known).join(deepest, ENTRY, "left").withColumn("place", place).drop("d").withColumn("place_order", F.coalesce(text.lookup(PLACE_ORDER, F.col("place")), F.lit(50)))
+    return records(known, tasks).join(deepest, ENTRY, "left").withColumn("place", place).drop("d").withColumn("place_order", F.coalesce(text.lookup(PLACE_ORDER, F.col("place")), F.lit(50)))
 
 
 def pairings(ballots: DataFrame, entries: DataFrame) -> DataFrame:
@@ -123,13 +125,13 @@ def pairings(ballots: DataFrame, entries: DataFrame) -> DataFrame:
     return out.join(depth, ROUND, "left").withColumn("result", majority(F.col("w"), F.col("l"))).withColumn("ballot_count", F.col("w") + F.col("l")).drop("w", "l")
 
 
-def matches(ballots: DataFrame) -> DataFrame:
+def matches(ballots: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row for each decided match: a and b, a_result by the side with the earliest ballot; byes and absent opponents are left out.
 
     The two sides meet by an equality join on round and entry; of the pair, the row whose own ballot comes
     first is kept.
     """
-    r = round_results(ballots).filter("result is not null and opponent_entry_id is not null")
+    r = round_results(ballots, tasks).filter("result is not null and opponent_entry_id is not null")
     other = r.select(*ROUND, F.col("entry_id").alias("opponent_entry_id"), F.col("first_ballot").alias("other_ballot"))
     both = r.join(other, [*ROUND, "opponent_entry_id"]).filter("first_ballot < other_ballot")
     return both.select(*ROUND, "round_name", "round_type", F.col("entry_id").alias("a"), F.col("opponent_entry_id").alias("b"), F.col("result").alias("a_result"), "first_ballot")
