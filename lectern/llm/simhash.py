@@ -222,20 +222,18 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float, most: int = 1
 def _met_by_prefix(held: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b, of texts in held (v, label) with different labels: all that share a variant and can be that similar.
 
-    Of two such sets, each one's rarest shingles, as many as the other may lack and one more, have one in common. At one
-    that they share, what comes before and after it in both bounds what else they can share; shingles of no other text can't be.
+    Of two such sets, each one's rarest shingles, as many as the other may lack and one more, have one in common. At the
+    rarest that they share, nothing before it is shared, so what comes after it bounds what else they can share.
     """
     one = held.join(sets, "v").select("v", "label", F.size("s").alias("size"), F.explode("s").alias("h"))
     rare = one.join(one.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h", "left")
     nth = F.row_number().over(Window.partitionBy("v").orderBy(F.coalesce("n", F.lit(1)), "h"))
-    own = F.col("size") - F.count("n").over(Window.partitionBy("v"))
-    first = rare.select("h", "v", "label", "size", "n", nth.alias("nth"), own.alias("own"))
-    first = first.filter((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1) & (F.col("n") > 1))
-    prefix = written(first.select("h", "v", "label", "size", (F.col("nth") - 1 - F.col("own")).alias("before"), (F.col("size") - F.col("nth")).alias("after")), "prefixes")
-    x, y = (prefix.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "label", "size", "before", "after"))) for side in "ab")
+    first = rare.select("h", "v", "label", "size", "n", (F.col("size") - nth).alias("after"))
+    first = first.filter((F.col("after") >= F.ceil(F.col("size") * similarity - 1e-6) - 1) & (F.col("n") > 1))
+    prefix = written(first.select("h", "v", "label", "size", "after"), "prefixes")
+    x, y = (prefix.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "label", "size", "after"))) for side in "ab")
     alike = (F.col("v_a") < F.col("v_b")) & (F.col("label_a") != F.col("label_b"))
-    most = F.least("before_a", "before_b") + 1 + F.least("after_a", "after_b")
-    alike &= most * (1 + similarity) >= (F.col("size_a") + F.col("size_b")) * similarity - 1e-6
+    alike &= (1 + F.least("after_a", "after_b")) * (1 + similarity) >= (F.col("size_a") + F.col("size_b")) * similarity - 1e-6
     pairs = x.join(y, (x["h"] == y["h"]) & alike).select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct()
     fps = found.select("v", "fp")
     both = pairs.join(fps.toDF("a", "fp_a"), "a").join(fps.toDF("b", "fp_b"), "b")

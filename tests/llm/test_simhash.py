@@ -112,3 +112,19 @@ def test_near_copies_against_all_pairs(spark):
         assert want <= got and len(got - want) <= 0.05 * (len(texts) - len(want)), (len(want), len(got))
         first = first or got
         assert got == first  # whatever the partitions, and however much was linked before the prefix filter
+
+
+def test_prefixes_meet_few_pairs_that_are_not_similar(spark):
+    """Texts of a large group that are nearly similar: all similar pairs meet, of the others few."""
+    rng = random.Random(7)
+    sets = {v: set(range(85)) | set(rng.sample(range(100, 2100), 15)) for v in range(120)}
+    for v in range(0, 120, 10):
+        sets[v + 1] = sets[v] - set(rng.sample(sorted(sets[v]), 6))
+    all_pairs = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sets, 2)}
+    similar = {p for p, j in all_pairs.items() if j >= 0.8}
+    held = spark.createDataFrame([(v, v) for v in sets], "v long, label long")
+    shingles = spark.createDataFrame([(v, sorted(s)) for v, s in sets.items()], "v long, s array<long>")
+    found = spark.createDataFrame([(v, [0]) for v in sets], "v long, fp array<long>")
+    met = [(r["a"], r["b"]) for r in simhash._met_by_prefix(held, shingles, found, 0.8).collect()]
+    assert len(met) == len(set(met)) and similar <= set(met)
+    assert 12 <= len(similar) and len(met) <= len(all_pairs) // 4, (len(met), len(similar), len(all_pairs))
