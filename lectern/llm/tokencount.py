@@ -33,6 +33,10 @@ from lectern.llm.tokens import public_tokenizer, word_ids
 
 END = 49407
 BLOCK = 1 << 18
+#: Entries of a worker's caches of words; a worker holds blocks beside them.
+WORDS = 120_000
+#: Texts whose ids are held at once.
+TEXTS = 256
 #: Bytes that a reader of text drops at the beginning of a file.
 MARK = b"\xef\xbb\xbf"
 
@@ -44,7 +48,7 @@ def kind(width: int) -> str:
 
 def width_of(tokenizer: str) -> int:
     """Bytes that every id of the vocabulary fits into."""
-    return 2 if word_ids(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+    return 2 if word_ids(tokenizer, WORDS).tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
 def write_flat(docs: DataFrame, end_id: int = END, unknown_id: int = 0, block: int = BLOCK, tokenizer: str | None = None, width: int | None = None) -> DataFrame:
@@ -62,8 +66,8 @@ def write_flat(docs: DataFrame, end_id: int = END, unknown_id: int = 0, block: i
         def row(data: np.ndarray, ids: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([n], pa.int64()), pa.array([data.tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], ["file", "block", "data", "ids"])
 
-        for b in batches:
-            for doc, raw in zip(b["doc_id"].to_pylist(), word_ids(path).encode_batch(b["text"].to_pylist()), strict=True):
+        for b in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
+            for doc, raw in zip(b["doc_id"].to_pylist(), word_ids(path, WORDS).encode_batch(b["text"].to_pylist()), strict=True):
                 ids = np.frombuffer(raw, "<u4")
                 if len(ids) and ids.max() > np.iinfo(dtype).max:
                     raise ValueError(f"the id {ids.max()} is too wide for {dtype}")
@@ -157,15 +161,13 @@ def scan(blocks: DataFrame, end_id: int = END, width: int = 2) -> DataFrame:
     dtype = kind(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lengths, counts = [], []
-            for data in b["data"]:
-                ids = np.frombuffer(data.as_buffer(), dtype)
-                at = np.flatnonzero(ids == end_id)
-                lengths.append(np.diff(at, prepend=-1, append=len(ids)) - 1)  # the last is what follows the last separator
-                counts.append(len(at))
-            lists = pa.array([x.tolist() for x in lengths], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b["file"], b["block"], pa.array(counts, pa.int64()), lists], ["file", "block", "n_ends", "lengths"])
+        # a block at a time, since a batch has all blocks of a task
+        for b in (b.slice(at, 1) for b in batches for at in range(b.num_rows)):
+            ids = np.frombuffer(b["data"][0].as_buffer(), dtype)
+            at = np.flatnonzero(ids == end_id)
+            lengths = np.diff(at, prepend=-1, append=len(ids)) - 1  # the last is what follows the last separator
+            lists = pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.array(lengths, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b["file"], b["block"], pa.array([len(at)], pa.int64()), lists], ["file", "block", "n_ends", "lengths"])
 
     file, order = blocks.schema["file"].dataType.simpleString(), blocks.schema["block"].dataType.simpleString()
     found = blocks.select("file", "block", "data").mapInArrow(run, f"file {file}, block {order}, n_ends long, lengths array<int>")

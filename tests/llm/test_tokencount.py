@@ -2,11 +2,12 @@ import os
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from lectern.llm import tokencount
-from lectern.llm.tokens import public_tokenizer
+from lectern.llm.tokens import WordIds, public_tokenizer, word_ids
 from tests.llm.conftest import COLUMNS, odd_rows
 
 
@@ -61,3 +62,19 @@ def test_ids_that_dont_fit_are_an_error(spark):
     assert tokencount.scan(tokencount.write_flat(docs, 40_000, tokenizer=path, width=4), 40_000, 4).collect()[0]["n_tokens"] == want
     with pytest.raises(OverflowError):
         tokencount.write_flat(docs, 1 << 20, tokenizer=path, width=2)
+
+
+def test_a_worker_holds_few_words_and_few_texts(spark, monkeypatch):
+    """Of one task on many different words: the ids of how many texts are asked for at once, and what the cache may hold."""
+    asked = []
+    monkeypatch.setattr(WordIds, "encode_batch", lambda self, texts: asked.append((self.most, len(texts))) or [self.encode(t) for t in texts])
+    made = {}
+    docs = spark.range(1).selectExpr("id AS doc_id", "'a b' AS text")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: made.setdefault("run", f))
+    monkeypatch.setattr(tokencount, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda self: 0})())}))
+    tokencount.write_flat(docs, width=2)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([f"word{n} and more" for n in range(3000)])], ["doc_id", "text"])
+    rows = [r for b in made["run"](iter([batch])) for r in b.to_pylist()]
+    assert [d for r in rows for d in r["ids"]] == list(range(3000))
+    assert max(n for _, n in asked) <= 300 and max(most for most, _ in asked) <= 150_000
+    word_ids.cache_clear()
