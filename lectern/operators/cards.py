@@ -41,12 +41,12 @@ def elect_canonical(cards: DataFrame) -> DataFrame:
     """variant_count and is_canonical: of each group the densest card, then by source entry and id.
 
     A card without a key is a group of its own. The election reads narrow rows: keys are aggregated with partial
-    maxima and joined back, so a group of any size is never gathered.
+    maxima and joined back, so a group of any size is never gathered. Whole cards pass a table of winners, not sorted.
     """
     cards = cards.drop("variant_count", "is_canonical").withColumn("_group", F.when(F.coalesce("group_key", F.lit("")) != "", F.col("group_key")).otherwise(F.concat(F.lit("alone::"), "id")))
     best = F.min(F.struct((-F.coalesce("warrant_density", F.lit(-1.0))).alias("d"), "source_entry", "id"))
     won = cards.groupBy("_group").agg(F.count("*").alias("variant_count"), best.alias("_best")).select("_group", "variant_count", F.col("_best.id").alias("_winner"))
-    return cards.join(won, "_group").withColumn("is_canonical", F.col("id") == F.col("_winner")).drop("_winner", "_group")
+    return cards.join(won.hint("shuffle_hash"), "_group").withColumn("is_canonical", F.col("id") == F.col("_winner")).drop("_winner", "_group")
 
 
 def stored(cards: DataFrame) -> DataFrame:

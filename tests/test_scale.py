@@ -68,3 +68,23 @@ def test_archives_are_made_many_at_a_time(spark):
     assert "InPandas" not in plan(made) and "MapInArrow" in plan(made)
     got = archive.paragraphs(made).select("entry", "pos", "style", "text").collect()
     assert sorted(map(tuple, got)) == sorted(rows)
+
+
+def test_whole_cards_are_not_sorted_to_learn_their_winners(spark):
+    """What is too large to be broadcast meets the table of winners by hash, so wide rows don't spill in a sort."""
+    from lectern.operators import cards
+
+    rows = [(f"c{n}", f"k{n % 7}" if n % 3 else "", n / 10, f"e{n % 4}", "body " * 50) for n in range(60)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        elected = cards.elect_canonical(spark.createDataFrame(rows, "id string, group_key string, warrant_density double, source_entry string, body string"))
+        plan = elected._jdf.queryExecution().executedPlan().toString()
+        got = {r["id"]: (r["variant_count"], r["is_canonical"]) for r in elected.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    groups = {}
+    for i, key, density, entry, _ in rows:
+        groups.setdefault(key or f"alone {i}", []).append((-density, entry, i))
+    assert got == {i: (len(g), i == min(g)[2]) for g in groups.values() for _, _, i in g}
