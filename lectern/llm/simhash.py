@@ -115,10 +115,11 @@ def links(fps: DataFrame, crowded: int = 512) -> DataFrame:
     """
     v = variants(fps)
     met = v.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = written(v.join(met, "key"), "buckets")
+    # an explode's size is taken for that of its input, so 64 variants of each would be broadcast if that is small
+    shared = written(v.join(met.hint("merge"), "key"), "buckets")
     few = shared.filter(F.col("n") <= crowded)
     x, y = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
-    pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (_differing(F.col("a"), F.col("b")) <= 2)).select("a", "b")
+    pairs = x.join(y.hint("merge"), "key").filter((F.col("a") < F.col("b")) & (_differing(F.col("a"), F.col("b")) <= 2)).select("a", "b")
 
     many = shared.filter(F.col("n") > crowded).select("fp").distinct()
     two = (

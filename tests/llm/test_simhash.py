@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lectern.llm import simhash
+from lectern.llm.common import written
 from tests.llm.conftest import COLUMNS, odd_rows, prose
 
 
@@ -60,6 +61,16 @@ def test_crowded_buckets_lose_no_link(spark):
     assert components(3) == components(10_000)
 
 
+def test_variants_are_not_broadcast(spark, monkeypatch):
+    """They are 64 times as many rows as what their size is told from."""
+    plans = []
+    monkeypatch.setattr(simhash, "written", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, label))
+    found = simhash.links(spark.createDataFrame([(5,), (7,), (1 << 40,)], "fp long"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+    assert [tuple(r) for r in found.collect()] == [(5, 7)]
+
+
 def test_odd_input(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(odd_rows())
