@@ -1,11 +1,18 @@
-"""Argument tags of a card by keyword rules over its tag and, for some, its whole text."""
+"""Argument tags of a card by keyword rules over its tag and, for some, its whole text.
+
+Some 400 keywords are looked for by RE2 (in Arrow), which reads a text once however many it is asked for, and whose
+word boundaries are those of ASCII letters, digits and underscore.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import js, text
+from lectern.functions.text import text
 
 #: Fixed values: (label, where to look, pattern over lower-case text), in the order of the labels.
 RULES = (
@@ -85,13 +92,38 @@ RULES = (
 ECONOMY, ECONOMY_BODY, NAMES_DISAD = r"\becon(omy)?\b|gdp|recession|growth|trade war|inflation|unemploy|fiscal|monetary|market crash|financial crisis", r"\becon(omy)?\b|gdp|recession", r"\b(da|disad|disadvantage)\b"
 
 
+def fitting(texts: pa.Array, patterns: list[str]) -> np.ndarray:
+    """Texts x patterns: which fit. All patterns are one at first; each half of them is asked for in the texts that fit the whole."""
+    out = np.zeros((len(texts), len(patterns)), bool)
+
+    def look(some: list[int], at: np.ndarray, x: pa.Array) -> None:
+        fits = pc.match_substring_regex(x, "|".join(patterns[k] for k in some))
+        at, x = at[fits.to_numpy(zero_copy_only=False)], x.filter(fits)
+        if len(some) == 1:
+            out[at, some[0]] = True
+        elif len(at):
+            look(some[: len(some) // 2], at, x)
+            look(some[len(some) // 2 :], at, x)
+
+    look(list(range(len(patterns))), np.arange(len(texts)), texts)
+    return out
+
+
 def argument_tags(tag: Column, body: Column) -> Column:
     """Labels of all rules that fit; `neolib k` only where `cap k` doesn't."""
-    t, b = F.lower(text(tag)), F.lower(text(body))
-    full = F.concat(t, F.lit(" "), b)
-    capital = js(dict((label, p) for label, _, p in RULES)["cap k"])
-    out = [F.when(t.rlike(js(ECONOMY)) | (b.rlike(js(ECONOMY_BODY)) & t.rlike(js(NAMES_DISAD))), F.lit("econ da"))]
-    for label, where, pattern in RULES:
-        fits = (t if where == "tag" else full).rlike(js(pattern))
-        out.append(F.when(fits & ~full.rlike(capital) if label == "neolib k" else fits, F.lit(label)))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    in_tag, in_full = ([r for r in RULES if r[1] == where] for where in ("tag", "full"))
+    labels = ["econ da", *(label for label, _, _ in RULES)]
+
+    @F.arrow_udf("array<string>")
+    def tags(t: pa.Array, b: pa.Array) -> pa.Array:
+        of_tag = fitting(t, [ECONOMY, NAMES_DISAD, *(p for _, _, p in in_tag)])
+        of_full = fitting(pc.binary_join_element_wise(t, b, pa.scalar(" ", t.type)), [p for _, _, p in in_full])
+        fits = dict(zip([label for label, _, _ in in_tag], of_tag.T[2:])) | dict(zip([label for label, _, _ in in_full], of_full.T))
+        fits["econ da"] = of_tag[:, 0].copy()
+        disad = np.flatnonzero(of_tag[:, 1])
+        fits["econ da"][disad] |= fitting(b.take(pa.array(disad)), [ECONOMY_BODY])[:, 0]
+        fits["neolib k"] = fits["neolib k"] & ~fits["cap k"]
+        row, which = np.nonzero(np.stack([fits[label] for label in labels], 1))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(t) + 1)), pa.int32()), pa.array(labels).take(pa.array(which)))
+
+    return tags(F.lower(text(tag)), F.lower(text(body)))
