@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text
+from lectern.sources.scratch import written
 
 #: Fixed values, each as its operator has it.
 DEPTH_OF_ENTRIES = {"256": "Doubles", "128": "Doubles", "64": "Triples", "32": "Doubles", "16": "Octos", "8": "Quarters", "4": "Semis", "2": "Finals"}
@@ -146,11 +147,20 @@ def season_bids(entries: DataFrame, tournaments: DataFrame) -> DataFrame:
 
 
 def linked_team(entries: DataFrame, teams: DataFrame) -> DataFrame:
-    """entries with wiki_team_id: the first team of the same school whose code is a word of the entry's name."""
-    t = teams.select(F.lower("school").alias("_school"), F.lower("code").alias("_code"), F.col("id").alias("_id"))
-    named = F.concat(F.lit(" "), F.lower("display_name"), F.lit(" "))
-    hit = entries.select(*ENTRY, F.lower("school_name").alias("_school"), named.alias("_name")).join(t, "_school").filter(F.col("_name").contains(F.concat(F.lit(" "), F.col("_code"), F.lit(" "))))
-    return entries.join(hit.groupBy(*ENTRY).agg(F.min("_id").alias("wiki_team_id")), ENTRY, "left")
+    """entries with wiki_team_id: the first team of the same school whose code is a word of the entry's name.
+
+    A code may be several words: a name gives its runs of at most as many as the longest code has, and meets codes by equality.
+    Each name and each code of a school does so once, whatever number of entries and teams have it.
+    """
+    codes = teams.select(F.lower("school").alias("_school"), F.lower("code").alias("_run"), "id").groupBy("_school", "_run").agg(F.min("id").alias("wiki_team_id"))
+    longest = codes.agg(F.max(F.size(F.split("_run", " "))).alias("_longest"))
+    words, n = F.split("_name", " "), F.size(F.split("_name", " "))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda at: F.transform(F.sequence(F.lit(1), F.least(F.col("_longest"), n - at + 1)), lambda long: F.array_join(F.slice(words, at, long), " "))))
+    names = entries.select(F.lower("school_name").alias("_school"), F.lower("display_name").alias("_name")).distinct().filter("_name is not null")
+    each = names.crossJoin(F.broadcast(longest.filter("_longest is not null"))).select("_school", "_name", F.explode(F.array_distinct(runs)).alias("_run"))
+    found = written(each.join(codes.hint("merge"), ["_school", "_run"]).groupBy("_school", "_name").agg(F.min("wiki_team_id").alias("wiki_team_id")), "linked")
+    linked = entries.join(found, (F.lower("school_name") == F.col("_school")) & (F.lower("display_name") == F.col("_name")), "left")
+    return linked.select(*(entries[c] for c in entries.columns), "wiki_team_id")
 
 
 def threats(entries: DataFrame, bids: DataFrame, tournaments: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def agg_09_majority(v):
 
 @query("SELECT e.tourn_id, e.event_abbr, e.entry_id, min(w.id) AS wiki_team_id FROM fx_entries e LEFT JOIN fx_wiki_teams w ON lower(w.school) = lower(e.school_name) AND contains(concat(' ', lower(e.display_name), ' '), concat(' ', lower(w.code), ' ')) GROUP BY ALL", "fx_entries", "fx_wiki_teams")
 def join_05_fuzzy_link(v):
-    return T.linked_team(v.fx_entries, v.fx_wiki_teams).select(*T.ENTRY, "wiki_team_id")
+    return T.linked_team(v.fx_entries, v.fx_wiki_teams).groupBy(*T.ENTRY).agg(F.min("wiki_team_id").alias("wiki_team_id"))
 
 
 @query(f"WITH {THREATS} SELECT tourn_id, event_abbr, entry_id, season_full_bids, season_partial_bids FROM th", *BIDS_VIEWS)

@@ -88,3 +88,25 @@ def test_whole_cards_are_not_sorted_to_learn_their_winners(spark):
     for i, key, density, entry, _ in rows:
         groups.setdefault(key or f"alone {i}", []).append((-density, entry, i))
     assert got == {i: (len(g), i == min(g)[2]) for g in groups.values() for _, _, i in g}
+
+
+def test_names_and_codes_meet_by_equality_once_each(spark):
+    """Of 300 entries with 5 names and 300 teams with 5 codes of one school, no pair of an entry and a team is made."""
+    entry = "tourn_id int, event_abbr string, entry_id int, school_name string, display_name string"
+    entries = spark.createDataFrame([(1, "LD", n, "Elm", f"Elm Hill A{n % 5}") for n in range(300)], entry)
+    teams = spark.createDataFrame([(n, "ELM", f"a{n % 5}") for n in range(300)], "id int, school string, code string")
+    linked = tournaments.linked_team(entries, teams)
+    assert {(r["display_name"], r["wiki_team_id"]) for r in linked.collect()} == {(f"Elm Hill A{k}", k) for k in range(5)}
+    assert linked.count() == 300 and linked.columns == [*entries.columns, "wiki_team_id"] and "contains(" not in plan(linked).lower()
+
+
+def test_codes_are_runs_of_a_name_as_in_the_sql(spark):
+    names = [None, "", " ", "A", "A B", "a b c", "A  B", " A", "B ", "AB C", "A-B", "É A", "x A B C y", "A A", "B C A"]
+    codes = [None, "", " ", "a", "A B", "b c", "a  b", "ab", "c a", "É", "a b c", "-"]
+    entries = spark.createDataFrame([(1, "LD", n, school, name) for n, (school, name) in enumerate((s, x) for s in ("S", "t", None) for x in names)], "tourn_id int, event_abbr string, entry_id int, school_name string, display_name string")
+    teams = spark.createDataFrame([(7 * n % 23, school, code) for n, (school, code) in enumerate((s, x) for s in ("s", "T") for x in codes)], "id int, school string, code string")
+    got = {r["entry_id"]: r["wiki_team_id"] for r in tournaments.linked_team(entries.repartition(3), teams).collect()}
+    fits = lambda e, t: None not in (e[3], e[4], t[1], t[2]) and e[3].lower() == t[1].lower() and f" {t[2].lower()} " in f" {e[4].lower()} "
+    rows = teams.collect()
+    assert got == {e[2]: min((t[0] for t in rows if fits(e, t)), default=None) for e in entries.collect()}
+    assert [r["wiki_team_id"] for r in tournaments.linked_team(entries.limit(2), teams.limit(0)).collect()] == [None, None]
