@@ -54,6 +54,11 @@ def stored(cards: DataFrame) -> DataFrame:
     return elect_canonical(written(derived(cards), "derived"))
 
 
+def listed(cards: DataFrame) -> DataFrame:
+    """stored without the bodies, which are read but not written."""
+    return elect_canonical(written(derived(cards).drop("body_markdown", "body_plain"), "derived"))
+
+
 def recanonicalise(cards: DataFrame, keys: DataFrame) -> DataFrame:
     """Only the groups of keys (group_key) are elected anew; all other cards stay as they are."""
     touched = keys.filter("group_key <> ''").select("group_key").distinct()

@@ -293,6 +293,10 @@ class Views:
             from lectern.operators.cards import stored
 
             return self.kept("cards", lambda: stored(self.fx_cards))
+        if name == "card_list":  # what cards has but the bodies, which would be most of what is written
+            from lectern.operators.cards import listed
+
+            return self.cards.drop("body_markdown", "body_plain") if self._is_kept("cards") else self.kept("card_list", lambda: listed(self.fx_cards))
         if name not in VIEWS:
             raise AttributeError(name)
         for x in TABLES:  # whichever tables there are: a view reads only those that it names
@@ -308,6 +312,9 @@ class Views:
         sql = VIEWS[name][0]
         return sql.replace("{parts}", str(parts(self._spark.table("lineitem" if "FROM lineitem" in sql else "fx_ballots")))) if "{parts}" in sql else sql
 
+    def _is_kept(self, name: str) -> bool:
+        return (self._spark.sparkContext.applicationId, self._dir, name) in _KEPT
+
     def kept(self, name: str, make: Callable[[], DataFrame], by: str | None = None, form: str = "parquet", **options: str) -> DataFrame:
         """What make gives, written to the shared folder at its first use (in partitions of `by`, in a form and with options of the writer)."""
         key = (self._spark.sparkContext.applicationId, self._dir, name)

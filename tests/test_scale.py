@@ -1,5 +1,6 @@
 """What a task holds, and what is exchanged, doesn't grow faster than the tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import profiles, ratings, tournaments
@@ -110,3 +111,36 @@ def test_codes_are_runs_of_a_name_as_in_the_sql(spark):
     rows = teams.collect()
     assert got == {e[2]: min((t[0] for t in rows if fits(e, t)), default=None) for e in entries.collect()}
     assert [r["wiki_team_id"] for r in tournaments.linked_team(entries.limit(2), teams.limit(0)).collect()] == [None, None]
+
+
+@pytest.mark.parametrize("name", ["sea_05_keyword_page"])
+def test_a_search_writes_less_than_it_reads(spark, monkeypatch, tmp_path, name):
+    """Neither the bodies of the cards nor an index of all terms."""
+    from lectern.plans import fixtures
+    from lectern.plans.all_queries import QUERIES
+    from lectern.sources import scratch
+
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(fixtures, "_KEPT", {})
+    assert QUERIES[name](spark, SF).count() > 0
+    size = lambda path: sum(p.stat().st_size for p in path.rglob("*.parquet") if p.is_file())
+    assert 0 < size(tmp_path) < (tmp_path.__class__(SF) / "documents.parquet").stat().st_size
+
+
+def test_terms_are_found_in_the_texts_as_in_the_index(spark):
+    from lectern.operators import search
+
+    docs = spark.createDataFrame([(1, "Fish, fish & chips", "blue"), (2, None, "Blué FISH"), (3, "", None), (4, "chips", "x fish-fish")], "doc_id long, a string, b string")
+    found, sizes = search.searched(docs, ["a", "b"], ["fish", "blue"])
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    in_index = search.counts(docs, ["a", "b"]).filter("term in ('fish', 'blue')").groupBy("doc_id", "term").agg(F.sum("tf"))
+    assert rows(found.groupBy("doc_id", "term").agg(F.sum("tf"))) == rows(in_index) and rows(in_index)
+    assert rows(sizes) == rows(search.lengths(docs, ["a", "b"]))
+
+
+def test_listed_cards_are_the_stored_ones_without_bodies(spark):
+    from lectern.operators import cards
+
+    v = Views(spark, SF)
+    whole, listed = v.cards.drop("body_markdown", "body_plain"), cards.listed(v.fx_cards)
+    assert listed.dtypes == whole.dtypes and listed.exceptAll(whole).isEmpty() and whole.exceptAll(listed).isEmpty()
